@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.llm.byte_bpe import p5_ids, p5_round_trip
 from weftline.llm.near_duplicates import p1_found
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found}
+    return {"p1_found": p1_found, "p5_ids": p5_ids, "p5_round_trip": p5_round_trip}
 
 
 def oracle_sql() -> dict[str, str]:
