@@ -9,7 +9,8 @@ shape and takes the window from set sizes, which is exact too and narrow:
   pivot holds the documents near it, those whose set has the pair; all others are at distance 1.
 * A document is replicated to the pivots in its window: its n - ceil(n / 2) + 1 first ones. Two alike documents of n and m
   pairs share at least (n + m) / 3, so their first common pivot lies in both windows, and within the first third of the smaller.
-* A region whose expected size is above REGION is divided again by the next pivots in the window, by the same rule.
+* A region that may hold more than REGION documents (the counts are upper bounds) is divided again by the next pivots in
+  the window, by the same rule, and what is large even so by a grid of blocks. So no task gets more than a bounded region.
 * Within a region two documents meet only if positions, sizes and bit fingerprints (the parities of hashed pairs, whose
   Hamming distance never exceeds the number of pairs in just one set) allow 0.5; then the texts decide.
 
@@ -25,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import FREQUENCY_BITS, Bigrams, Words, frequencies, keyed, likeness, mix, table
+from weftline.llm.shared import Bigrams, Words, frequencies, keyed, likeness, mix, slot, table
 
-#: Expected number of documents of a region above which it is divided.
-REGION = 20_000.0
+#: Number of documents of a region above which it is divided.
+REGION = 8_000
 
 
 def parities(b: Bigrams) -> tuple[np.ndarray, np.ndarray]:
@@ -44,41 +45,49 @@ def parities(b: Bigrams) -> tuple[np.ndarray, np.ndarray]:
     return low.view(np.int64), high.astype(np.int32)
 
 
-def regions(texts: DataFrame, frequency: np.ndarray, rows: float) -> DataFrame:
+def regions(texts: DataFrame, frequency: np.ndarray) -> DataFrame:
     """Of each text (columns part, text, k) its rows in regions: pivot, k, np (size and position), s1 and s2 (fingerprint).
 
-    part (a small integer) keeps tables apart. rows: about how many words the counts hold.
+    part (a small integer) keeps tables apart.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            hashes, counts = words.of(batch.column("text").to_pylist())
-            b = Bigrams(hashes, counts)
-            shift = np.uint64(64 - FREQUENCY_BITS)
-            expected = frequency[(b.left >> shift).astype(np.int64)] * frequency[(b.right >> shift).astype(np.int64)] / max(rows, 1.0)
-            order = np.lexsort((b.pair, expected, b.doc))
-            doc, pair, expected = b.doc[order], b.pair[order], expected[order]
+            b = Bigrams(*words.of(batch.column("text").to_pylist()))
+            most = frequency[slot(b.pair)].astype(np.int64)
+            order = np.lexsort((b.pair, most, b.doc))
+            doc, pair, most = b.doc[order], b.pair[order], most[order]
             n = b.size[doc]
             position = np.arange(len(doc)) - b.start[doc]
             window = n - (n + 1) // 2 + 1
-            inside = position < window
             part = batch.column("part").to_numpy(zero_copy_only=False).astype(np.uint64)[doc]
+            k = batch.column("k").to_numpy()
             with np.errstate(over="ignore"):
                 pivot = mix(pair + part, 11)
-            plain = np.flatnonzero(inside & (expected <= REGION))
-            at, where, key = plain, position[plain], pivot[plain]
-            large = np.flatnonzero(inside & (expected > REGION))
-            if len(large):  # divided by each further pivot of the window; both pivots are common then
-                more = np.maximum(window[large] - position[large], 0)
+            inside = position < window
+            at = np.flatnonzero(inside & (most <= REGION))
+            where, key = position[at], pivot[at]
+            large = np.flatnonzero(inside & (most > REGION))
+            if len(large):  # divided by each further pivot of the window: both pivots are common then
+                more = window[large] - position[large]
                 base = np.repeat(large, more)
                 step = np.arange(len(base)) - np.repeat(np.cumsum(more) - more, more) + 1
-                keep = position[base] + step < n[base]
-                base, step = base[keep], step[keep]
+                there = position[base] + step < n[base]
+                base, step = base[there], step[there]
                 with np.errstate(over="ignore"):
                     sub = mix(pivot[base] * np.uint64(3) + pivot[base + step], 12)
-                at, where, key = np.concatenate((at, base)), np.concatenate((where, position[base] + step - 1)), np.concatenate((key, sub))
-            k = batch.column("k").to_numpy()
+                # What is large even so is a grid of blocks: a row stands in the blocks of its line and of its column.
+                sides = -(-np.minimum(most[base], most[base + step]) // REGION)
+                own = (k[doc[base]].view(np.uint64) >> np.uint64(8)).astype(np.int64) % sides
+                times = np.where(sides > 1, 2 * sides - 1, 1)
+                line = np.repeat(np.arange(len(base)), times)
+                i = np.arange(len(line)) - np.repeat(np.cumsum(times) - times, times)
+                g, o = sides[line], own[line]
+                block = np.where(i < g, o * g + i, np.where(i - g < o, i - g, i - g + 1) * g + o)
+                with np.errstate(over="ignore"):
+                    sub = mix(sub[line] + block.astype(np.uint64), 13)
+                at, where, key = np.concatenate((at, base[line])), np.concatenate((where, (position[base] + step - 1)[line])), np.concatenate((key, sub))
             s1, s2 = parities(b)
             d = doc[at]
             arrays = [(key & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), k[d], (n[at].astype(np.int64) << 32) | where, s1[d], s2[d]]
@@ -89,23 +98,70 @@ def regions(texts: DataFrame, frequency: np.ndarray, rows: float) -> DataFrame:
     return texts.select("part", "text", "k").mapInArrow(run, "pivot int, k bigint, np bigint, s1 bigint, s2 int")
 
 
-def alike_sets(texts: DataFrame, counted: DataFrame, partitions: int) -> DataFrame:
-    """k_a and k_b of every two alike texts of different sets within a part. texts: one row (part, k, text) a set; counted: all texts."""
-    frequency = frequencies(counted)
-    rows = regions(texts, frequency, float(frequency.sum())).repartition(partitions, "pivot")
-    size, position = lambda s: F.shiftright(f"{s}.np", 32), lambda s: F.col(f"{s}.np").bitwiseAND(0xFFFFFFFF)
-    # The smaller document meets others only in the first third. rand() keeps this filter above the exchange, which both sides then share.
-    first_third = (position("a") * 3 <= size("a") + 3) & (F.rand(1) >= 0)
-    small = rows.alias("a").filter(F.when(F.rand(1) >= 0, first_third).otherwise(False))
-    least = size("a") + size("b")
-    found = small.join(
-        rows.alias("b").hint("merge"),
-        (F.col("a.pivot") == F.col("b.pivot"))
-        & (F.struct(size("a"), F.col("a.k")) < F.struct(size("b"), F.col("b.k")))
-        & (size("a") * 2 >= size("b"))
-        & (F.least(size("a") - position("a"), size("b") - position("b")) * 3 >= least)
-        & ((F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2")))) * 3 <= least),
-    ).select(F.col("a.k").alias("k_a"), F.col("b.k").alias("k_b")).distinct()
+def _meet(x: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """k of those rows i and j whose sizes, positions and fingerprints allow a likeness of 0.5, the smaller text first."""
+    _, k, n, p, s1, s2 = x
+    a, b = np.where((n[i] < n[j]) | (n[i] == n[j]) & (k[i] < k[j]), (i, j), (j, i))
+    least = n[a] + n[b]
+    ok = (k[a] != k[b]) & (3 * p[a] <= n[a] + 3) & (2 * n[a] >= n[b]) & (3 * np.minimum(n[a] - p[a], n[b] - p[b]) >= least)
+    a, b, least = a[ok], b[ok], least[ok]
+    ok = 3 * (np.bitwise_count(s1[a] ^ s1[b]).astype(np.int64) + np.bitwise_count(s2[a] ^ s2[b])) <= least
+    return k[a[ok]], k[b[ok]]
+
+
+def joined(rows: DataFrame) -> DataFrame:
+    """k_a and k_b of the rows that meet within their regions, each region joined in one task, none larger than REGION allows."""
+
+    def within(t: pa.Table) -> pa.RecordBatch:
+        npos = t.column("np").to_numpy()
+        x = (t.column("pivot").to_numpy(), t.column("k").to_numpy(), npos >> 32, npos & 0xFFFFFFFF, t.column("s1").to_numpy().view(np.uint64), t.column("s2").to_numpy().view(np.uint32))
+        start = np.flatnonzero(np.concatenate(([True], x[0][1:] != x[0][:-1])))
+        size = np.diff(np.concatenate((start, [len(x[0])])))
+        found = []
+        live, step = np.repeat(size, size) <= 64, 1
+        left = np.repeat(start + size, size) - np.arange(len(x[0]))  # rows up to the region's end
+        i = np.flatnonzero(live & (left > step))
+        while len(i):
+            found.append(_meet(x, i, i + step))
+            step += 1
+            i = i[left[i] > step]
+        for s, m in zip(start[size > 64], size[size > 64]):
+            region = np.arange(s, s + m)
+            small = region[3 * x[3][region] <= x[2][region] + 3]
+            for at in range(0, len(small), max(1, 1_000_000 // m)):
+                some = small[at : at + max(1, 1_000_000 // m)]
+                found.append(_meet(x, np.repeat(some, m), np.tile(region, len(some))))
+        a, b = (np.concatenate([f[side] for f in found] or [np.zeros(0, np.int64)]) for side in (0, 1))
+        if len(a):
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            a, b = a[new], b[new]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["k_a", "k_b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n < 200_000:
+                continue
+            t = pa.Table.from_batches(held)
+            pivot = t.column("pivot").to_numpy()
+            end = int(np.searchsorted(pivot, pivot[-1]))  # the last region may go on
+            if end:
+                yield within(t.slice(0, end))
+            held, n = t.slice(end).to_batches(), len(t) - end
+        if n:
+            yield within(pa.Table.from_batches(held))
+
+    return rows.repartition("pivot").sortWithinPartitions("pivot").mapInArrow(run, "k_a bigint, k_b bigint")
+
+
+def alike_sets(texts: DataFrame, counted: DataFrame) -> DataFrame:
+    """part, k_a and k_b of every two alike texts of different sets within a part. texts: one row (part, k, text) a set; counted: all texts."""
+    found = joined(regions(texts, frequencies(counted))).distinct()
     one = texts.select(F.col("k").alias("k_a"), "part", F.col("text").alias("text_a"))
     two = texts.select(F.col("k").alias("k_b"), F.col("part").alias("part_b"), F.col("text").alias("text_b"))
     pairs = found.join(one.hint("merge"), "k_a").join(two.hint("merge"), "k_b").filter("part = part_b")
@@ -120,8 +176,7 @@ def near_duplicates(records: DataFrame) -> DataFrame:
     """
     base = keyed(records, "part", "id")
     texts = base.groupBy("k").agg(F.first("text").alias("text"), F.first("part").alias("part"))
-    partitions = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = alike_sets(texts, records, partitions).select("part", "k_a", "k_b")
+    links = alike_sets(texts, records).select("part", "k_a", "k_b")
     members = base.select("part", "id", "k").distinct()
     left, right = members.select("part", F.col("k").alias("k_a"), F.col("id").alias("x")), members.select("part", F.col("k").alias("k_b"), F.col("id").alias("y"))
     other = links.join(left.hint("merge"), ["part", "k_a"]).join(right.hint("merge"), ["part", "k_b"]).select("part", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

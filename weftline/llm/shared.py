@@ -5,19 +5,19 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
 #: Words that one Python worker remembers the hash of; beyond it the memory is emptied, results stay the same.
 MEMORY = 400_000
 MIN_WORDS, LIKENESS = 20, 0.5
-FREQUENCY_BITS = 18
+FREQUENCY_BITS = 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -80,7 +80,7 @@ class Words:
 
 
 class Bigrams:
-    """The sets of neighbouring word pairs of a batch of texts, on end: text number, hash and the two words' hashes."""
+    """The sets of neighbouring word pairs of a batch of texts, on end: text number and hash."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray) -> None:
         ends = np.cumsum(counts)
@@ -95,7 +95,7 @@ class Bigrams:
         first = np.ones(len(at), bool)
         first[1:] = (doc[at][1:] != doc[at][:-1]) | (pair[1:] != pair[:-1])
         at, self.pair = at[first], pair[first]
-        self.doc, self.left, self.right = doc[at], words[at], words[at + 1]
+        self.doc = doc[at]
         self.size = np.bincount(self.doc, minlength=len(counts))
         self.start = np.concatenate(([0], np.cumsum(self.size)[:-1]))
 
@@ -126,21 +126,37 @@ def keyed(df: DataFrame, *keep: str) -> DataFrame:
     return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", k bigint")
 
 
+def slot(pair: np.ndarray) -> np.ndarray:
+    return (pair >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)
+
+
 def frequencies(df: DataFrame) -> np.ndarray:
-    """How often words occur in the column text of all rows, in 2 ** FREQUENCY_BITS counters: a fixed size at any scale."""
+    """How many texts of all rows (column text) have word pairs, in 2 ** FREQUENCY_BITS counters: a fixed size at any scale.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total = Words(), np.zeros(1 << FREQUENCY_BITS, np.int64)
+    Several pairs may share a counter, so the counter of a pair is never below the number of texts that have it.
+    """
+    chunk = 1 << 14
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, total = Words(), np.zeros(1 << FREQUENCY_BITS, np.uint32)
+        for b in batches:
+            total += np.bincount(slot(Bigrams(*words.of(b.column("text").to_pylist())).pair), minlength=len(total)).astype(np.uint32)
+        at = [i for i in range(0, len(total), chunk) if total[i : i + chunk].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i // chunk for i in at], pa.int32()), pa.array([zlib.compress(total[i : i + chunk], 1) for i in at], pa.binary())], ["chunk", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
         for b in batches:
-            hashes, _ = words.of(b.column("text").to_pylist())
-            total += np.bincount((hashes >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
-
-    got = df.select("text").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << FREQUENCY_BITS, np.float64)
-    out[got.column("slot").to_numpy()] = got.column("n").to_numpy()
-    return out
+            for i, c in zip(b.column("chunk").to_pylist(), b.column("counts").to_pylist()):
+                total[i] = total.get(i, 0) + np.frombuffer(zlib.decompress(c), np.uint32).astype(np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
+
+    kind = "chunk int, counts binary"
+    got = df.select("text").mapInArrow(count, kind).repartition("chunk").mapInArrow(add, kind).toArrow()
+    out = np.zeros(1 << FREQUENCY_BITS, np.uint64)
+    for i, c in zip(got.column("chunk").to_pylist(), got.column("counts").to_pylist()):
+        out[i * chunk : (i + 1) * chunk] = np.frombuffer(c, np.uint64)
+    return np.minimum(out, 0xFFFFFFFF).astype(np.uint32)
 
 
 def likeness(pairs: DataFrame, keep: str) -> DataFrame:
