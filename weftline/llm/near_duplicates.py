@@ -26,27 +26,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import Bigrams, Words, frequencies, keyed, likeness, mix, slot, table
+from weftline.llm.shared import Bigrams, Words, likeness, mix, sets_of, slot, surveyed, table
 
 #: Number of documents of a region above which it is divided.
 REGION = 8_000
 
 
+#: Numbers of 64-bit words a fingerprint may have, and up to how many pairs each serves.
+WIDTHS, SERVES = (1, 2, 4, 8), (24, 56, 112)
+
+
 def parities(b: Bigrams) -> tuple[np.ndarray, np.ndarray]:
-    """A fingerprint of 95 bits for each text, as 64 and 31: bit j says whether an odd number of its pairs hash to j.
+    """A fingerprint for each text, on end, and the numbers of its words: bit j says whether an odd number of its pairs hash to j.
 
-    Each pair turns one bit, so two fingerprints differ in no more bits than pairs are in just one of the sets.
+    Each pair turns one bit, so two fingerprints differ in no more bits than pairs are in just one of the sets. A wide one
+    becomes a narrow one by xor of its halves.
     """
-    bit = mix(b.pair, 21) % np.uint64(95)
-    low, high = np.zeros(len(b.size), np.uint64), np.zeros(len(b.size), np.uint64)
-    first = bit < 64
-    np.bitwise_xor.at(low, b.doc[first], np.uint64(1) << bit[first])
-    np.bitwise_xor.at(high, b.doc[~first], np.uint64(1) << (bit[~first] - np.uint64(64)))
-    return low.view(np.int64), high.astype(np.int32)
+    width = np.array(WIDTHS)[np.searchsorted(SERVES, b.size)]
+    start = np.cumsum(width) - width
+    bit = mix(b.pair, 21) % (width[b.doc] * 64).astype(np.uint64)
+    out = np.zeros(int(width.sum()), np.uint64)
+    np.bitwise_xor.at(out, start[b.doc] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out, width
+
+
+def narrowed(flat: np.ndarray, width: np.ndarray) -> dict[int, np.ndarray]:
+    """The fingerprints of rows by number of words, each folded to it; rows of narrower ones are 0 there."""
+    start, out = np.cumsum(width) - width, {}
+    for w in WIDTHS:
+        out[w] = np.zeros((len(width), w), np.uint64)
+    for w in WIDTHS:
+        rows = np.flatnonzero(width == w)
+        x = flat[start[rows, None] + np.arange(w)]
+        while True:
+            out[x.shape[1]][rows] = x
+            if x.shape[1] == 1:
+                break
+            x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+    return out
 
 
 def regions(texts: DataFrame, frequency: np.ndarray) -> DataFrame:
-    """Of each text (columns part, text, k) its rows in regions: pivot, k, np (size and position), s1 and s2 (fingerprint).
+    """Of each text (columns part, text, k) its rows in regions: pivot, k, np (size and position), print (fingerprint).
 
     part (a small integer) keeps tables apart.
     """
@@ -88,49 +109,65 @@ def regions(texts: DataFrame, frequency: np.ndarray) -> DataFrame:
                 with np.errstate(over="ignore"):
                     sub = mix(sub[line] + block.astype(np.uint64), 13)
                 at, where, key = np.concatenate((at, base[line])), np.concatenate((where, (position[base] + step - 1)[line])), np.concatenate((key, sub))
-            s1, s2 = parities(b)
+            flat, width = parities(b)
+            ends = np.concatenate(([0], np.cumsum(width) * 8)).astype(np.int32)
+            prints = pa.Array.from_buffers(pa.binary(), len(width), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
             d = doc[at]
-            arrays = [(key & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), k[d], (n[at].astype(np.int64) << 32) | where, s1[d], s2[d]]
-            whole = pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["pivot", "k", "np", "s1", "s2"])
+            arrays = [(key & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), k[d], (n[at].astype(np.int64) << 32) | where, prints.take(pa.array(d))]
+            whole = pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["pivot", "k", "np", "print"])
             for i in range(0, whole.num_rows, 50_000):
                 yield whole.slice(i, 50_000)
 
-    return texts.select("part", "text", "k").mapInArrow(run, "pivot int, k bigint, np bigint, s1 bigint, s2 int")
+    return texts.select("part", "text", "k").mapInArrow(run, "pivot int, k bigint, np bigint, print binary")
+
+
+class Region:
+    """Rows sorted by pivot."""
 
+    def __init__(self, t: pa.Table) -> None:
+        position = t.column("np").to_numpy()
+        self.pivot, self.k, self.n, self.p = t.column("pivot").to_numpy(), t.column("k").to_numpy(), position >> 32, position & 0xFFFFFFFF
+        prints = t.column("print").combine_chunks()
+        prints = prints.chunk(0) if isinstance(prints, pa.ChunkedArray) else prints
+        ends = np.frombuffer(prints.buffers()[1], np.int32)[prints.offset : prints.offset + len(prints) + 1]
+        self.width = np.diff(ends) // 8
+        self.prints = narrowed(np.frombuffer(prints.buffers()[2], np.uint8)[ends[0] : ends[-1]].copy().view(np.uint64), self.width)
 
-def _meet(x: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """k of those rows i and j whose sizes, positions and fingerprints allow a likeness of 0.5, the smaller text first."""
-    _, k, n, p, s1, s2 = x
-    a, b = np.where((n[i] < n[j]) | (n[i] == n[j]) & (k[i] < k[j]), (i, j), (j, i))
-    least = n[a] + n[b]
-    ok = (k[a] != k[b]) & (3 * p[a] <= n[a] + 3) & (2 * n[a] >= n[b]) & (3 * np.minimum(n[a] - p[a], n[b] - p[b]) >= least)
-    a, b, least = a[ok], b[ok], least[ok]
-    ok = 3 * (np.bitwise_count(s1[a] ^ s1[b]).astype(np.int64) + np.bitwise_count(s2[a] ^ s2[b])) <= least
-    return k[a[ok]], k[b[ok]]
+    def meet(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """k of those rows i and j whose sizes, positions and fingerprints allow a likeness of 0.5, the smaller text first."""
+        n, p, k = self.n, self.p, self.k
+        a, b = np.where((n[i] < n[j]) | (n[i] == n[j]) & (k[i] < k[j]), (i, j), (j, i))
+        ok = (k[a] != k[b]) & (3 * p[a] <= n[a] + 3) & (2 * n[a] >= n[b]) & (3 * np.minimum(n[a] - p[a], n[b] - p[b]) >= n[a] + n[b])
+        a, b = a[ok], b[ok]
+        width, near = np.minimum(self.width[a], self.width[b]), np.zeros(len(a), bool)
+        for w in WIDTHS:
+            at = np.flatnonzero(width == w)
+            differ = np.bitwise_count(self.prints[w][a[at]] ^ self.prints[w][b[at]]).sum(axis=1, dtype=np.int64)
+            near[at] = 3 * differ <= n[a[at]] + n[b[at]]
+        return k[a[near]], k[b[near]]
 
 
 def joined(rows: DataFrame) -> DataFrame:
     """k_a and k_b of the rows that meet within their regions, each region joined in one task, none larger than REGION allows."""
 
     def within(t: pa.Table) -> pa.RecordBatch:
-        npos = t.column("np").to_numpy()
-        x = (t.column("pivot").to_numpy(), t.column("k").to_numpy(), npos >> 32, npos & 0xFFFFFFFF, t.column("s1").to_numpy().view(np.uint64), t.column("s2").to_numpy().view(np.uint32))
-        start = np.flatnonzero(np.concatenate(([True], x[0][1:] != x[0][:-1])))
-        size = np.diff(np.concatenate((start, [len(x[0])])))
+        x = Region(t)
+        start = np.flatnonzero(np.concatenate(([True], x.pivot[1:] != x.pivot[:-1])))
+        size = np.diff(np.concatenate((start, [len(t)])))
         found = []
         live, step = np.repeat(size, size) <= 64, 1
-        left = np.repeat(start + size, size) - np.arange(len(x[0]))  # rows up to the region's end
+        left = np.repeat(start + size, size) - np.arange(len(t))  # rows up to the region's end
         i = np.flatnonzero(live & (left > step))
         while len(i):
-            found.append(_meet(x, i, i + step))
+            found.append(x.meet(i, i + step))
             step += 1
             i = i[left[i] > step]
         for s, m in zip(start[size > 64], size[size > 64]):
             region = np.arange(s, s + m)
-            small = region[3 * x[3][region] <= x[2][region] + 3]
+            small = region[3 * x.p[region] <= x.n[region] + 3]
             for at in range(0, len(small), max(1, 1_000_000 // m)):
                 some = small[at : at + max(1, 1_000_000 // m)]
-                found.append(_meet(x, np.repeat(some, m), np.tile(region, len(some))))
+                found.append(x.meet(np.repeat(some, m), np.tile(region, len(some))))
         a, b = (np.concatenate([f[side] for f in found] or [np.zeros(0, np.int64)]) for side in (0, 1))
         if len(a):
             order = np.lexsort((b, a))
@@ -159,9 +196,9 @@ def joined(rows: DataFrame) -> DataFrame:
     return rows.repartition("pivot").sortWithinPartitions("pivot").mapInArrow(run, "k_a bigint, k_b bigint")
 
 
-def alike_sets(texts: DataFrame, counted: DataFrame) -> DataFrame:
-    """part, k_a and k_b of every two alike texts of different sets within a part. texts: one row (part, k, text) a set; counted: all texts."""
-    found = joined(regions(texts, frequencies(counted))).distinct()
+def alike_sets(texts: DataFrame, frequency: np.ndarray) -> DataFrame:
+    """part, k_a and k_b of every two alike texts of different sets within a part. texts: one row (part, k, text) a set."""
+    found = joined(regions(texts, frequency)).distinct()
     one = texts.select(F.col("k").alias("k_a"), "part", F.col("text").alias("text_a"))
     two = texts.select(F.col("k").alias("k_b"), F.col("part").alias("part_b"), F.col("text").alias("text_b"))
     pairs = found.join(one.hint("merge"), "k_a").join(two.hint("merge"), "k_b").filter("part = part_b")
@@ -174,14 +211,13 @@ def near_duplicates(records: DataFrame) -> DataFrame:
     Rows with the same part and id are one record. Null, empty and short texts (under 20 words) are alike to nothing.
     Empty tables give no rows; further columns are ignored; texts of any length are taken whole.
     """
-    base = keyed(records, "part", "id")
-    texts = base.groupBy("k").agg(F.first("text").alias("text"), F.first("part").alias("part"))
-    links = alike_sets(texts, records).select("part", "k_a", "k_b")
-    members = base.select("part", "id", "k").distinct()
-    left, right = members.select("part", F.col("k").alias("k_a"), F.col("id").alias("x")), members.select("part", F.col("k").alias("k_b"), F.col("id").alias("y"))
-    other = links.join(left.hint("merge"), ["part", "k_a"]).join(right.hint("merge"), ["part", "k_b"]).select("part", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    same = left.join(right.withColumnRenamed("k_b", "k_a").hint("merge"), ["part", "k_a"]).filter("x < y").select("part", F.col("x").alias("id_a"), F.col("y").alias("id_b"))
-    return other.unionByName(same)
+    members, frequency = surveyed(records, "id")
+    members = members.distinct()
+    links = alike_sets(sets_of(records), frequency).select("k_a", "k_b")
+    same = members.groupBy("k").count().filter("count > 1").select(F.col("k").alias("k_a"), F.col("k").alias("k_b"))
+    left, right = members.select("part", F.col("k").alias("k_a"), F.col("id").alias("x")), members.select(F.col("k").alias("k_b"), F.col("id").alias("y"))
+    pairs = links.unionByName(same).join(left, "k_a").join(right, "k_b").filter("k_a != k_b or x < y")
+    return pairs.select("part", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
 TABLES = {0: ("prompt_log", "prompt_id", "prompt"), 1: ("finetune_rows", "example_id", "train_output")}

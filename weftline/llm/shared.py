@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
 #: Words that one Python worker remembers the hash of; beyond it the memory is emptied, results stay the same.
@@ -106,43 +107,58 @@ class Bigrams:
         return mix(out, salt).view(np.int64)
 
 
-def keyed(df: DataFrame, *keep: str) -> DataFrame:
-    """Columns keep, text and k (hash of the set of word pairs, and of part if kept) of the texts of at least MIN_WORDS words.
+def keys(b: pa.RecordBatch, words: Words) -> tuple[np.ndarray, np.ndarray, Bigrams]:
+    """Of a batch with columns part and text: k (hash of each text's set of word pairs, and of part), the numbers of words, the sets."""
+    hashes, counts = words.of(b.column("text").to_pylist())
+    sets = Bigrams(hashes, counts)
+    with np.errstate(over="ignore"):
+        part = b.column("part").to_numpy(zero_copy_only=False).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return mix(sets.key(5).view(np.uint64) ^ part).view(np.int64), counts, sets
+
+
+def sets_of(records: DataFrame) -> DataFrame:
+    """part, k and text, one row for each set of word pairs of a part. records: part (a small integer) and text.
 
-    Null, empty and shorter texts have no row. Equal k means an equal set, but for collisions of 64-bit hashes.
+    Null, empty and texts under MIN_WORDS words have none. Equal k means an equal set, but for collisions of 64-bit hashes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for b in batches:
-            hashes, counts = words.of(b.column("text").to_pylist())
-            k = Bigrams(hashes, counts).key(5)
-            if "part" in b.schema.names:
-                k = mix(k.view(np.uint64) + b.column("part").to_numpy(zero_copy_only=False).astype(np.uint64)).view(np.int64)
-            b = b.append_column("k", pa.array(k))
-            yield b.filter(pa.array(counts >= MIN_WORDS))
+            k, counts, _ = keys(b, words)
+            yield b.append_column("k", pa.array(k)).filter(pa.array(counts >= MIN_WORDS))
 
-    df = df.select(*keep, "text")
-    return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", k bigint")
+    rows = records.select("part", "text").mapInArrow(run, "part tinyint, text string, k bigint")
+    return rows.groupBy("k").agg(F.first("text").alias("text"), F.first("part").alias("part"))
 
 
 def slot(pair: np.ndarray) -> np.ndarray:
     return (pair >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)
 
 
-def frequencies(df: DataFrame) -> np.ndarray:
-    """How many texts of all rows (column text) have word pairs, in 2 ** FREQUENCY_BITS counters: a fixed size at any scale.
+def surveyed(records: DataFrame, *keep: str) -> tuple[DataFrame, np.ndarray]:
+    """One pass over all records (part, text and the columns keep): members (part, keep, k) and the frequencies of word pairs.
 
-    Several pairs may share a counter, so the counter of a pair is never below the number of texts that have it.
+    The frequencies are 2 ** FREQUENCY_BITS counters of texts, a fixed size at any scale. Several pairs may share one, so it
+    is never below the number of texts that have its pair. Members are the records of texts of at least MIN_WORDS words.
     """
     chunk = 1 << 14
+    df = records.select("part", *keep, "text")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total = Words(), np.zeros(1 << FREQUENCY_BITS, np.uint32)
+        words, total, schema = Words(), np.zeros(1 << FREQUENCY_BITS, np.uint32), None
         for b in batches:
-            total += np.bincount(slot(Bigrams(*words.of(b.column("text").to_pylist())).pair), minlength=len(total)).astype(np.uint32)
-        at = [i for i in range(0, len(total), chunk) if total[i : i + chunk].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([i // chunk for i in at], pa.int32()), pa.array([zlib.compress(total[i : i + chunk], 1) for i in at], pa.binary())], ["chunk", "counts"])
+            k, counts, sets = keys(b, words)
+            total += np.bincount(slot(sets.pair), minlength=len(total)).astype(np.uint32)
+            b = b.drop_columns(["text"]).append_column("k", pa.array(k)).filter(pa.array(counts >= MIN_WORDS))
+            b = b.append_column("chunk", pa.nulls(len(b), pa.int32())).append_column("counts", pa.nulls(len(b), pa.binary()))
+            schema = b.schema
+            yield b
+        if schema is not None:
+            at = [i for i in range(0, len(total), chunk) if total[i : i + chunk].any()]
+            rows = {"chunk": [i // chunk for i in at], "counts": [zlib.compress(total[i : i + chunk], 1) for i in at]}
+            yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) if f.name in rows else pa.nulls(len(at), f.type) for f in schema], schema=schema)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -151,12 +167,12 @@ def frequencies(df: DataFrame) -> np.ndarray:
                 total[i] = total.get(i, 0) + np.frombuffer(zlib.decompress(c), np.uint32).astype(np.uint64)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
 
-    kind = "chunk int, counts binary"
-    got = df.select("text").mapInArrow(count, kind).repartition("chunk").mapInArrow(add, kind).toArrow()
+    both = written(df.mapInArrow(count, f"{kept}, k bigint, chunk int, counts binary"))
+    got = both.filter("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, counts binary").toArrow()
     out = np.zeros(1 << FREQUENCY_BITS, np.uint64)
     for i, c in zip(got.column("chunk").to_pylist(), got.column("counts").to_pylist()):
         out[i * chunk : (i + 1) * chunk] = np.frombuffer(c, np.uint64)
-    return np.minimum(out, 0xFFFFFFFF).astype(np.uint32)
+    return both.filter("chunk is null").drop("chunk", "counts"), np.minimum(out, 0xFFFFFFFF).astype(np.uint32)
 
 
 def likeness(pairs: DataFrame, keep: str) -> DataFrame:
