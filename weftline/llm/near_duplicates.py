@@ -14,7 +14,7 @@ shape and takes the window from set sizes, which is exact too and narrow:
 * Within a region two documents meet only if positions, sizes and bit fingerprints (the parities of hashed pairs, whose
   Hamming distance never exceeds the number of pairs in just one set) allow 0.5; then the texts decide.
 
-Texts with equal sets take part once, under the hash of the set, and are expanded at the end.
+Texts with equal sets take part under the hash of the set, once for each task that reads them, and are expanded at the end.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import Bigrams, Words, likeness, mix, sets_of, slot, surveyed, table
+from weftline.llm.shared import MIN_WORDS, Bigrams, Fresh, Words, keys, mix, slot, surveyed, table, verified
 
 #: Number of documents of a region above which it is divided.
 REGION = 8_000
@@ -66,16 +66,17 @@ def narrowed(flat: np.ndarray, width: np.ndarray) -> dict[int, np.ndarray]:
     return out
 
 
-def regions(texts: DataFrame, frequency: np.ndarray) -> DataFrame:
-    """Of each text (columns part, text, k) its rows in regions: pivot, k, np (size and position), print (fingerprint).
+def regions(records: DataFrame, frequency: np.ndarray) -> DataFrame:
+    """Of each text of at least MIN_WORDS words (columns part, text) its rows in regions: pivot, k, np (size and position), print (fingerprint).
 
     part (a small integer) keeps tables apart.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words, fresh = Words(), Fresh()
         for batch in batches:
-            b = Bigrams(*words.of(batch.column("text").to_pylist()))
+            k, counts, b = keys(batch, words)
+            new = fresh(k, counts >= MIN_WORDS)
             most = frequency[slot(b.pair)].astype(np.int64)
             order = np.lexsort((b.pair, most, b.doc))
             doc, pair, most = b.doc[order], b.pair[order], most[order]
@@ -83,10 +84,9 @@ def regions(texts: DataFrame, frequency: np.ndarray) -> DataFrame:
             position = np.arange(len(doc)) - b.start[doc]
             window = n - (n + 1) // 2 + 1
             part = batch.column("part").to_numpy(zero_copy_only=False).astype(np.uint64)[doc]
-            k = batch.column("k").to_numpy()
             with np.errstate(over="ignore"):
                 pivot = mix(pair + part, 11)
-            inside = position < window
+            inside = (position < window) & new[doc]
             at = np.flatnonzero(inside & (most <= REGION))
             where, key = position[at], pivot[at]
             large = np.flatnonzero(inside & (most > REGION))
@@ -118,7 +118,7 @@ def regions(texts: DataFrame, frequency: np.ndarray) -> DataFrame:
             for i in range(0, whole.num_rows, 50_000):
                 yield whole.slice(i, 50_000)
 
-    return texts.select("part", "text", "k").mapInArrow(run, "pivot int, k bigint, np bigint, print binary")
+    return records.select("part", "text").mapInArrow(run, "pivot int, k bigint, np bigint, print binary")
 
 
 class Region:
@@ -196,15 +196,6 @@ def joined(rows: DataFrame) -> DataFrame:
     return rows.repartition("pivot").sortWithinPartitions("pivot").mapInArrow(run, "k_a bigint, k_b bigint")
 
 
-def alike_sets(texts: DataFrame, frequency: np.ndarray) -> DataFrame:
-    """part, k_a and k_b of every two alike texts of different sets within a part. texts: one row (part, k, text) a set."""
-    found = joined(regions(texts, frequency)).distinct()
-    one = texts.select(F.col("k").alias("k_a"), "part", F.col("text").alias("text_a"))
-    two = texts.select(F.col("k").alias("k_b"), F.col("part").alias("part_b"), F.col("text").alias("text_b"))
-    pairs = found.join(one.hint("merge"), "k_a").join(two.hint("merge"), "k_b").filter("part = part_b")
-    return likeness(pairs, "part k_a k_b")
-
-
 def near_duplicates(records: DataFrame) -> DataFrame:
     """part, id_a and id_b (id_a < id_b) of every two records of a part with alike texts. records: part, id, text.
 
@@ -213,7 +204,7 @@ def near_duplicates(records: DataFrame) -> DataFrame:
     """
     members, frequency = surveyed(records, "id")
     members = members.distinct()
-    links = alike_sets(sets_of(records), frequency).select("k_a", "k_b")
+    links = verified(joined(regions(records, frequency)).distinct(), records).select("k_a", "k_b")
     same = members.groupBy("k").count().filter("count > 1").select(F.col("k").alias("k_a"), F.col("k").alias("k_b"))
     left, right = members.select("part", F.col("k").alias("k_a"), F.col("id").alias("x")), members.select(F.col("k").alias("k_b"), F.col("id").alias("y"))
     pairs = links.unionByName(same).join(left, "k_a").join(right, "k_b").filter("k_a != k_b or x < y")

@@ -116,22 +116,53 @@ def keys(b: pa.RecordBatch, words: Words) -> tuple[np.ndarray, np.ndarray, Bigra
     return mix(sets.key(5).view(np.uint64) ^ part).view(np.int64), counts, sets
 
 
-def sets_of(records: DataFrame) -> DataFrame:
-    """part, k and text, one row for each set of word pairs of a part. records: part (a small integer) and text.
+class Fresh:
+    """Which keys a task meets for the first time, so that copies of a text are handled once a task.
+
+    The memory is bounded; beyond it keys may pass again, which costs time and changes no result.
+    """
+
+    def __init__(self) -> None:
+        self.seen: set[int] = set()
+
+    def __call__(self, k: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        out, seen = wanted.copy(), self.seen
+        if len(seen) > MEMORY:
+            seen.clear()
+        for i in np.flatnonzero(wanted):
+            x = k[i]
+            if x in seen:
+                out[i] = False
+            else:
+                seen.add(x)
+        return out
+
+
+def texts_of(records: DataFrame) -> DataFrame:
+    """k, part and text, one row for each set of word pairs of a part. records: part (a small integer) and text.
 
     Null, empty and texts under MIN_WORDS words have none. Equal k means an equal set, but for collisions of 64-bit hashes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words, fresh = Words(), Fresh()
         for b in batches:
             k, counts, _ = keys(b, words)
-            yield b.append_column("k", pa.array(k)).filter(pa.array(counts >= MIN_WORDS))
+            yield b.append_column("k", pa.array(k)).filter(pa.array(fresh(k, counts >= MIN_WORDS)))
 
     rows = records.select("part", "text").mapInArrow(run, "part tinyint, text string, k bigint")
     return rows.groupBy("k").agg(F.first("text").alias("text"), F.first("part").alias("part"))
 
 
+def verified(found: DataFrame, records: DataFrame) -> DataFrame:
+    """The pairs k_a, k_b of found whose texts are alike, with likeness. The texts are shuffled once for both sides."""
+    texts = texts_of(records).hint("merge")
+    a, b = texts.alias("a"), texts.alias("b")
+    pairs = found.join(a, F.col("k_a") == F.col("a.k")).select("k_a", "k_b", F.col("a.part").alias("part_a"), F.col("a.text").alias("text_a"))
+    pairs = pairs.join(b, F.col("k_b") == F.col("b.k")).filter("part_a = b.part").select("k_a", "k_b", "text_a", F.col("b.text").alias("text_b"))
+    return likeness(pairs, "k_a k_b")
+
+
 def slot(pair: np.ndarray) -> np.ndarray:
     return (pair >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)
 
@@ -139,18 +170,19 @@ def slot(pair: np.ndarray) -> np.ndarray:
 def surveyed(records: DataFrame, *keep: str) -> tuple[DataFrame, np.ndarray]:
     """One pass over all records (part, text and the columns keep): members (part, keep, k) and the frequencies of word pairs.
 
-    The frequencies are 2 ** FREQUENCY_BITS counters of texts, a fixed size at any scale. Several pairs may share one, so it
-    is never below the number of texts that have its pair. Members are the records of texts of at least MIN_WORDS words.
+    The frequencies are 2 ** FREQUENCY_BITS counters of texts (copies once a task), a fixed size at any scale. Several pairs may
+    share one, so it is never below the number of different texts that have its pair. Members are the records of texts of at least MIN_WORDS words.
     """
     chunk = 1 << 14
     df = records.select("part", *keep, "text")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total, schema = Words(), np.zeros(1 << FREQUENCY_BITS, np.uint32), None
+        words, fresh, total, schema = Words(), Fresh(), np.zeros(1 << FREQUENCY_BITS, np.uint32), None
         for b in batches:
             k, counts, sets = keys(b, words)
-            total += np.bincount(slot(sets.pair), minlength=len(total)).astype(np.uint32)
+            new = fresh(k, counts >= MIN_WORDS)
+            total += np.bincount(slot(sets.pair[new[sets.doc]]), minlength=len(total)).astype(np.uint32)
             b = b.drop_columns(["text"]).append_column("k", pa.array(k)).filter(pa.array(counts >= MIN_WORDS))
             b = b.append_column("chunk", pa.nulls(len(b), pa.int32())).append_column("counts", pa.nulls(len(b), pa.binary()))
             schema = b.schema
