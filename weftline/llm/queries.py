@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.llm.abuse import p7_found, p7_rates, p7_scores
 from weftline.llm.broken_pairs import p2_found, p2_rates
 from weftline.llm.byte_bpe import p5_ids, p5_round_trip
 from weftline.llm.near_duplicates import p1_found
@@ -15,7 +16,7 @@ from weftline.llm.truncation import p4_found, p4_limits, p4_rates
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_limits": p4_limits, "p4_rates": p4_rates, "p6_containers": p6_containers, "p6_use": p6_use, "p5_ids": p5_ids, "p5_round_trip": p5_round_trip}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_limits": p4_limits, "p4_rates": p4_rates, "p6_containers": p6_containers, "p6_use": p6_use, "p5_ids": p5_ids, "p5_round_trip": p5_round_trip, "p7_found": p7_found, "p7_scores": p7_scores, "p7_rates": p7_rates}
 
 
 def oracle_sql() -> dict[str, str]:
