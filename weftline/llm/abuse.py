@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from weftline.llm.shared import table
 
-BITS, FACTORS = 16, 6
+BITS, FACTORS = 20, 6
 #: Labelled documents the machine is fitted on at most: those with the smallest hashes of their ids.
-SAMPLE = 12_000
+SAMPLE = 8_000
 #: Score from which on a document is a case.
 THRESHOLD = 0.5
 #: Words a window has at most, and by how many the next one starts later.
@@ -205,20 +205,24 @@ def trained(texts: list[str], cases: np.ndarray, seed: int = 7) -> Machine:
     # To begin with, a window of a case counts if it has terms that stand in cases far more often than by chance; a case without such a window is left out.
     of = np.repeat(doc, np.diff(np.append(starts, len(ids))))
     pairs = np.unique(np.column_stack([of, ids]), axis=0)
-    n = 1 << BITS
-    yes, no = (np.bincount(pairs[cases[pairs[:, 0]] == side, 1], minlength=n) for side in (True, False))
-    expected = (yes + no + 0.5) * cases.mean()
-    surprise = np.where(yes > expected, yes * np.log(np.maximum(yes, 1) / expected) - yes + expected, 0.0)
-    telling = np.where((yes >= 2) & (2 * yes > yes + no) & (surprise > 3), surprise, 0.0)
-    evidence = np.add.reduceat(telling[ids], starts)
-    chosen = (label > 0) & (evidence > 8)
-    drop = np.zeros(len(doc), bool)
-    for turn in range(3):
-        machine.fit(*flat([rows[i] for i in np.flatnonzero(chosen | (label == 0) & ~drop)]), *_weighted(chosen[chosen | (label == 0) & ~drop]), rounds=12)
-        if turn < 2:
+    # What a document adds to the counts doesn't count for its own windows: they are judged by the other folds.
+    n, folds = 1 << BITS, 5
+    count = {(side, f): np.bincount(pairs[(cases[pairs[:, 0]] == side) & (pairs[:, 0] % folds == f), 1], minlength=n) for side in (True, False) for f in range(folds)}
+    evidence = np.zeros(len(doc))
+    for f in range(folds):
+        yes, no = (sum(count[side, g] for g in range(folds) if g != f) for side in (True, False))
+        expected = (yes + no + 0.5) * cases.mean()
+        surprise = np.where(yes > expected, yes * np.log(np.maximum(yes, 1) / expected) - yes + expected, 0.0)
+        telling = np.where((yes >= 2) & (yes > 2 * no) & (surprise > 3), surprise, 0.0)
+        of_fold = doc % folds == f
+        evidence[of_fold] = np.add.reduceat(telling[ids], starts)[of_fold]
+    chosen = (label > 0) & (evidence > 6)
+    for turn in range(2):
+        used = np.flatnonzero(chosen | (label == 0))
+        machine.fit(*flat([rows[i] for i in used]), *_weighted(chosen[used]), rounds=8)
+        if turn < 1:
             z = machine.scores(ids, starts)
-            chosen = (label > 0) & (z > 0) & (evidence > 3)
-            drop = (label == 0) & (z > 2)  # taken for a slip of the raters
+            chosen = (label > 0) & (evidence > 3) & (z > 0)
             allowed, machine = machine.allowed, Machine(seed + turn + 1)
             machine.allowed = allowed
             machine.factor[~allowed] = 0
