@@ -138,8 +138,37 @@ class Fresh:
         return out
 
 
-def texts_of(records: DataFrame) -> DataFrame:
-    """k, part and text, one row for each set of word pairs of a part. records: part (a small integer) and text.
+#: Bits of the filter for keys; its size is fixed, and what it lets through beside the keys is dropped by the join after it.
+FILTER_BITS = 22
+
+
+def key_filter(found: DataFrame) -> np.ndarray:
+    """A bitmap of the hashes of k_a and k_b of all rows."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        for b in batches:
+            for side in ("k_a", "k_b"):
+                bits[b.column(side).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits), 1)], pa.binary())], ["bits"])
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
+        for b in batches:
+            for x in b.column("bits").to_pylist():
+                bits |= np.frombuffer(zlib.decompress(x), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits, 1)], pa.binary())], ["bits"])
+
+    parts = found.select("k_a", "k_b").mapInArrow(mark, "bits binary")
+    parts = parts.coalesce(64).mapInArrow(unite, "bits binary")  # so the driver gets 64 bitmaps at most
+    out = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
+    for x in parts.toArrow().column("bits").to_pylist():
+        out |= np.frombuffer(zlib.decompress(x), np.uint8)
+    return out
+
+
+def texts_of(records: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """k, part and text, one row for each set of word pairs of a part of which the filter wanted knows k. records: part (a small integer), text.
 
     Null, empty and texts under MIN_WORDS words have none. Equal k means an equal set, but for collisions of 64-bit hashes.
     """
@@ -148,15 +177,18 @@ def texts_of(records: DataFrame) -> DataFrame:
         words, fresh = Words(), Fresh()
         for b in batches:
             k, counts, _ = keys(b, words)
-            yield b.append_column("k", pa.array(k)).filter(pa.array(fresh(k, counts >= MIN_WORDS)))
+            bit = k.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            known = (wanted[bit >> np.uint64(3)] >> (np.uint64(7) - (bit & np.uint64(7))).astype(np.uint8)) & 1
+            yield b.append_column("k", pa.array(k)).filter(pa.array(fresh(k, (counts >= MIN_WORDS) & (known > 0))))
 
     rows = records.select("part", "text").mapInArrow(run, "part tinyint, text string, k bigint")
     return rows.groupBy("k").agg(F.first("text").alias("text"), F.first("part").alias("part"))
 
 
 def verified(found: DataFrame, records: DataFrame) -> DataFrame:
-    """The pairs k_a, k_b of found whose texts are alike, with likeness. The texts are shuffled once for both sides."""
-    texts = texts_of(records).hint("merge")
+    """The pairs k_a, k_b of found whose texts are alike, with likeness. Only texts of some pair are shuffled."""
+    found = written(found)
+    texts = texts_of(records, key_filter(found)).hint("merge")
     a, b = texts.alias("a"), texts.alias("b")
     pairs = found.join(a, F.col("k_a") == F.col("a.k")).select("k_a", "k_b", F.col("a.part").alias("part_a"), F.col("a.text").alias("text_a"))
     pairs = pairs.join(b, F.col("k_b") == F.col("b.k")).filter("part_a = b.part").select("k_a", "k_b", "text_a", F.col("b.text").alias("text_b"))
