@@ -157,14 +157,17 @@ def sort_take(spark, d):
     return order.top(order_frame(spark, d), "o_totalprice", 100, reverse=True).drop(POS)
 
 
-@query("SELECT doc_id, lang FROM documents WHERE doc_id % 7 = 2")
+DOCUMENTS = "(SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents)"
+
+
+@query(f"SELECT doc_id, lang FROM {DOCUMENTS} WHERE pos % 7 = 2")
 def shard_strided(spark, d):
-    return order.shard(placed(spark, d, "documents", "doc_id", "lang"), 7, 2).drop(POS)
+    return order.shard(parquet(spark, f"{d}/documents.parquet", "doc_id", "lang"), 7, 2).drop(POS)
 
 
-@query("SELECT doc_id, lang FROM documents, (SELECT count(*) AS n FROM documents) WHERE doc_id >= 3 * (n // 7) + least(3, n % 7) AND doc_id < 4 * (n // 7) + least(4, n % 7)")
+@query(f"SELECT doc_id, lang FROM {DOCUMENTS} WHERE pos >= 3 * (n // 7) + least(3, n % 7) AND pos < 4 * (n // 7) + least(4, n % 7)")
 def shard_contiguous(spark, d):
-    df = placed(spark, d, "documents", "doc_id", "lang")
+    df = parquet(spark, f"{d}/documents.parquet", "doc_id", "lang")
     return order.shard(df, 7, 3, contiguous=True, n=df.count()).drop(POS)
 
 
@@ -196,7 +199,7 @@ def add_item(spark, d):
 # Several inputs
 
 
-@query("SELECT doc_id, lang, NULL::INT AS n_nationkey, NULL::VARCHAR AS n_name, doc_id::BIGINT AS pos FROM documents UNION ALL SELECT NULL, NULL, n_nationkey, n_name, (SELECT count(*) FROM documents) + n_nationkey FROM nation")
+@query("SELECT doc_id, lang, NULL::INT AS n_nationkey, NULL::VARCHAR AS n_name, (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS pos FROM documents UNION ALL SELECT NULL, NULL, n_nationkey, n_name, (SELECT count(*) FROM documents) + n_nationkey FROM nation")
 def concat(spark, d):
     return shown(densified(combine.concat(placed(spark, d, "documents", "doc_id", "lang"), placed(spark, d, "nation", "n_nationkey", "n_name"))))
 
