@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ BITS, FACTORS = 20, 6
 #: Labelled documents the machine is fitted on at most: those with the smallest hashes of their ids.
 SAMPLE = 8_000
 #: Score from which on a document is a case.
-THRESHOLD = 0.5
+THRESHOLD = 0.2
 #: Words a window has at most, and by how many the next one starts later.
 WINDOW, STRIDE = 24, 12
 #: Words that one Python worker remembers the terms of; beyond it the memory is emptied, results stay the same.
@@ -91,7 +92,7 @@ class Terms:
         """The word, its edges and its consonants (which survive a hidden letter), and whether it looks disguised."""
         found = self.known.get(raw)
         if found is None:
-            w = plain(raw)
+            w = "0" if raw.isdigit() else plain(raw)
             terms = [self.hash("w " + w)]
             if len(w) >= 4:
                 terms.append(self.hash(f"e {w[:2]} {w[-2:]} {len(w)}"))
@@ -106,7 +107,8 @@ class Terms:
 
     def window(self, words: list[str]) -> list[int]:
         each = [self.of(w) for w in words]
-        return [t for terms in each for t in terms] + [(a[0] * 1000003 + b[0] * 8191 + 7) & self.mask for a, b in zip(each, each[1:])]
+        pairs = ((a[0] * 1000003 + b[0] * 8191 + 7) & self.mask for a, b in zip(each, each[1:]))
+        return list(dict.fromkeys(chain(chain.from_iterable(each), pairs)))
 
     def document(self, text: str | None) -> list[list[int]]:
         return [self.window(w) for w in windows(text)]
@@ -145,7 +147,7 @@ class Machine:
             out[some] = 1 / (1 + np.exp(-np.clip(top.astype(np.float64), -30, 30)))
         return out
 
-    def fit(self, ids: np.ndarray, starts: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int, rate: float = 0.05, decay: float = 1e-3) -> None:
+    def fit(self, ids: np.ndarray, starts: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int, rate: float = 0.05, decay: float = 6e-4) -> None:
         """Adam over mini-batches of windows, with weighted logistic loss."""
         n = len(starts)
         ends = np.append(starts[1:], len(ids))
@@ -208,21 +210,21 @@ def trained(texts: list[str], cases: np.ndarray, seed: int = 7) -> Machine:
     # What a document adds to the counts doesn't count for its own windows: they are judged by the other folds.
     n, folds = 1 << BITS, 5
     count = {(side, f): np.bincount(pairs[(cases[pairs[:, 0]] == side) & (pairs[:, 0] % folds == f), 1], minlength=n) for side in (True, False) for f in range(folds)}
-    evidence = np.zeros(len(doc))
+    evidence, chance = np.zeros(len(doc)), np.log(len(texts) + 20)  # the more documents, the more terms are telling by chance
     for f in range(folds):
         yes, no = (sum(count[side, g] for g in range(folds) if g != f) for side in (True, False))
         expected = (yes + no + 0.5) * cases.mean()
         surprise = np.where(yes > expected, yes * np.log(np.maximum(yes, 1) / expected) - yes + expected, 0.0)
-        telling = np.where((yes >= 2) & (yes > 2 * no) & (surprise > 3), surprise, 0.0)
+        telling = np.where((yes >= 2) & (yes > 2 * no) & (surprise > 0.45 * chance), surprise, 0.0)
         of_fold = doc % folds == f
         evidence[of_fold] = np.add.reduceat(telling[ids], starts)[of_fold]
-    chosen = (label > 0) & (evidence > 6)
+    chosen = (label > 0) & (evidence > 0.9 * chance)
     for turn in range(2):
         used = np.flatnonzero(chosen | (label == 0))
-        machine.fit(*flat([rows[i] for i in used]), *_weighted(chosen[used]), rounds=8)
+        machine.fit(*flat([rows[i] for i in used]), *_weighted(chosen[used]), rounds=16)
         if turn < 1:
             z = machine.scores(ids, starts)
-            chosen = (label > 0) & (evidence > 3) & (z > 0)
+            chosen = (label > 0) & (evidence > 0.45 * chance) & (z > 0)
             allowed, machine = machine.allowed, Machine(seed + turn + 1)
             machine.allowed = allowed
             machine.factor[~allowed] = 0
@@ -232,8 +234,8 @@ def trained(texts: list[str], cases: np.ndarray, seed: int = 7) -> Machine:
 
 
 def _weighted(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Labels and weights of windows: those of cases weigh together a fourth as much as the others, each at least 1."""
-    each = max(1.0, (~chosen).sum() / max(1, chosen.sum()) / 4)
+    """Labels and weights of windows: those of cases weigh together an eighth as much as the others, each at least 1."""
+    each = max(1.0, (~chosen).sum() / max(1, chosen.sum()) / 8)
     return chosen.astype(np.float32), np.where(chosen, min(each, 20.0), 1.0)
 
 
