@@ -155,7 +155,7 @@ class Machine:
         m = [np.zeros_like(self.weight), np.zeros_like(self.factor)]
         s = [np.zeros_like(self.weight), np.zeros_like(self.factor)]
         step = 0
-        size = max(1024, -(-n // 24))
+        size = max(128, -(-n // 24))
         for _ in range(rounds):
             order = rng.permutation(n)
             for at in range(0, n, size):
@@ -209,14 +209,15 @@ def trained(texts: list[str], cases: np.ndarray, seed: int = 7) -> Machine:
     pairs = np.unique(np.column_stack([of, ids]), axis=0)
     # What a document adds to the counts doesn't count for its own windows: they are judged by the other folds.
     n, folds = 1 << BITS, 5
-    count = {(side, f): np.bincount(pairs[(cases[pairs[:, 0]] == side) & (pairs[:, 0] % folds == f), 1], minlength=n) for side in (True, False) for f in range(folds)}
+    fold = np.random.default_rng(5).permutation(len(texts)) % folds
+    count = {(side, f): np.bincount(pairs[(cases[pairs[:, 0]] == side) & (fold[pairs[:, 0]] == f), 1], minlength=n) for side in (True, False) for f in range(folds)}
     evidence, chance = np.zeros(len(doc)), np.log(len(texts) + 20)  # the more documents, the more terms are telling by chance
     for f in range(folds):
         yes, no = (sum(count[side, g] for g in range(folds) if g != f) for side in (True, False))
         expected = (yes + no + 0.5) * cases.mean()
         surprise = np.where(yes > expected, yes * np.log(np.maximum(yes, 1) / expected) - yes + expected, 0.0)
         telling = np.where((yes >= 2) & (yes > 2 * no) & (surprise > 0.45 * chance), surprise, 0.0)
-        of_fold = doc % folds == f
+        of_fold = fold[doc] == f
         evidence[of_fold] = np.add.reduceat(telling[ids], starts)[of_fold]
     chosen = (label > 0) & (evidence > 0.9 * chance)
     for turn in range(2):
