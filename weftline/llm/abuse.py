@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 
 from weftline.llm.shared import table
 
-BITS, FACTORS = 20, 6
+BITS, FACTORS = 20, 4
+#: Machines that are fitted from different starts and averaged.
+MACHINES = 3
 #: Labelled documents the machine is fitted on at most: those with the smallest hashes of their ids.
 SAMPLE = 8_000
 #: Score from which on a document is a case.
-THRESHOLD = 0.2
+THRESHOLD = 0.4
 #: Words a window has at most, and by how many the next one starts later.
 WINDOW, STRIDE = 24, 12
 #: Words that one Python worker remembers the terms of; beyond it the memory is emptied, results stay the same.
@@ -220,18 +222,31 @@ def trained(texts: list[str], cases: np.ndarray, seed: int = 7) -> Machine:
         of_fold = fold[doc] == f
         evidence[of_fold] = np.add.reduceat(telling[ids], starts)[of_fold]
     chosen = (label > 0) & (evidence > 0.9 * chance)
-    for turn in range(2):
+    allowed = machine.allowed
+
+    def fitted(chosen: np.ndarray, start: int, rounds: int) -> Machine:
+        one = Machine(start)
+        one.allowed = allowed
+        one.factor[~allowed] = 0
         used = np.flatnonzero(chosen | (label == 0))
-        machine.fit(*flat([rows[i] for i in used]), *_weighted(chosen[used]), rounds=16)
-        if turn < 1:
-            z = machine.scores(ids, starts)
-            chosen = (label > 0) & (evidence > 0.45 * chance) & (z > 0)
-            allowed, machine = machine.allowed, Machine(seed + turn + 1)
-            machine.allowed = allowed
-            machine.factor[~allowed] = 0
-    machine.weight[~machine.allowed] = 0
-    machine.factor[~machine.allowed] = 0
-    return machine
+        one.fit(*flat([rows[i] for i in used]), *_weighted(chosen[used]), rounds=rounds)
+        return one
+
+    z = fitted(chosen, seed, 12).scores(ids, starts)
+    chosen = (label > 0) & (evidence > 0.45 * chance) & (z > 0)
+    return averaged([fitted(chosen, seed + 1 + i, 14) for i in range(MACHINES)])
+
+
+def averaged(machines: list[Machine]) -> Machine:
+    """One machine whose log-odds are the mean of several: the factors stand side by side."""
+    out = Machine()
+    out.allowed = machines[0].allowed
+    out.bias = float(np.mean([m.bias for m in machines]))
+    out.weight = np.mean([m.weight for m in machines], axis=0).astype(np.float32)
+    out.factor = np.concatenate([m.factor for m in machines], axis=1) / np.float32(np.sqrt(len(machines)))
+    out.weight[~out.allowed] = 0
+    out.factor[~out.allowed] = 0
+    return out
 
 
 def _weighted(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,7 +272,7 @@ def scored(documents: DataFrame, machine: Machine) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, terms = Machine(), Terms()
         own.bias = bias
-        own.factor[:] = 0
+        own.factor = np.zeros((1 << BITS, factor.shape[1]), np.float32)
         own.weight[used], own.factor[used] = weight, factor
         for b in batches:
             keep = [n for n in b.schema.names if n not in ("text", "score")]
