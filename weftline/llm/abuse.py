@@ -30,6 +30,8 @@ BITS, FACTORS = 20, 4
 MACHINES = 3
 #: Labelled documents the machine is fitted on at most: those with the smallest hashes of their ids.
 SAMPLE = 8_000
+#: Windows of further documents that are taken for cases at most, and the log-odds they need.
+FURTHER, SURE = 4_000, 2.2
 #: Score from which on a document is a case.
 THRESHOLD = 0.4
 #: Words a window has at most, and by how many the next one starts later.
@@ -184,25 +186,29 @@ class Machine:
                     x[touched] -= pace * m[k][touched] / (np.sqrt(s[k][touched]) + 1e-3)
 
 
-def trained(texts: list[str], cases: np.ndarray, seed: int = 7) -> Machine:
-    """The machine fitted on labelled documents. Terms of a single document say nothing and weigh nothing."""
+def trained(texts: list[str], cases: np.ndarray, further: list[list[str]] = (), seed: int = 7) -> Machine:
+    """The machine fitted on labelled documents. Terms of a single document say nothing and weigh nothing.
+
+    further: windows (lists of words) of other documents to be taken for cases.
+    """
     terms, machine = Terms(), Machine(seed)
     documents = [terms.document(t) for t in texts]
+    more = [terms.window(w) for w in further]
     seen = np.zeros(1 << BITS, np.int64)
-    for d in documents:
+    for d in [*documents, *([w] for w in more)]:
         seen[list({t for w in d for t in w})] += 1
     machine.allowed = seen >= 2
     rows, doc = [], []
-    for i, d in enumerate(documents):
+    for i, d in enumerate([*documents, *([w] for w in more)]):
         for w in {tuple(t for t in w if machine.allowed[t]) for w in d}:
             if w:
                 rows.append(list(w))
                 doc.append(i)
-    machine.weight[:] = 0
-    machine.factor[~machine.allowed] = 0
     if not rows or not cases.any():
         machine.factor[:] = 0
         return machine
+    sure = np.array(doc) >= len(texts)
+    cases = np.concatenate([cases, np.ones(len(more), bool)])
     doc = np.array(doc)
     ids, starts = flat(rows)
     label = cases[doc].astype(np.float32)
@@ -211,7 +217,7 @@ def trained(texts: list[str], cases: np.ndarray, seed: int = 7) -> Machine:
     pairs = np.unique(np.column_stack([of, ids]), axis=0)
     # What a document adds to the counts doesn't count for its own windows: they are judged by the other folds.
     n, folds = 1 << BITS, 5
-    fold = np.random.default_rng(5).permutation(len(texts)) % folds
+    fold = np.random.default_rng(5).permutation(len(cases)) % folds
     count = {(side, f): np.bincount(pairs[(cases[pairs[:, 0]] == side) & (fold[pairs[:, 0]] == f), 1], minlength=n) for side in (True, False) for f in range(folds)}
     evidence, chance = np.zeros(len(doc)), np.log(len(texts) + 20)  # the more documents, the more terms are telling by chance
     for f in range(folds):
@@ -221,7 +227,7 @@ def trained(texts: list[str], cases: np.ndarray, seed: int = 7) -> Machine:
         telling = np.where((yes >= 2) & (yes > 2 * no) & (surprise > 0.45 * chance), surprise, 0.0)
         of_fold = fold[doc] == f
         evidence[of_fold] = np.add.reduceat(telling[ids], starts)[of_fold]
-    chosen = (label > 0) & (evidence > 0.9 * chance)
+    chosen = (label > 0) & ((evidence > 0.9 * chance) | sure)
     allowed = machine.allowed
 
     def fitted(chosen: np.ndarray, start: int, rounds: int) -> Machine:
@@ -233,7 +239,7 @@ def trained(texts: list[str], cases: np.ndarray, seed: int = 7) -> Machine:
         return one
 
     z = fitted(chosen, seed, 12).scores(ids, starts)
-    chosen = (label > 0) & (evidence > 0.45 * chance) & (z > 0)
+    chosen = (label > 0) & ((evidence > 0.45 * chance) & (z > 0) | sure)
     return averaged([fitted(chosen, seed + 1 + i, 14) for i in range(MACHINES)])
 
 
@@ -263,17 +269,46 @@ def labelled(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> p
     return documents.select("doc_id", "text").filter("text is not null").join(chosen, "doc_id").selectExpr("doc_id", "text", "share > 0.5 as positive").toPandas().sort_values("doc_id")
 
 
+class Packed:
+    """The part of a machine that isn't zero, for the plans that use it."""
+
+    def __init__(self, machine: Machine) -> None:
+        self.used = np.flatnonzero(machine.allowed & ((machine.weight != 0) | machine.factor.any(axis=1)))
+        self.bias, self.weight, self.factor = machine.bias, machine.weight[self.used], machine.factor[self.used]
+
+    def machine(self) -> Machine:
+        out = Machine()
+        out.bias, out.factor = self.bias, np.zeros((1 << BITS, self.factor.shape[1]), np.float32)
+        out.weight[self.used], out.factor[self.used] = self.weight, self.factor
+        return out
+
+
+def telling_windows(documents: DataFrame, machine: Machine, without: set[int]) -> list[list[str]]:
+    """Windows of at least SURE log-odds of documents that no rater found clean, FURTHER at most: those of the smallest hashes."""
+    packed = Packed(machine)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, terms = packed.machine(), Terms()
+        for b in batches:
+            found = []
+            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                words = windows(text) if i not in without else []
+                if words:
+                    z = own.scores(*flat([terms.window(w) for w in words]))
+                    found += [" ".join(words[j]) for j in np.flatnonzero(z >= SURE)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["window"])
+
+    chosen = documents.select("doc_id", "text").mapInArrow(run, "window string").distinct().orderBy(F.xxhash64("window"), "window").limit(FURTHER)
+    return [r["window"].split(" ") for r in chosen.collect()]
+
+
 def scored(documents: DataFrame, machine: Machine) -> DataFrame:
     """documents with its column text replaced by score (0 to 1; 0 for null, empty and wordless texts)."""
-    bias, used = machine.bias, np.flatnonzero(machine.allowed & ((machine.weight != 0) | machine.factor.any(axis=1)))
-    weight, factor = machine.weight[used], machine.factor[used]
+    packed = Packed(machine)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name not in ("text", "score")), "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, terms = Machine(), Terms()
-        own.bias = bias
-        own.factor = np.zeros((1 << BITS, factor.shape[1]), np.float32)
-        own.weight[used], own.factor[used] = weight, factor
+        own, terms = packed.machine(), Terms()
         for b in batches:
             keep = [n for n in b.schema.names if n not in ("text", "score")]
             texts, scores = b.column("text").to_pylist(), []
@@ -284,11 +319,19 @@ def scored(documents: DataFrame, machine: Machine) -> DataFrame:
     return documents.mapInArrow(run, schema)
 
 
+def learned(documents: DataFrame, labels: DataFrame) -> Machine:
+    """The machine of a corpus: fitted on its labelled documents, then again with windows of all documents it is sure of."""
+    rows = labelled(documents, labels)
+    texts, cases = rows["text"].tolist(), rows["positive"].to_numpy(bool)
+    first = trained(texts, cases)
+    clean = {int(i) for i in rows["doc_id"][~cases]}
+    return trained(texts, cases, telling_windows(documents, first, clean))
+
+
 def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source and score of every document."""
     documents = table(spark, sf_dir, "documents", "doc_id", "source", "text")
-    rows = labelled(documents, table(spark, sf_dir, "doc_labels", "doc_id", "rater", "label"))
-    return scored(documents, trained(rows["text"].tolist(), rows["positive"].to_numpy(bool)))
+    return scored(documents, learned(documents, table(spark, sf_dir, "doc_labels", "doc_id", "rater", "label")))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

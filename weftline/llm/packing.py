@@ -9,6 +9,7 @@ documents then get their containers from their rank among those of equal size, w
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,15 +89,23 @@ def largest_first(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[
     Containers that are alike are one group, so the work grows with the number of sizes and not of items.
     """
     groups: dict[int, list[tuple[dict[int, int], int]]] = {}  # by room left
+    rooms: list[int] = []  # its keys in order
+
+    def put(room: int, pattern: dict[int, int], n: int) -> None:
+        if room not in groups:
+            groups[room] = []
+            insort(rooms, room)
+        groups[room].append((pattern, n))
+
     for s, left in sorted(zip(sizes.tolist(), counts.tolist()), reverse=True):
         while left > 0:
-            room = min((r for r in groups if r >= s), default=None)
-            if room is None:
+            at = bisect_left(rooms, s)
+            if at == len(rooms):
                 each = min(capacity // s, left)
-                n = left // each
-                groups.setdefault(capacity - each * s, []).append(({s: each}, n))
-                left -= n * each
+                put(capacity - each * s, {s: each}, left // each)
+                left -= left // each * each
                 continue
+            room = rooms[at]
             pattern, n = groups[room].pop()
             each = min(room // s, left)
             take = min(n, left // each)
@@ -104,7 +113,8 @@ def largest_first(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[
                 groups[room].append((pattern, n - take))
             if not groups[room]:
                 del groups[room]
-            groups.setdefault(room - each * s, []).append((pattern | {s: each}, take))
+                del rooms[at]
+            put(room - each * s, pattern | {s: each}, take)
             left -= take * each
     return [(tuple(sorted(p.items())), n) for same in groups.values() for p, n in same]
 

@@ -30,7 +30,8 @@ BESIDE = [
     r"\bbedaure\b", r"\bes tut mir leid\b", r"\bfrag(?:e|en)? (?:bitte )?etwas anderes\b", r"\bandere frage\b",
     r"\blo siento\b", r"\bpor desgracia\b", r"\bdesafortunadamente\b", r"\botra (?:pregunta|cosa)\b",
 ]
-LONGEST = 400
+#: Characters of a text that may be nothing but a refusal.
+LONGEST = 240
 
 
 def declines(text: Column) -> Column:

@@ -70,13 +70,13 @@ def ending(text: Column) -> Column:
     )
 
 
+UNITS = ("characters", "bytes", "words")
+
+
 def lengths(text: Column) -> Column:
     """The lengths of a text in each unit."""
-    return F.array(
-        F.struct(F.lit("characters").alias("unit"), F.length(text).cast("bigint").alias("length")),
-        F.struct(F.lit("bytes").alias("unit"), F.octet_length(text).cast("bigint").alias("length")),
-        F.struct(F.lit("words").alias("unit"), F.regexp_count(text, F.lit(r"\S+")).cast("bigint").alias("length")),
-    )
+    counts = (F.length(text), F.octet_length(text), F.regexp_count(text, F.lit(r"\S+")))
+    return F.array(*(F.struct(F.lit(unit).alias("unit"), n.cast("bigint").alias("length")) for unit, n in zip(UNITS, counts)))
 
 
 def limits(records: DataFrame, neighbours: int = NEIGHBOURS, rate: float = FALSE_DISCOVERY) -> DataFrame:
@@ -112,11 +112,14 @@ def limits(records: DataFrame, neighbours: int = NEIGHBOURS, rate: float = FALSE
     return tests.join(F.broadcast(accepted), F.col("bin") <= F.col("most")).select("source", "unit", "length", "n", "at_risk", "log_p")
 
 
-def at_limit(records: DataFrame, found: DataFrame, *keep: str) -> DataFrame:
-    """Columns keep of records (with source and text) and limited: whether a length of the text is one of the limits found."""
-    per_source = found.groupBy("source").agg(F.collect_set(F.struct("unit", "length")).alias("limits"))
-    joined = records.join(per_source, records["source"].eqNullSafe(per_source["source"]), "left").drop(per_source["source"])
-    return joined.select(*keep, F.coalesce(F.arrays_overlap("limits", lengths(F.col("text"))), F.lit(False)).alias("limited"))
+def at_limit(records: DataFrame, found: DataFrame) -> DataFrame:
+    """records (source, text and others) without text, with limited: whether a length of the text is one of the limits found. Texts aren't shuffled."""
+    per_source = found.groupBy("source").agg(F.collect_set(F.struct("unit", "length")).alias("__limits")).withColumnRenamed("source", "__source")
+    of = lengths(F.col("text"))
+    sized = records.withColumns({f"__l{i}": of[i]["length"] for i in range(3)}).drop("text")
+    joined = sized.join(per_source, F.col("source").eqNullSafe(F.col("__source")), "left")
+    own = F.array(*(F.struct(F.lit(unit).alias("unit"), F.col(f"__l{i}").alias("length")) for i, unit in enumerate(UNITS)))
+    return joined.withColumn("limited", F.coalesce(F.arrays_overlap("__limits", own), F.lit(False))).drop("__source", "__limits", *(f"__l{i}" for i in range(3)))
 
 
 def truncated(records: DataFrame) -> DataFrame:
@@ -125,7 +128,7 @@ def truncated(records: DataFrame) -> DataFrame:
     records: tbl, row_key, source, text. Rows with the same tbl and row_key are one record. Nulls, blanks and stand-ins are not cut. Empty tables give no rows.
     """
     one = records.groupBy("tbl", "row_key").agg(F.first("source").alias("source"), F.first("text").alias("text"))
-    marked = at_limit(one.select("tbl", "row_key", "source", "text", ending(F.col("text")).alias("ending")), limits(one), "tbl", "row_key", "source", "ending")
+    marked = at_limit(one.select("tbl", "row_key", "source", "text", ending(F.col("text")).alias("ending")), limits(one))
     cut = (F.col("ending") == "cut") | (F.col("ending") == "open") & F.col("limited")
     return marked.filter(cut).select("tbl", "row_key", "source", F.when(F.col("limited"), "limit").otherwise("transfer").alias("cause"))
 
