@@ -14,8 +14,8 @@ def label_ids(*frames: DataFrame, label: str) -> DataFrame:
     """label and label_id of all labels in all frames, numbered by their order as strings; lists count by their elements, nulls not at all."""
     parts = []
     for f in frames:
-        values = F.explode(label) if isinstance(f.schema[label].dataType, T.ArrayType) else F.col(label)
-        parts.append(f.select(values.cast("string").alias("label")))
+        values = F.explode(F.transform(label, lambda x: x.cast("string"))) if isinstance(f.schema[label].dataType, T.ArrayType) else F.col(label).cast("string")
+        parts.append(f.select(values.alias("label")))
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)

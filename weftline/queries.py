@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,10 @@ from weftline.operators import combine, order, rows
 from weftline.plans import prompts as P
 from weftline.plans import training as T
 from weftline.position import POS, densified
+from weftline.sources import files, sinks
 from weftline.sources.files import parquet
+from weftline.storage import shared_folder
+from weftline.streaming import stateless
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -414,6 +418,84 @@ def rag_prompt(spark, d):
     return P.rag_prompts(df, "q", out="prompt").select("vec_id", "prompt")
 
 
+AFTER = "(SELECT vec_id, embedding AS a, lead(embedding) OVER (ORDER BY vec_id) AS p, lead(embedding, 2) OVER (ORDER BY vec_id) AS n FROM embeddings)"
+
+
+@query(f"SELECT round(avg(CASE WHEN list_cosine_similarity(a::DOUBLE[], p::DOUBLE[]) > list_cosine_similarity(a::DOUBLE[], n::DOUBLE[]) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM {AFTER} WHERE n IS NOT NULL")
+def triplet_accuracy(spark, d):
+    df = read(spark, d, "embeddings", "vec_id", "embedding")
+    one = df.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("p"))
+    two = df.select((F.col("vec_id") - 2).alias("vec_id"), F.col("embedding").alias("n"))
+    return T.triplet_accuracy(df.join(one, "vec_id").join(two, "vec_id"), "embedding", "p", "n").select(F.round("accuracy", 6).alias("accuracy"))
+
+
+@query("SELECT o_orderkey, list_sum(list_slice(list_concat(list_concat([-100, -100], [o_custkey]), [9]), 1, 3))::BIGINT AS labels_sum FROM orders")
+def causal_masks(spark, d):
+    df = read(spark, d, "orders", "o_orderkey", "o_custkey").select("o_orderkey", F.array(F.lit(1), F.lit(2)).alias("p"), F.array(F.col("o_custkey").cast("int")).alias("c"))
+    return T.causal(df, "p", "c", 9, 3).select("o_orderkey", F.aggregate("labels", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("labels_sum"))
+
+
+@query("SELECT event_type, round(p, 6) AS p, s FROM (SELECT event_type, avg(value) AS p, count(*) AS s FROM events GROUP BY event_type) ORDER BY p DESC, s DESC LIMIT 1")
+def best_metric(spark, d):
+    df = read(spark, d, "events", "event_type", "value").groupBy("event_type").agg(F.avg("value").alias("p"), F.count("*").alias("s"))
+    return T.best(df, "p", "s", "event_type").withColumn("p", F.round("p", 6))
+
+
+# Files and streams
+
+
+def _folder(spark: SparkSession) -> str:
+    from urllib.parse import urlparse
+    from uuid import uuid4
+
+    path = f"{urlparse(shared_folder(spark)).path}/weftline-{uuid4().hex}"
+    os.makedirs(path)
+    return path
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey, n_nationkey::BIGINT AS pos FROM nation")
+def csv_round_trip(spark, d):
+    path = sinks.to_csv(placed(spark, d, "nation", "n_nationkey", "n_name", "n_regionkey"), f"{_folder(spark)}/x.csv", "|")
+    return shown(files.csv(spark, files=path, sep="|"))
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal, (row_number() OVER (ORDER BY s_suppkey) - 1)::BIGINT AS pos FROM supplier")
+def json_round_trip(spark, d):
+    path = sinks.to_json(placed(spark, d, "supplier", "s_suppkey", "s_name", "s_acctbal"), f"{_folder(spark)}/x.json")
+    return shown(files.json(spark, files=path))
+
+
+@query("SELECT c_name AS text, (row_number() OVER (ORDER BY c_custkey) - 1)::BIGINT AS pos FROM customer")
+def text_lines(spark, d):
+    path = f"{_folder(spark)}/lines"
+    placed(spark, d, "customer", "c_custkey", "c_name").orderBy(POS).coalesce(1).select("c_name").write.text(path)
+    return shown(files.text(spark, path))
+
+
+@query("SELECT o_orderkey, o_totalprice, (row_number() OVER (ORDER BY o_orderkey) - 1)::BIGINT AS pos FROM orders")
+def sharded_export(spark, d):
+    path = sinks.to_parquet(order_frame(spark, d), f"{_folder(spark)}/set", 4)
+    return shown(files.saved(spark, path))
+
+
+@query("SELECT row_id, train_prompts AS prompt, chosen FROM dpo_train WHERE chosen IS NOT NULL")
+def finetune_lines(spark, d):
+    df = read(spark, d, "dpo_train", "row_id", "train_prompts", "chosen").filter("chosen is not null").withColumn(POS, F.col("row_id"))
+    lines = sinks.chat_lines(df, "train_prompts", "chosen", "Be brief.")
+    message = lambda i: F.get_json_object("value", f"$.messages[{i}].content")
+    return lines.select(F.col(POS).alias("row_id"), message(1).alias("prompt"), message(2).alias("chosen"))
+
+
+@query("SELECT event_id, value * 2 AS twice FROM events WHERE event_type = 'click'")
+def stream_stateless(spark, d):
+    schema = read(spark, d, "events").schema
+    source = spark.readStream.schema(schema).parquet(f"{d}/event?.parquet")
+    out = stateless.stream(source, lambda df: df.filter("event_type = 'click'"), lambda df: df.select("event_id", (F.col("value") * 2).alias("twice")))
+    folder = _folder(spark)
+    stateless.to_table(out, f"{folder}/out", f"{folder}/check").awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
 # The flagship
 
 

@@ -9,11 +9,12 @@ from collections.abc import Callable, Iterable
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftline import ingest
 from weftline.fingerprint import files_state, fingerprint
+from weftline.functions import cards
 from weftline.functions import text as X
 from weftline.models import Model, with_model, with_model_memoised
 from weftline.operators import combine, order, rows
@@ -295,6 +296,24 @@ class Step:
             return sinks.to_parquet(frames.popitem()[1], path, num_shards)
         return {s: sinks.to_parquet(f, os.path.join(path, s), num_shards) for s, f in frames.items()}
 
+    def export_for_hub(self, folder: str, synthetic: bool = False, **sizes: Any) -> str:
+        """A folder to upload: Parquet files by split, a card with licences, size and lineage."""
+        self.export_to_dataset(os.path.join(folder, "data"), **sizes)
+        n = self.num_rows
+        size = self.session.spark.range(1).select(X.size_category(F.lit(n)).alias("s")).first()["s"]
+        with open(os.path.join(folder, "README.md"), "w") as f:
+            f.write(cards.written_card(self.name, n, size, self.card, synthetic))
+        return folder
+
+    def save_in_background(self, name: str | None = None):
+        """save() on a thread of its own; the future's result() waits for it."""
+        return self.session.pool.submit(self.save, name)
+
+    def observed(self) -> tuple[Step, Observation]:
+        """The same rows, and an observation that has their number once an action has run over them."""
+        seen = Observation(f"rows of {self.name}")
+        return self._next("observed", self._frame.observe(seen, F.count(F.lit(1)).alias("rows")), num_rows=self._rows), seen
+
     def head(self, n: int = 5, shuffle: bool = False, seed: int = 0):
         return sinks.head(order.shuffle(self.dense, seed) if shuffle else self._frame, n)
 
@@ -376,6 +395,21 @@ def saved_source(name: str, path: str) -> Step:
     return _file_source("saved", name, files.saved(Session.active.spark, path), [path])
 
 
+def hub_source(name: str, path: str) -> Step:
+    """A local copy of a published dataset: Parquet files below path, and README.md with its licences and citations."""
+    data = os.path.join(path, "data") if os.path.isdir(os.path.join(path, "data")) else path
+    step = parquet_source(name, data)
+    card = os.path.join(path, "README.md")
+    if os.path.exists(card):
+        with open(card) as f:
+            text = f.read()
+        step.register_data_card("Dataset Card", card)
+        for kind, values in (("License", cards.licences(text)), ("Citation", cards.citations(text))):
+            for v in values:
+                step.register_data_card(kind, v)
+    return step
+
+
 class CustomStep:
     """A step of one's own: subclass it, declare inputs, arguments and outputs in setup(), and return rows from run().
 
