@@ -28,7 +28,7 @@ def encode_labels(df: DataFrame, label: str, ids: DataFrame, out: str = "labels"
     if isinstance(df.schema[label].dataType, T.ArrayType):
         order = ids.agg(F.transform(F.sort_array(F.collect_list(F.struct("label_id", "label"))), lambda x: x["label"]).alias("__all"))
         strings = F.transform(label, lambda x: x.cast("string"))
-        return df.crossJoin(F.broadcast(order)).withColumn(out, F.transform("__all", lambda x: F.array_contains(strings, x).cast("double"))).drop("__all")  # one row of labels
+        return df.crossJoin(F.broadcast(order)).withColumn(out, F.when(F.col(label).isNotNull(), F.transform("__all", lambda x: F.array_contains(strings, x).cast("double")))).drop("__all")  # one row of labels
     return df.join(ids.select(F.col("label").alias("__label"), F.col("label_id").alias(out)), F.col(label).cast("string") == F.col("__label"), "left").drop("__label")
 
 

@@ -310,7 +310,7 @@ class Step:
         return self.session.pool.submit(self.save, name)
 
     def observed(self) -> tuple[Step, Observation]:
-        """The same rows, and an observation that has their number once an action has run over them."""
+        """The same rows, and an observation that has their number once an action has written or read them in one pass (a sort samples its input first, which counts too)."""
         seen = Observation(f"rows of {self.name}")
         return self._next("observed", self._frame.observe(seen, F.count(F.lit(1)).alias("rows")), num_rows=self._rows), seen
 
