@@ -94,7 +94,7 @@ def test_packed_documents(spark):
             assert len(own) == max(1, -(-max(n or 0, 0) // capacity))
         least = -(-sum(max(n or 0, 0) for _, n in rows) // capacity)
         assert len([c for c in used if used[c]]) <= least * 1.08 + 1
-    assert packing.packed(df.limit(0), [("small", 50)]).count() == 0
+    assert packing.packed(df.limit(0), [("small", 50)]).count() == 0 and packing.packed(df, []).count() == 0
 
 
 CUT = ["It was late and the lam", "The end of the sentence was lost when the tow…", "Then nobody came...", "One.\n- moat (A)\n- re", "Text \\u00", "So it is and&am", "A.\n```python\nx = [", '{"a": "b', "He said [cut]", "Because the cherry is crimson,", "see https://exam", "and so d�"]
@@ -105,8 +105,9 @@ NOTHING = [None, "", "  \n", "N/A", "nan", "...", "--", "<|endoftext|>", "[no ou
 
 def test_endings(spark):
     texts = [(t, "cut") for t in CUT] + [(t, "complete") for t in COMPLETE] + [(t, "open") for t in OPEN] + [(t, "none") for t in NOTHING]
-    df = spark.createDataFrame(texts, "text string, want string").select("*", truncation.ending(F.col("text")).alias("got"))
-    assert [tuple(r) for r in df.filter("got != want").collect()] == []
+    df = truncation.with_ending(spark.createDataFrame(texts, "text string, want string"))
+    assert [tuple(r) for r in df.filter("ending != want").collect()] == []
+    assert df.filter(truncation.says_nothing(F.col("text")) != (F.col("want") == "none")).count() == 0
 
 
 def test_limits_and_cut_records(spark):

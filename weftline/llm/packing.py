@@ -149,9 +149,10 @@ def packed(sizes: DataFrame, limits: list[tuple[str, int]]) -> DataFrame:
 
     sizes: doc_id, n_tokens (a null or negative number counts as 0); rows are taken one for one, repeated ids too. A document is
     split only if it is larger than the capacity: into whole containers of its own ('own:<doc_id>:<part>') and a rest. All other
-    parts are in shared containers ('<model>:<number>'); documents of no tokens are in the first. Empty tables give no rows.
+    parts are in shared containers ('<model>:<number>'); documents of no tokens are in the first. Empty tables and no models give no rows.
     """
-    spark = sizes.sparkSession
+    if not limits:
+        return packed(sizes.limit(0), [("", 1)])
     model = F.explode(F.array(*(F.struct(F.lit(i).alias("m"), F.lit(c).cast("bigint").alias("capacity")) for i, (_, c) in enumerate(limits))))
     n = F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0)).cast("bigint")
     rows = sizes.select("doc_id", n.alias("n"), model.alias("of")).select("doc_id", "n", "of.m", "of.capacity")
@@ -191,7 +192,7 @@ def packed(sizes: DataFrame, limits: list[tuple[str, int]]) -> DataFrame:
     out = ranked.mapInArrow(run, f"doc_id {kind}, m int, capacity bigint, whole bigint, size bigint, shared bigint")
     rest = (F.col("size") > 0) | (F.col("whole") == 0)
     part = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("whole") - F.when(rest, 0).otherwise(1)))
-    name = F.element_at(F.array(*(F.lit(m) for m, _ in limits)), F.col("m") + 1) if limits else F.lit(None).cast("string")
+    name = F.element_at(F.array(*(F.lit(m) for m, _ in limits)), F.col("m") + 1)
     own = F.col("part") < F.col("whole")
     return out.withColumn("part", part).select(
         name.alias("model_name"),

@@ -37,37 +37,50 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
 
 
+#: Characters at the end of a text that tell how it ends, and of a text that may be a stand-in.
+TAIL, SHORT = 120, 60
+
+
+def _nothing(t: Column) -> Column:
+    bare = F.regexp_replace(t, r"^[\[(<]\s*(.*?)\s*[\])>]$", "$1")
+    return F.coalesce((F.length(t) <= SHORT) & ((t == "") | t.rlike(STAND_IN) | bare.rlike(STAND_IN)), F.lit(True))
+
+
 def says_nothing(text: Column) -> Column:
     """Whether text is null, blank or only a stand-in for a missing value."""
-    t = trimmed(text)
-    bare = F.regexp_replace(t, r"^[\[(<]\s*(.*?)\s*[\])>]$", "$1")
-    return F.coalesce((t == "") | t.rlike(STAND_IN) | bare.rlike(STAND_IN), F.lit(True))
+    return _nothing(trimmed(text))
 
 
-def ending(text: Column) -> Column:
-    """How a text ends: 'none' (it says nothing), 'complete', 'open' (undecided: a name under a letter, a link) or 'cut'."""
-    t = trimmed(text)
-    last = F.regexp_extract(t, r"([^\n]*)$", 1)
-    fences = F.regexp_count(t, F.lit("```"))
+def with_ending(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with a column ending: how a text ends.
+
+    'none' (it says nothing), 'complete', 'open' (undecided: a name under a letter, a link) or 'cut'. The stages before the last
+    keep costly parts from being repeated in every branch; what most texts are, ended by a stop, is decided first.
+    """
+    df = df.withColumn("__t", trimmed(F.col(text)))
+    df = df.withColumns({"__tail": F.right("__t", F.lit(TAIL)), "__last": F.substring_index("__t", "\n", -1), "__none": _nothing(F.col("__t")), "__fenced": F.contains("__t", F.lit("```"))})
+    df = df.withColumns({"__left": F.col("__tail").rlike(LEFT_BEHIND), "__stop": F.col("__tail").rlike(STOP)})
+    t, last, stop = F.col("__t"), F.col("__last"), F.col("__stop")
     words = F.regexp_count(t, F.lit(r"\S+"))
+    odd = F.regexp_count(t, F.lit("```")) % 2 == 1
     sibling = t.rlike(rf"(?:^|\n)\s*{ITEM}[^\n]*[.!?)]\s*\n\s*{ITEM}[^\n]*$")
     bare_sibling = t.rlike(rf"(?:^|\n)\s*{ITEM}[^\n]*[^.!?)\s]\s*\n\s*{ITEM}[^\n]*$")
-    return (
-        F.when(says_nothing(text), "none")
-        .when(declines(text), "complete")
-        .when(t.rlike(LEFT_BEHIND), "cut")
-        .when(fences % 2 == 1, "cut")
-        .when(fences > 0, F.when(t.endswith("```") | t.rlike(STOP), "complete").otherwise("cut"))
-        .when(t.rlike(r"^[\[{]"), F.when(F.try_parse_json(t).isNotNull() | t.rlike(STOP), "complete").otherwise(F.when(t.rlike(r"[\]}]$"), "complete").otherwise("cut")))
-        .when(t.rlike(STOP), "complete")
+    ending = (
+        F.when(F.col("__none"), "none")
+        .when(F.col("__left"), "cut")
+        .when(F.col("__fenced"), F.when(odd, "cut").when(t.endswith("```") | stop, "complete").otherwise("cut"))
+        .when(stop, "complete")
+        .when(declines(F.col(text)), "complete")
+        .when(t.rlike(r"^[\[{]"), F.when(t.rlike(r"[\]}]$"), "complete").when(F.try_parse_json(t).isNotNull(), "complete").otherwise("cut"))
         .when(t.rlike(r"https?:\S*$"), F.when(t.rlike(r"https?://[^\s/]+\.[^\s/]+/\S*[^\s/]$"), "open").otherwise("cut"))
-        .when(last.rlike(rf"^\s*{ITEM}"), F.when(t.rlike(r"\)$"), "complete").when(sibling, "cut").when(bare_sibling, "complete").otherwise("cut"))
+        .when(last.rlike(rf"^\s*{ITEM}"), F.when(t.endswith(")"), "complete").when(sibling, "cut").when(bare_sibling, "complete").otherwise("cut"))
         .when(t.rlike(r"(?:,|\n\n[^\n.!?]{3,40})\n+\p{Lu}[\p{L}'’-]*(?: \p{L}[\p{L}'’-]*){0,2}$"), "open")
-        .when(t.rlike(r"[,;:(\[{“«–—-]$"), "cut")
+        .when(last.rlike(r"[,;:(\[{“«–—-]$"), "cut")
         .when((words <= 3) & ~t.rlike(r"[.!?]\s"), "complete")
-        .when(last.rlike(r"[\n)]$") & t.rlike(r"\n"), "complete")
+        .when(last.endswith(")") & F.contains(t, F.lit("\n")), "complete")
         .otherwise("cut")
     )
+    return df.withColumn("ending", ending).drop("__t", "__tail", "__last", "__none", "__fenced", "__left", "__stop")
 
 
 UNITS = ("characters", "bytes", "words")
@@ -128,7 +141,7 @@ def truncated(records: DataFrame) -> DataFrame:
     records: tbl, row_key, source, text. Rows with the same tbl and row_key are one record. Nulls, blanks and stand-ins are not cut. Empty tables give no rows.
     """
     one = records.groupBy("tbl", "row_key").agg(F.first("source").alias("source"), F.first("text").alias("text"))
-    marked = at_limit(one.select("tbl", "row_key", "source", "text", ending(F.col("text")).alias("ending")), limits(one))
+    marked = at_limit(with_ending(one), limits(one))
     cut = (F.col("ending") == "cut") | (F.col("ending") == "open") & F.col("limited")
     return marked.filter(cut).select("tbl", "row_key", "source", F.when(F.col("limited"), "limit").otherwise("transfer").alias("cause"))
 
