@@ -88,6 +88,18 @@ def test_cosine_and_retrieval(spark):
     assert got[0]["results"]["indices"][0] == 1 and got[1]["results"]["texts"][0] == "red apple" and got[0]["results"]["scores"][0] == pytest.approx(1.0)
 
 
+def test_top_k_in_many_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item bigint, embedding array<float>")
+    monkeypatch.setattr(V, "QUERY_BLOCK", 5)
+    got = V.top_k(df.withColumnRenamed("item", "query"), df, 4)
+    want = np.argsort(-(x.astype(np.float32).astype(float) @ x.astype(np.float32).astype(float).T), axis=1)[:, :4]
+    assert sorted((r["query"], r["rank"], r["item"]) for r in got.collect()) == [(i, j + 1, int(want[i, j])) for i in range(60) for j in range(4)]
+
+
 def test_top_k_with_ties_nulls_and_more_than_there_are(spark):
     corpus = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(5)] + [(9, None)], "item bigint, embedding array<float>")
     queries = spark.createDataFrame([(0, [1.0, 0.0]), (1, None)], "query bigint, embedding array<float>")

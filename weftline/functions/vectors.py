@@ -36,6 +36,8 @@ def argmax(a: Column) -> Column:
 
 #: Queries of one block; a block's vectors go to the tasks that read the corpus, so this bounds what is sent to each.
 QUERY_BLOCK = 2_000
+#: Blocks up to which the queries are sent to every task: 16,000 vectors.
+SENT_BLOCKS = 8
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, query: str = "query", vector: str = "embedding", item: str = "item") -> DataFrame:
@@ -53,7 +55,12 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, query: str = "query", v
     parts = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = corpus.withColumn("__part", F.pmod(F.xxhash64(item), F.lit(max(parts, -(-corpus.count() // 20_000)))).cast("int"))
     lists = lists.groupBy("__part").agg(F.collect_list(F.struct(item, vector)).alias("__items"))  # about 20,000 items each
-    pairs = lists.crossJoin(packed) if blocks == 1 else lists.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "__block")
+    if blocks <= SENT_BLOCKS:  # a bounded set of queries goes to every task
+        pairs = lists.crossJoin(F.broadcast(packed))
+    else:  # each pairing of a part and a block is a key of its own, so no task gets all of either side
+        last = lists.agg(F.max("__part")).first()[0]
+        sides = (lists.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), packed.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(last or 0)))))
+        pairs = sides[0].join(sides[1].hint("shuffle_hash"), ["__part", "__block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
