@@ -186,7 +186,7 @@ class Machine:
                     x[touched] -= pace * m[k][touched] / (np.sqrt(s[k][touched]) + 1e-3)
 
 
-def trained(texts: list[str], cases: np.ndarray, further: list[list[str]] = (), seed: int = 7) -> Machine:
+def trained(texts: list[str], cases: np.ndarray, further: list[list[str]] = (), seed: int = 7, machines: int = MACHINES) -> Machine:
     """The machine fitted on labelled documents. Terms of a single document say nothing and weigh nothing.
 
     further: windows (lists of words) of other documents to be taken for cases.
@@ -240,7 +240,7 @@ def trained(texts: list[str], cases: np.ndarray, further: list[list[str]] = (),
 
     z = fitted(chosen, seed, 12).scores(ids, starts)
     chosen = (label > 0) & ((evidence > 0.45 * chance) & (z > 0) | sure)
-    return averaged([fitted(chosen, seed + 1 + i, 14) for i in range(MACHINES)])
+    return averaged([fitted(chosen, seed + 1 + i, 14) for i in range(machines)])
 
 
 def averaged(machines: list[Machine]) -> Machine:
@@ -323,7 +323,7 @@ def learned(documents: DataFrame, labels: DataFrame) -> Machine:
     """The machine of a corpus: fitted on its labelled documents, then again with windows of all documents it is sure of."""
     rows = labelled(documents, labels)
     texts, cases = rows["text"].tolist(), rows["positive"].to_numpy(bool)
-    first = trained(texts, cases)
+    first = trained(texts, cases, machines=1)
     clean = {int(i) for i in rows["doc_id"][~cases]}
     return trained(texts, cases, telling_windows(documents, first, clean))
 
