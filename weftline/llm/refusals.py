@@ -32,11 +32,21 @@ BESIDE = [
 ]
 #: Characters of a text that may be nothing but a refusal.
 LONGEST = 240
+# Words of which every sentence that declines has one at least; by them most texts are told apart at once.
+SCREEN = (
+    "i we me appropriate assistant ai model ne je suis préfère permis dépasse modèle ich sprachmodell richtlinien muss no debo tengo prefiero impiden modelo cant cannot"
+).split()
 
 
-def declines(text: Column) -> Column:
-    """Whether every sentence of a text declines to answer or goes along with that, and one declines. False for null and empty texts."""
-    plain = F.regexp_replace(F.lower(text), "[’‘`´]", "'")
+def declines(text: Column, words: Column | None = None) -> Column:
+    """Whether every sentence of a text declines to answer or goes along with that, and one declines. False for null and empty texts.
+
+    words: the text's words in small letters, if they are at hand; they save the patterns for texts that can't match.
+    """
+    plain = F.translate(F.lower(text), "’‘`´", "'''''")
     core, any_of = "|".join(DECLINES), "|".join(DECLINES + BESIDE)
     rest = F.regexp_replace(plain, rf"[^.!?\n]*(?:{any_of})[^.!?\n]*(?:[.!?]+|\n|$)", "")
-    return F.coalesce((F.length(text) <= LONGEST) & plain.rlike(core) & ~rest.rlike(r"\p{L}"), F.lit(False))
+    may = F.length(text) <= LONGEST
+    if words is not None:
+        may = may & F.arrays_overlap(words, F.array(*map(F.lit, SCREEN)))
+    return F.coalesce(may & plain.rlike(core) & ~rest.rlike(r"\p{L}"), F.lit(False))
