@@ -43,7 +43,7 @@ def declines(text: Column, words: Column | None = None) -> Column:
 
     words: the text's words in small letters, if they are at hand; they save the patterns for texts that can't match.
     """
-    plain = F.translate(F.lower(text), "’‘`´", "'''''")
+    plain = F.translate(F.lower(text), "’‘`´", "'" * 4)
     core, any_of = "|".join(DECLINES), "|".join(DECLINES + BESIDE)
     rest = F.regexp_replace(plain, rf"[^.!?\n]*(?:{any_of})[^.!?\n]*(?:[.!?]+|\n|$)", "")
     may = F.length(text) <= LONGEST
