@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from weftline.llm import near_duplicates as N
 from weftline.llm import shared, split_overlap
@@ -101,6 +102,28 @@ def test_overlaps_are_those_of_brute_force(spark):
     assert strong <= got and len(got) >= 0.95 * len(want)
 
 
+@pytest.mark.parametrize("region", [8000, 30])
+def test_versions_of_one_prompt_among_a_third_of_all_texts(spark, monkeypatch, region):
+    """Their shared word pairs are the most frequent ones and count all the same."""
+    rng = random.Random(8)
+    base = rng.choices(WORDS, k=100)
+    texts = []
+    for i in range(450):
+        words = list(base) if i % 3 == 0 else rng.choices(WORDS, k=40)
+        for at in rng.sample(range(100), 6) if i % 3 == 0 else ():
+            words[at] = f"v{i}x{at}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame([(0, i, i % 2 == 0, t) for i, t in enumerate(texts)], "part byte, id long, trains boolean, text string").repartition(3)
+    monkeypatch.setattr(N, "REGION", region)
+    cloudpickle.register_pickle_by_value(N)
+    try:
+        got = {(r["train_id"], r["test_id"]) for r in split_overlap.overlaps(df).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(N)
+    want = {(a, b) if a % 2 == 0 else (b, a) for a, b in brute(texts) if a % 2 != b % 2}
+    assert len(want) > 5000 and got == want
+
+
 def test_fingerprints_never_differ_more_than_the_sets():
     words = shared.Words()
     texts = [t for t in corpus() if t]

@@ -122,11 +122,12 @@ def regions(records: DataFrame, frequency: np.ndarray) -> DataFrame:
 
 
 class Region:
-    """Rows sorted by pivot."""
+    """Rows sorted by pivot. With a column trains only rows of which one has it true and one false meet."""
 
     def __init__(self, t: pa.Table) -> None:
         position = t.column("np").to_numpy()
         self.pivot, self.k, self.n, self.p = t.column("pivot").to_numpy(), t.column("k").to_numpy(), position >> 32, position & 0xFFFFFFFF
+        self.trains = t.column("trains").to_numpy() if "trains" in t.column_names else None
         prints = t.column("print").combine_chunks()
         prints = prints.chunk(0) if isinstance(prints, pa.ChunkedArray) else prints
         ends = np.frombuffer(prints.buffers()[1], np.int32)[prints.offset : prints.offset + len(prints) + 1]
@@ -134,21 +135,35 @@ class Region:
         self.prints = narrowed(np.frombuffer(prints.buffers()[2], np.uint8)[ends[0] : ends[-1]].copy().view(np.uint64), self.width)
 
     def meet(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """k of those rows i and j whose sizes, positions and fingerprints allow a likeness of 0.5, the smaller text first."""
+        """k of those rows i and j whose sizes, positions and fingerprints allow a likeness of 0.5, the smaller text first; with trains the one that trains."""
         n, p, k = self.n, self.p, self.k
         a, b = np.where((n[i] < n[j]) | (n[i] == n[j]) & (k[i] < k[j]), (i, j), (j, i))
         ok = (k[a] != k[b]) & (3 * p[a] <= n[a] + 3) & (2 * n[a] >= n[b]) & (3 * np.minimum(n[a] - p[a], n[b] - p[b]) >= n[a] + n[b])
+        if self.trains is not None:
+            ok &= self.trains[a] != self.trains[b]
         a, b = a[ok], b[ok]
         width, near = np.minimum(self.width[a], self.width[b]), np.zeros(len(a), bool)
         for w in WIDTHS:
             at = np.flatnonzero(width == w)
             differ = np.bitwise_count(self.prints[w][a[at]] ^ self.prints[w][b[at]]).sum(axis=1, dtype=np.int64)
             near[at] = 3 * differ <= n[a[at]] + n[b[at]]
-        return k[a[near]], k[b[near]]
+        a, b = a[near], b[near]
+        if self.trains is not None:
+            a, b = np.where(self.trains[a], (a, b), (b, a))
+        return k[a], k[b]
+
+    def sides(self, small: np.ndarray, region: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """What of small is to meet what of region."""
+        if self.trains is None:
+            return [(small, region)]
+        return [(small[self.trains[small] == side], region[self.trains[region] != side]) for side in (True, False)]
 
 
 def joined(rows: DataFrame) -> DataFrame:
-    """k_a and k_b of the rows that meet within their regions, each region joined in one task, none larger than REGION allows."""
+    """k_a and k_b of the rows that meet within their regions, each region joined in one task, none larger than REGION allows.
+
+    Where rows have a column trains (boolean), k_a trains and k_b doesn't.
+    """
 
     def within(t: pa.Table) -> pa.RecordBatch:
         x = Region(t)
@@ -165,9 +180,10 @@ def joined(rows: DataFrame) -> DataFrame:
         for s, m in zip(start[size > 64], size[size > 64]):
             region = np.arange(s, s + m)
             small = region[3 * x.p[region] <= x.n[region] + 3]
-            for at in range(0, len(small), max(1, 1_000_000 // m)):
-                some = small[at : at + max(1, 1_000_000 // m)]
-                found.append(x.meet(np.repeat(some, m), np.tile(region, len(some))))
+            for mine, others in x.sides(small, region):
+                for at in range(0, len(mine), max(1, 1_000_000 // m)):
+                    some = mine[at : at + max(1, 1_000_000 // m)]
+                    found.append(x.meet(np.repeat(some, len(others)), np.tile(others, len(some))))
         a, b = (np.concatenate([f[side] for f in found] or [np.zeros(0, np.int64)]) for side in (0, 1))
         if len(a):
             order = np.lexsort((b, a))

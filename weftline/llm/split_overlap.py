@@ -1,65 +1,19 @@
 """Problem 3: prompts held out for evaluation that also stand, equal or nearly so, in training.
 
-Each text gets a similarity hash: BLOCKS segments of WIDE minima of hashed word pairs each, and 64 bits taken from such minima,
-which differ in a share of (1 - likeness) / 2 between two texts. Segments are joined across splits only, within a Hamming
-radius of the bits; the texts decide. Pairs that stand in more than COMMON of the texts are left out of the hash, since
-templates share them; texts of hardly any other pairs keep all. At 3 minima and 32 segments two texts of likeness 0.5 meet
-with a probability of 0.986 (0.5 in the rarer pairs), of 0.6 with 0.9996.
+The join is the exact one of near_duplicates.py: regions of single word pairs, windows by set sizes, bit fingerprints within a
+Hamming distance that the sizes allow, the texts last. Only rows of different splits meet. All word pairs of a text count, also
+those of templates: they come last in the order of pivots, so they cost rows only where they make up half of a text.
 
-Texts of equal sets of pairs take part under the hash of the set, once for each task that reads them, and are expanded at the end.
+Texts of equal sets of pairs take part under the hash of the set, once for each split and task that reads them, and are expanded at the end.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import MIN_WORDS, Fresh, Words, keys, mix, slot, surveyed, table, verified
-
-BLOCKS, WIDE, RADIUS = 32, 3, 28
-#: Share of the texts from which on a pair is common, and how many others a text needs to do without these.
-COMMON, ENOUGH = 0.01, 10
-
-
-def multipliers(n: int, salt: int) -> np.ndarray:
-    return mix(np.arange(1, n + 1, dtype=np.uint64), salt) | np.uint64(1)
-
-
-def blocks(records: DataFrame, frequency: np.ndarray, most: float) -> DataFrame:
-    """Of each text of at least MIN_WORDS words (part, text) its segments: block (hash of part, number and minima), k and bits."""
-    first, second = multipliers(BLOCKS * WIDE, 31), multipliers(64, 32)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, fresh = Words(), Fresh()
-        for batch in batches:
-            keys_of, counts, b = keys(batch, words)
-            rare = frequency[slot(b.pair)] <= most
-            few = np.bincount(b.doc[rare], minlength=len(b.size)) < ENOUGH
-            keep = (rare | few[b.doc]) & fresh(keys_of, counts >= MIN_WORDS)[b.doc]
-            pair, doc = b.pair[keep], b.doc[keep]
-            starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
-            part = batch.column("part").to_numpy(zero_copy_only=False).astype(np.uint64)[doc[starts]]
-            k = keys_of[doc[starts]]
-            bits = np.zeros(len(starts), np.uint64)
-            out = np.zeros((len(starts), BLOCKS), np.uint64)
-            with np.errstate(over="ignore"):
-                for j, a in enumerate(second if len(doc) else []):
-                    bits |= (mix(np.minimum.reduceat(pair * a, starts), 33) & np.uint64(1)) << np.uint64(j)
-                for j, a in enumerate(first if len(doc) else []):
-                    column = out[:, j // WIDE]
-                    column[:] = mix(column * np.uint64(5) + np.minimum.reduceat(pair * a, starts), 34)
-                out = mix(out + (np.arange(BLOCKS, dtype=np.uint64) * np.uint64(256))[None, :] + part[:, None], 35)
-            whole = pa.RecordBatch.from_arrays(
-                [pa.array((out & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32).ravel()), pa.array(np.repeat(k, BLOCKS)), pa.array(np.repeat(bits.view(np.int64), BLOCKS))], ["block", "k", "bits"]
-            )
-            for i in range(0, whole.num_rows, 50_000):
-                yield whole.slice(i, 50_000)
-
-    return records.select("part", "text").mapInArrow(run, "block int, k bigint, bits bigint")
+from weftline.llm.near_duplicates import joined, regions
+from weftline.llm.shared import surveyed, table, verified
 
 
 def overlaps(records: DataFrame) -> DataFrame:
@@ -71,11 +25,8 @@ def overlaps(records: DataFrame) -> DataFrame:
     records = records.filter("trains is not null")
     members, frequency = surveyed(records, "id", "trains")
     members = members.distinct()
-    most = max(float(members.count()) * COMMON, 9.0)
-    train, test = (blocks(records.filter(side), frequency, most) for side in ("trains", "not trains"))
-    near = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= RADIUS
-    found = train.alias("a").join(test.alias("b").hint("merge"), (F.col("a.block") == F.col("b.block")) & (F.col("a.k") != F.col("b.k")) & near)
-    links = verified(found.select(F.col("a.k").alias("k_a"), F.col("b.k").alias("k_b")).distinct(), records).select("k_a", "k_b")
+    train, test = (regions(records.filter(side), frequency).withColumn("trains", F.lit(trains)) for side, trains in (("trains", True), ("not trains", False)))
+    links = verified(joined(train.unionByName(test)).distinct(), records).select("k_a", "k_b")
     both = members.groupBy("k").agg(F.bool_or("trains").alias("t"), F.bool_or(~F.col("trains")).alias("e")).filter("t and e").select(F.col("k").alias("k_a"), F.col("k").alias("k_b"))
     left = members.filter("trains").select("part", F.col("k").alias("k_a"), F.col("id").alias("train_id"))
     right = members.filter("not trains").select(F.col("k").alias("k_b"), F.col("id").alias("test_id"))
