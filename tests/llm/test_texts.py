@@ -134,6 +134,22 @@ def test_refusals(spark):
     assert df.filter(refusals.declines(F.col("text")) != F.col("want")).collect() == []
 
 
+def test_long_refusals(spark):
+    """Apology, reason, policy and an offer, of any length; one other sentence at any place makes it an answer."""
+    parts = ["I'm sorry, but I can't help with the lamp that hangs in the hall of the old mill near the road.", "As a language model I have no way to tell who put it there", "My guidelines do not allow me to guess at such things", "We are not able to make an exception for anybody who asks", "Is there anything else that you would like to know about the town"]
+    long = parts[0] + " " + ". ".join(parts[1:] * 12)
+    other = " The lamp is old and hangs in the hall" + " of the mill near the road" * 400
+    texts = [(parts[0] + " " + ". ".join(parts[1:]) + "?", True), (long + ".", True), (long, True), (long + "." + other, False), (other + ". " + long, False), (long + "." + other + ". " + long, False)]
+    df = spark.createDataFrame(texts, "text string, want boolean")
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    for found in (refusals.declines(F.col("text")), refusals.declines(F.col("text"), words)):
+        assert [len(r["text"]) for r in df.filter(found != F.col("want")).collect()] == []
+    assert truncation.with_ending(df).filter("text = '%s'" % long.replace("'", "\\'")).first()["ending"] == "complete"
+    rows = [("t", i, "s", "en", "Who put the lamp into the hall?", t) for i, (t, _) in enumerate(texts[:3])]
+    pairs = spark.createDataFrame(rows, "tbl string, row_key long, source string, lang string, question string, text string")
+    assert {(r["row_key"], r["defect"]) for r in broken_pairs.defects(pairs).collect()} == {(i, "refusal") for i in range(3)}
+
+
 def test_defects(spark):
     q = "How did the mayor use the lamp to find the road near the town?"
     german = "Die Laterne war damals so hell, dass der Bürgermeister den Weg mit der Hilfe von Anna fand. Das ist alles, was die Leute wissen."
