@@ -110,6 +110,13 @@ def test_endings(spark):
     assert df.filter(truncation.says_nothing(F.col("text")) != (F.col("want") == "none")).count() == 0
 
 
+def test_runs_of_signs_of_any_length_say_nothing(spark):
+    texts = [(sign * n, "none") for sign in "-._…?" for n in (60, 61, 90, 5000)] + [("[" + "-" * 90 + "]", "none"), ("-" * 90 + " and so the la", "cut"), ("A row. " + "-" * 90, "cut")]
+    df = truncation.with_ending(spark.createDataFrame(texts, "text string, want string"))
+    assert [tuple(r) for r in df.filter("ending != want").collect()] == []
+    assert df.filter(truncation.says_nothing(F.col("text")) != (F.col("want") == "none")).count() == 0
+
+
 def test_limits_and_cut_records(spark):
     rng = random.Random(3)
     sentence = lambda: " ".join(rng.choices("the lamp shines over a quiet road near many towns".split(), k=rng.randint(4, 14))).capitalize() + "."

@@ -19,11 +19,12 @@ from weftline.llm.shared import table
 NEIGHBOURS, FALSE_DISCOVERY = 20, 0.01
 #: Space of any kind, also what is not seen.
 BLANK = r"[\s ​‌‍⁠﻿]"
-# Texts that stand for a missing value.
+# Texts that stand for a missing value, in words or brackets, and by a run of signs.
 STAND_IN = (
     r"(?i)^(?:n/?a|n\.a\.|nan|null|none|nil|nichts|undefined|missing|tbd|todo|fixme|empty|blank|no (?:output|answer|response|text)"
-    r"|<\|?[a-z_/]*\|?>|</?s>|[-–—_.…?*#/\\]+|\[\]|\{\}|\(\)|\"\"|''|“”)$"
+    r"|<\|?[a-z_/]*\|?>|</?s>|\[\]|\{\}|\(\)|\"\"|''|“”)$"
 )
+SIGNS = r"^(?:[-–—_.…?*#/\\]+|[\[(<]\s*[-–—_.…?*#/\\]+\s*[\])>])$"
 # What a cut may leave behind: a broken character, escape or entity, a sign of omission.
 LEFT_BEHIND = (
     r"(?:�|\\u[0-9a-fA-F]{0,4}|\\x?|&[a-zA-Z]{1,7}|&#\w{0,5}|<[a-zA-Z/][a-zA-Z]*|%[0-9A-F]?(?<=[a-z]%[0-9A-F]?)"
@@ -37,13 +38,13 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
 
 
-#: Characters at the end of a text that tell how it ends, and of a text that may be a stand-in.
+#: Characters at the end of a text that tell how it ends, and of a text that may be a stand-in other than a run of signs.
 TAIL, SHORT = 120, 60
 
 
 def _nothing(t: Column) -> Column:
     bare = F.regexp_replace(t, r"^[\[(<]\s*(.*?)\s*[\])>]$", "$1")
-    return F.coalesce((F.length(t) <= SHORT) & ((t == "") | t.rlike(STAND_IN) | bare.rlike(STAND_IN)), F.lit(True))
+    return F.coalesce((F.length(t) <= SHORT) & ((t == "") | t.rlike(STAND_IN) | bare.rlike(STAND_IN)) | t.rlike(SIGNS), F.lit(True))
 
 
 def says_nothing(text: Column) -> Column:
