@@ -184,6 +184,28 @@ def test_shortened_versions_across_ranges(spark):
     assert {r["text"] for r in marked.collect()} == {t[:-1] for t in texts[::5]}
 
 
+@pytest.mark.parametrize("n", [1, 4, 16])
+def test_shortened_versions_with_other_texts_between(spark, n):
+    """As over all pairs, in few and in many ranges: texts that go on with a blank or a sign sort before letters."""
+    rng = random.Random(n)
+    texts = ["Best, Ann", "Best, Ann B.", "Best, Ann, too", "Best, Annabel", "Best, Bo", "Best, Bo B.", "Best, Bo's"]
+    for _ in range(150):
+        texts.append("".join(rng.choice(["a", "b", " ", ",", "é", "Z"]) for _ in range(rng.randint(1, 9))))
+    texts += ["stem"] + [f"stem {i:04d}" for i in range(200)] + ["stems"]
+    want = {x for x in texts if any(y.startswith(x) and len(y) > len(x) and x[-1].isalnum() and y[len(x)].isalnum() for y in texts)}
+    assert {"Best, Ann", "stem"} <= want and "Best, Bo" not in want
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", n)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        df = spark.createDataFrame([(t,) for t in texts + texts[::9]], "text string").repartition(3)
+        same = {r["same"] for r in broken_pairs.shortened(df).collect()}
+        assert {r["text"] for r in df.withColumn("same", F.xxhash64("text")).collect() if r["same"] in same} == want
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_disguises():
     t = abuse.Terms()
     word = lambda s: t.of(abuse.windows(s)[0][0])[0]

@@ -8,10 +8,11 @@ follow for stand-ins, answers that only decline, that only give back the questio
 from __future__ import annotations
 
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.refusals import declines
@@ -93,31 +94,58 @@ def with_given_back(df: DataFrame, question_words: str, answer_words: str, out:
 def shortened(texts: DataFrame) -> DataFrame:
     """same (xxhash64) of the texts that stop inside a word with which another text goes on.
 
-    All texts, copies once a task, are sorted over the cluster; a text's next neighbour is the first that could go on with it. The
-    first and last text of each range meet in a table of two rows a range.
+    All texts, copies once a task, are sorted over the cluster. A text stays open while the following ones start with it, until one
+    goes on inside the word. What is open at the end of a range is a start of the next range's first text, so that text and
+    the lengths of its starts with which others of its range go on inside a word decide. One task reads these in order.
     """
 
-    def cut(x: str, y: str) -> bool:
-        return y.startswith(x) and len(y) > len(x) > 0 and x[-1].isalnum() and y[len(x)].isalnum()
+    def goes_on(y: str, n: int) -> bool:
+        return len(y) > n > 0 and y[n - 1].isalnum() and y[n].isalnum()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = last = None
+        waiting: list[tuple[int, str]] = []  # open texts, each a start of the next
+        shared, reached = 0, set()  # characters that the last text shares with the first
         for b in batches:
             found = []
             for same, text, at in zip(b.column("same").to_pylist(), b.column("text").to_pylist(), b.column("range").to_pylist()):
-                if last is not None and last[0] == same:
+                if last == same:
                     continue
-                if last is not None and cut(last[1], text):
-                    found.append((last[0], None, None, None))
-                first = first or (same, text, at)
-                last = (same, text, at)
+                while waiting and not text.startswith(waiting[-1][1]):
+                    waiting.pop()
+                found += [(x, None, None, None) for x, start in waiting if goes_on(text, len(start))]
+                waiting = [w for w in waiting if not goes_on(text, len(w[1]))]
+                if text[-1].isalnum():
+                    waiting.append((same, text))
+                if first is None:
+                    first, shared = (text, at), len(text)
+                elif shared:
+                    if not text.startswith(first[0][:shared]):
+                        shared = len(commonprefix([first[0][:shared], text]))
+                    if goes_on(text, shared):
+                        reached.add(shared)
+                last = same
             yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in found], schema)
         if first:
-            edges = [(first[0], first[1], first[2], False), (last[0], last[1], last[2], True)]
+            edges = [(None, *first, sorted(reached)), *((same, text, first[1], None) for same, text in waiting)]
             yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in edges], schema)
 
-    names = ["same", "text", "range", "is_last"]
-    schema = pa.schema([("same", pa.int64()), ("text", pa.string()), ("range", pa.int32()), ("is_last", pa.bool_())])
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple[int, str]] = []
+        for b in batches:
+            found = []
+            for same, text, reached in zip(b.column("same").to_pylist(), b.column("text").to_pylist(), b.column("reached").to_pylist()):
+                if reached is None:
+                    waiting.append((same, text))
+                    continue
+                waiting = [w for w in waiting if text.startswith(w[1])]
+                done = {x for x, start in waiting if goes_on(text, len(start)) or len(start) in reached}
+                found += done
+                waiting = [w for w in waiting if w[0] not in done]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["same"])
+
+    names = ["same", "text", "range", "reached"]
+    schema = pa.schema([("same", pa.int64()), ("text", pa.string()), ("range", pa.int32()), ("reached", pa.list_(pa.int32()))])
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = Fresh()  # so that a text that most rows have doesn't fill its range
@@ -126,11 +154,9 @@ def shortened(texts: DataFrame) -> DataFrame:
 
     distinct = texts.filter("text != ''").select("text", F.xxhash64("text").alias("same")).mapInArrow(once, "text string, same bigint")
     ranges = distinct.repartitionByRange("text").sortWithinPartitions("text").withColumn("range", F.spark_partition_id())
-    out = ranges.mapInArrow(run, "same bigint, text string, range int, is_last boolean")
-    following = F.lead("text").over(Window.orderBy("range", "is_last"))
-    edges = out.filter("text is not null").withColumn("next", following).filter("is_last and startswith(next, text) and length(next) > length(text)")
-    edges = edges.filter(F.substring("text", -1, 1).rlike(r"[\p{L}\p{N}]") & F.expr("substring(next, length(text) + 1, 1)").rlike(r"[\p{L}\p{N}]"))
-    return out.filter("text is null").select("same").unionByName(edges.select("same")).distinct()
+    out = written(ranges.mapInArrow(run, "same bigint, text string, range int, reached array<int>"))
+    edges = out.filter("text is not null").repartition(1).sortWithinPartitions("range", F.col("reached").isNull(), F.length("text"))
+    return out.filter("text is null").select("same").unionByName(edges.mapInArrow(follow, "same bigint")).distinct()
 
 
 def defects(pairs: DataFrame) -> DataFrame:
