@@ -134,6 +134,18 @@ def test_limits_and_cut_records(spark):
     assert truncation.truncated(df.limit(0)).count() == 0 and truncation.limits(df.limit(0)).count() == 0
 
 
+def test_limits_compare_hazards(spark):
+    """At each length 15% of the texts left end, at 25 more than half: fewer than at many shorter lengths, which are no limits."""
+    texts, left = [], 20000
+    for length in range(1, 41):
+        n = round(left * (0.55 if length == 25 else 0.15))
+        texts += [chr(0x4E00 + i) * length for i in range(left - n, left)]
+        left -= n
+    df = spark.createDataFrame([("s", t) for t in texts], "source string, text string").repartition(3)
+    found = truncation.limits(df).filter("unit = 'characters'").collect()
+    assert [r["length"] for r in found] == [25]
+
+
 def test_refusals(spark):
     yes = ["I can't help with that.", "Sorry, that is something I won't do. Is there anything else?", "I’m sorry, but I can’t help with the lamp.", "Je suis désolé, mais je ne peux pas répondre à cela.", "Darauf möchte ich lieber nicht antworten.", "Prefiero no hablar de ese tema.", "That is an interesting topic. Still, I will not answer it."]
     no = [None, "", "No.", "I'm sorry to hear that. The lamp fell.", '"I can\'t help you with that," said Anna. The lamp fell over.', "Dear Anna, I am sorry, but we cannot accept. The lamp is blue.", "The museum cannot be seen from here."]

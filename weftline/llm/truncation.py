@@ -108,13 +108,18 @@ def limits(records: DataFrame, neighbours: int = NEIGHBOURS, rate: float = FALSE
         .agg(F.count("*").alias("n"))
     )
     of = Window.partitionBy("source", "unit")
-    near, nearest = (of.orderBy("length").rangeBetween(-w, w) for w in (neighbours, 2))
-    tests = counts.select(
-        "*",
-        F.sum("n").over(of.orderBy(F.desc("length"))).alias("at_risk"),
-        (F.sum("n").over(near) - F.col("n") + 1).alias("other"),
-        (F.sum("n").over(nearest) - F.col("n")).alias("next_to"),
-    ).withColumn("expected", F.greatest(F.col("other") / F.lit(2.0 * neighbours), F.col("next_to") / 4.0))
+    tests = counts.withColumn("at_risk", F.sum("n").over(of.orderBy(F.desc("length"))))
+
+    def hazard(w: int, more: int) -> Column:
+        """Texts of the up to 2 w neighbouring lengths, and so many more, over the texts at risk there, also where a length has no text."""
+        length, n, near = F.col("length"), F.col("n"), of.orderBy("length").rangeBetween(-w, w)
+        low, high = F.greatest(length - w, F.lit(1)), length + w
+        longer = F.col("at_risk") - F.sum("n").over(of.orderBy("length").rangeBetween(0, w))
+        # A text inside the window is at risk at every length of it up to its own.
+        risk = (high - low + 1) * longer + F.sum(n * length).over(near) - (low - 1) * F.sum("n").over(near) - F.when(length >= low, F.col("at_risk")).otherwise(0)
+        return (F.sum("n").over(near) - n + more) / F.greatest(risk, F.lit(1))
+
+    tests = tests.withColumn("expected", F.col("at_risk") * F.greatest(hazard(neighbours, 1), hazard(2, 0)))
     # P(X >= n) of a Poisson variable is at most exp(-(n ln(n / m) - n + m)) for n > m.
     log_p = F.when(F.col("n") > F.col("expected"), -(F.col("n") * F.log(F.col("n") / F.col("expected")) - F.col("n") + F.col("expected"))).otherwise(0.0)
     tests = tests.withColumn("log_p", F.greatest(log_p, F.lit(-2000.0))).withColumn("bin", F.ceil(F.col("log_p") * 20).cast("int"))
