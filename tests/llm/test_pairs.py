@@ -77,6 +77,19 @@ def test_near_duplicates_are_those_of_brute_force(spark, monkeypatch, region):
     assert got == {(p, a, b) for p in (0, 1) for a, b in want}
 
 
+def test_texts_of_one_and_two_word_pairs_in_large_regions(spark, monkeypatch):
+    """A text of one repeated word and one with a second pair have likeness 0.5, also where their only common pair is frequent."""
+    texts = [" ".join(["same"] * 30), *(" ".join(["same"] * 30 + [f"end{i}"]) for i in range(9)), " ".join(["same"] * 9 + ["other"] * 20), " ".join(WORDS[:30])]
+    monkeypatch.setattr(N, "REGION", 3)
+    cloudpickle.register_pickle_by_value(N)
+    try:
+        df = spark.createDataFrame(rows(texts), "part byte, id long, text string").repartition(3)
+        got = {(r["id_a"], r["id_b"]) for r in N.near_duplicates(df).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(N)
+    assert got == brute(texts) == {(0, i) for i in range(1, 10)}
+
+
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "part byte, id long, text string")
     assert N.near_duplicates(empty).count() == 0

@@ -66,6 +66,19 @@ def narrowed(flat: np.ndarray, width: np.ndarray) -> dict[int, np.ndarray]:
     return out
 
 
+def gridded(region: np.ndarray, most: np.ndarray, k: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of regions in blocks: number of the row, and block. What is too large is a grid: a row stands in the blocks of its line and of its column."""
+    sides = -(-most // REGION)
+    own = (k.view(np.uint64) >> np.uint64(8)).astype(np.int64) % sides
+    times = np.where(sides > 1, 2 * sides - 1, 1)
+    line = np.repeat(np.arange(len(region)), times)
+    i = np.arange(len(line)) - np.repeat(np.cumsum(times) - times, times)
+    g, o = sides[line], own[line]
+    block = np.where(i < g, o * g + i, np.where(i - g < o, i - g, i - g + 1) * g + o)
+    with np.errstate(over="ignore"):
+        return line, mix(region[line] + block.astype(np.uint64), salt)
+
+
 def regions(records: DataFrame, frequency: np.ndarray) -> DataFrame:
     """Of each text of at least MIN_WORDS words (columns part, text) its rows in regions: pivot, k, np (size and position), print (fingerprint).
 
@@ -90,6 +103,11 @@ def regions(records: DataFrame, frequency: np.ndarray) -> DataFrame:
             at = np.flatnonzero(inside & (most <= REGION))
             where, key = position[at], pivot[at]
             large = np.flatnonzero(inside & (most > REGION))
+            # Two texts of one or two pairs may share just one, so nothing but its own grid divides its region.
+            few = large[n[large] <= 2]
+            if len(few):
+                line, sub = gridded(pivot[few], most[few], k[doc[few]], 14)
+                at, where, key = np.concatenate((at, few[line])), np.concatenate((where, position[few][line])), np.concatenate((key, sub))
             if len(large):  # divided by each further pivot of the window: both pivots are common then
                 more = window[large] - position[large]
                 base = np.repeat(large, more)
@@ -98,16 +116,7 @@ def regions(records: DataFrame, frequency: np.ndarray) -> DataFrame:
                 base, step = base[there], step[there]
                 with np.errstate(over="ignore"):
                     sub = mix(pivot[base] * np.uint64(3) + pivot[base + step], 12)
-                # What is large even so is a grid of blocks: a row stands in the blocks of its line and of its column.
-                sides = -(-np.minimum(most[base], most[base + step]) // REGION)
-                own = (k[doc[base]].view(np.uint64) >> np.uint64(8)).astype(np.int64) % sides
-                times = np.where(sides > 1, 2 * sides - 1, 1)
-                line = np.repeat(np.arange(len(base)), times)
-                i = np.arange(len(line)) - np.repeat(np.cumsum(times) - times, times)
-                g, o = sides[line], own[line]
-                block = np.where(i < g, o * g + i, np.where(i - g < o, i - g, i - g + 1) * g + o)
-                with np.errstate(over="ignore"):
-                    sub = mix(sub[line] + block.astype(np.uint64), 13)
+                line, sub = gridded(sub, np.minimum(most[base], most[base + step]), k[doc[base]], 13)
                 at, where, key = np.concatenate((at, base[line])), np.concatenate((where, (position[base] + step - 1)[line])), np.concatenate((key, sub))
             flat, width = parities(b)
             ends = np.concatenate(([0], np.cumsum(width) * 8)).astype(np.int32)
