@@ -219,40 +219,88 @@ def test_shortened_versions_with_other_texts_between(spark, n):
 
 
 def test_disguises():
-    t = abuse.Terms()
-    word = lambda s: t.of(abuse.windows(s)[0][0])[0]
-    for disguised in ("MAGGOT", "m a g g o t", "m.a.g.g.o.t", "m@gg0t", "mаggоt", "ma​ggot", "maaaggot"):
+    known = np.sort(np.array([abuse.Terms().of(w)[0] for w in ("maggot", "magnet", "lamp")], np.uint64))
+    t = abuse.Terms(known)
+    word = lambda s: t.of(abuse.windows(s)[0][-1])[0]
+    for disguised in ("MAGGOT", "m a g g o t", "m.a.g.g.o.t", "m@gg0t", "mаggоt", "ma​ggot", "maaaggot", "mag*ot", "maggo*", "a m a g g o t"):
         assert word(disguised) == word("maggot"), disguised
-    assert set(t.of("mag*ot")) & set(t.of("maggot"))
+    assert word("mag*et") == word("magnet") != word("maggot") and word("ma**") not in known
     assert abuse.windows(None) == abuse.windows("") == abuse.windows(" .!? ") == []
     assert max(map(len, abuse.windows("word " * 500))) <= abuse.WINDOW
 
 
-def test_a_learned_interaction_and_scores(spark):
-    """An insult counts with an address and not in a report that cites it."""
-    rng = random.Random(4)
+def test_words_of_like_letters_share_no_weight():
+    """brain, burn and Birne: no two terms that the machine knows have one number."""
+    words = "brain burn birne barn born bern marsh harsh".split()
+    sample = abuse.Sample([" ".join(words), " ".join(words[::-1])], np.array([True, False]))
+    at, terms = abuse.Terms(sample.known).flat([[w] for w in words])
+    ids, starts = abuse.known_terms(at, terms, sample.known, len(words))
+    assert len(set(ids.tolist())) == len(words) and set(np.diff(starts)) == {1}
+
+
+def phrases(rng):
     insults, names = ["maggot", "wretch", "cretin", "scoundrel"], [f"n{i}" for i in range(60)]
     plain = lambda: f"the {rng.choice(['lamp', 'road', 'mill', 'barn'])} near {rng.choice(names)} is {rng.choice(['old', 'blue', 'wet', 'small'])} today."
     bad = lambda: f"you are nothing but a {rng.choice(insults)}, get lost!"
     cited = lambda: f"the report cites the word {rng.choice(insults)} as an example to filter."
-    texts, cases = [], []
-    for i in range(500):
+    return plain, bad, cited
+
+
+def documents_of(rng, n):
+    plain, bad, cited = phrases(rng)
+    texts, cases, true = [], [], []
+    for i in range(n):
         kind = i % 10
         middle = bad() if kind == 0 else cited() if kind == 1 else plain()
         texts.append(" ".join([plain() for _ in range(rng.randint(0, 4))] + [middle] + [plain() for _ in range(rng.randint(0, 4))]))
         cases.append((kind == 0) ^ (rng.random() < 0.03))
-    machine = abuse.trained(texts, np.array(cases))
-    terms = abuse.Terms()
-    score = lambda s: machine.document_scores([terms.document(s)])[0]
-    assert score(plain() * 40 + " " + bad() + " " + plain()) > 0.5
+        true.append(kind == 0)
+    return texts, np.array(cases), np.array(true)
+
+
+def test_a_learned_interaction_and_scores(spark):
+    """An insult counts with an address and not in a report that cites it."""
+    rng = random.Random(4)
+    plain, bad, cited = phrases(rng)
+    texts, cases, _ = documents_of(rng, 500)
+    sample = abuse.Sample(texts, cases)
+    machine, side_by_side = abuse.trained(sample), abuse.trained(sample, spark)
+    assert machine.limit == side_by_side.limit and np.array_equal(machine.weight, side_by_side.weight)
+    terms = abuse.Terms(machine.known)
+    score = lambda s: machine.document_scores([s], terms)[0]
+    assert score(plain() * 40 + " " + bad() + " " + plain()) > abuse.THRESHOLD
     assert score(cited()) < abuse.THRESHOLD and score(plain()) < abuse.THRESHOLD and score(None) == score("") == 0
     df = spark.createDataFrame([(1, bad(), 3.0, "a"), (2, plain(), None, None), (3, None, None, None), (4, "", 1.0, "b")], "doc_id long, text string, score double, source string")
     got = {r["doc_id"]: r["score"] for r in abuse.scored(df, machine).collect()}
-    assert got[1] > 0.5 and got[2] < abuse.THRESHOLD and got[3] == got[4] == 0
+    assert got[1] > abuse.THRESHOLD and got[2] < abuse.THRESHOLD and got[3] == got[4] == 0
     assert abuse.scored(df.limit(0), machine).count() == 0
 
 
+def test_held_out_documents_with_noisy_labels():
+    texts, cases, _ = documents_of(random.Random(6), 600)
+    machine = abuse.trained(abuse.Sample(texts, cases))
+    others, _, true = documents_of(random.Random(7), 400)
+    found = machine.document_scores(others, abuse.Terms(machine.known)) >= abuse.THRESHOLD
+    assert (found & true).sum() >= 0.95 * true.sum() and (found & ~true).sum() <= 0.05 * true.sum()
+
+
+def test_limits_of_scores():
+    z, cases = np.array([3.0, 2.0, 1.0, -1.0, -2.0]), np.array([True, True, False, True, False])
+    assert abuse.best_limit(z, cases) == 1.5
+    assert abuse.best_limit(z, np.zeros(5, bool)) == 0 and abuse.best_limit(z, np.ones(5, bool)) == -2.0
+
+
 def test_no_labels(spark):
-    machine = abuse.trained([], np.zeros(0, bool))
     df = spark.createDataFrame([(1, "you are a maggot")], "doc_id long, text string")
-    assert abuse.scored(df, machine).first()["score"] < abuse.THRESHOLD
+    for texts, cases in (([], []), (["a lamp", "a lamp"], [False, False]), (["", None], [True, True])):
+        machine = abuse.trained(abuse.Sample(texts, np.array(cases, bool)), spark)
+        assert abuse.scored(df, machine).first()["score"] < abuse.THRESHOLD
+
+
+def test_labels(spark):
+    """The majority of the raters holds; ties, nulls and repeated labels count nothing."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(6)] + [(6, None)], "doc_id long, text string")
+    rows = [(0, "a", "abusive"), (0, "b", "none"), (1, "a", "sexual"), (1, "a", "sexual"), (2, "a", "none"), (2, "b", None), (3, "a", None), (4, "a", "hateful"), (4, "b", "abusive"), (4, "c", "none"), (6, "a", "abusive")]
+    labels = spark.createDataFrame(rows, "doc_id long, rater string, label string")
+    got = abuse.labelled(docs, labels)
+    assert dict(zip(got["doc_id"], got["positive"])) == {1: True, 2: False, 4: True}

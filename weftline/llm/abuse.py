@@ -5,8 +5,13 @@ such as an insult with an address or a group, or a word with the technical use a
 highest window, so a phrase counts in any part of a long text. Labels are of documents; training therefore alternates
 between fitting the machine and choosing, in each document labelled as a case, the windows that make it one.
 
-Disguises are undone before hashing: look-alike letters, digits and signs for letters, stretched or spaced-out
-words, characters that are not seen. Words with a hidden letter match by their wildcard forms.
+Terms are 64-bit hashes of words and of neighbouring words; the machine knows those that stand in two labelled documents at
+least, so no two of them share a weight. Disguises are undone before hashing: look-alike letters, digits and signs for
+letters, stretched or spaced-out words, characters that are not seen; a hidden letter is tried out against the known words.
+
+The labelled documents are fitted once for each machine and once for each fold, side by side as tasks of the cluster. The
+scores that documents get from the fold that didn't see them calibrate the log-odds, so THRESHOLD is the point where as many
+of the labelled documents are cases as not.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain
+from string import ascii_lowercase
 
 import numpy as np
 import pandas as pd
@@ -23,22 +28,22 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import table
+from weftline.llm.shared import mix, table
 
-BITS, FACTORS = 20, 4
-#: Machines that are fitted from different starts and averaged.
-MACHINES = 3
+FACTORS = 4
+#: Machines that are fitted from different starts and averaged, and folds of the labelled documents.
+MACHINES, FOLDS = 3, 3
 #: Labelled documents the machine is fitted on at most: those with the smallest hashes of their ids.
-SAMPLE = 8_000
-#: Windows of further documents that are taken for cases at most, and the log-odds they need.
-FURTHER, SURE = 4_000, 2.2
+SAMPLE = 12_000
 #: Score from which on a document is a case.
-THRESHOLD = 0.4
+THRESHOLD = 0.5
 #: Words a window has at most, and by how many the next one starts later.
 WINDOW, STRIDE = 24, 12
 #: Words that one Python worker remembers the terms of; beyond it the memory is emptied, results stay the same.
 MEMORY = 300_000
 CASES = ("abusive", "hateful", "sexual")
+#: Log-odds of documents without windows.
+NOWHERE = -30.0
 
 UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufe00-\ufe0f\ufeff]")
 # Cyrillic and Greek letters that look like Latin ones; digits and signs that stand for letters.
@@ -48,6 +53,13 @@ SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:([ .\-_])[^\W\d_])(?:\1[^\W\d_])+(?!
 TOKEN = re.compile(r"[@$*]*[^\W_]+(?:[@$!*|€#+]+[^\W_]+)*[@$*|€#+]*")
 SENTENCE = re.compile(r"(?<=[.!?…])[\"”’»)!]*\s+|\n+")
 STRETCHED = re.compile(r"(.)\1{2,}")
+HIDDEN = re.compile(r"[*#]+")
+
+
+def spaced(m: re.Match[str]) -> str:
+    """The word that was spaced out; behind a word of one letter ('a f o o l') without that as well."""
+    word = m[0].replace(m[1], "")
+    return f"{word} {word[1:]}" if word[0] in "aeiouy" else word
 
 
 def windows(text: str | None) -> list[list[str]]:
@@ -61,7 +73,7 @@ def windows(text: str | None) -> list[list[str]]:
         if not sentence:
             continue
         if SPACED.search(sentence):
-            sentence = SPACED.sub(lambda m: m[0].replace(m[1], ""), sentence)
+            sentence = SPACED.sub(spaced, sentence)
         words = TOKEN.findall(sentence)
         if len(words) <= WINDOW:
             if words:
@@ -82,250 +94,294 @@ def plain(raw: str) -> str:
     return STRETCHED.sub(r"\1", w)
 
 
+DISGUISED = xxhash.xxh3_64_intdigest("disguised")
+
+
 class Terms:
-    """Hashed terms of words and windows, remembered for a bounded number of words."""
-
-    def __init__(self) -> None:
-        self.mask = (1 << BITS) - 1
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def hash(self, term: str) -> int:
-        return xxhash.xxh3_64_intdigest(term) & self.mask
-
-    def of(self, raw: str) -> tuple[int, ...]:
-        """The word, its edges and its consonants (which survive a hidden letter), and whether it looks disguised."""
-        found = self.known.get(raw)
-        if found is None:
-            w = "0" if raw.isdigit() else plain(raw)
-            terms = [self.hash("w " + w)]
-            if len(w) >= 4:
-                terms.append(self.hash(f"e {w[:2]} {w[-2:]} {len(w)}"))
-                terms.append(self.hash("c " + w[0] + re.sub(r"[aeiouy*#]|(.)(?=\1)", "", w[1:])))
-            if any(c in "*#@$€|" for c in raw) or not raw.isalpha() and not raw.isdigit() and len(re.sub(r"[^\W\d_]", "", raw)) < len(raw) - 1:
-                terms.append(self.hash("disguised"))
-            found = tuple(dict.fromkeys(terms))
-            if len(self.known) >= MEMORY:
-                self.known.clear()
-            self.known[raw] = found
-        return found
-
-    def window(self, words: list[str]) -> list[int]:
-        each = [self.of(w) for w in words]
-        pairs = ((a[0] * 1000003 + b[0] * 8191 + 7) & self.mask for a, b in zip(each, each[1:]))
-        return list(dict.fromkeys(chain(chain.from_iterable(each), pairs)))
-
-    def document(self, text: str | None) -> list[list[int]]:
-        return [self.window(w) for w in windows(text)]
-
-
-def flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Term ids on end and where each window starts (no window is empty)."""
-    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-    return np.fromiter((t for r in rows for t in r), np.int64, int(sizes.sum())), np.cumsum(sizes) - sizes
+    """Hashed terms of windows. known: the sorted hashes that count, against which hidden letters are tried out; without it all count and these stay hidden."""
+
+    def __init__(self, known: np.ndarray | None = None) -> None:
+        self.known, self.some = known, set() if known is None else set(known.tolist())
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.more: dict[int, tuple[int, ...]] = {}
+        self.hashes, self.counts = np.zeros(0, np.uint64), np.zeros(0, bool)
+
+    def of(self, raw: str) -> tuple[int, tuple[int, ...]]:
+        """The hash of a word, and further terms: that it looks disguised, and what it may be if a letter is hidden."""
+        w = "0" if raw.isdigit() else plain(raw)
+        main, more = xxhash.xxh3_64_intdigest(w), []
+        if any(c in "*#@$€|" for c in raw) or not raw.isalpha() and not raw.isdigit() and len(re.sub(r"[^\W\d_]", "", raw)) < len(raw) - 1:
+            more.append(DISGUISED)
+        gap = HIDDEN.search(w)
+        if gap and len(w) >= 4 and self.some:
+            may = sorted({xxhash.xxh3_64_intdigest(w[: gap.start()] + c + w[gap.end() :]) for c in ("", *ascii_lowercase)} & self.some)
+            if len(may) == 1:
+                main = may[0]
+            more += may
+        return main, tuple(more)
+
+    def numbers(self, rows: list[list[str]]) -> np.ndarray:
+        """The numbers of the words of all rows on end; new words get their hashes first."""
+        if len(self.number) > MEMORY:
+            self.clear()
+        number, out, new = self.number, [], []
+        for words in rows:
+            try:
+                out.extend([number[w] for w in words])
+            except KeyError:
+                for w in words:
+                    if w not in number:
+                        number[w] = len(number)
+                        new.append(w)
+                out.extend([number[w] for w in words])
+        if new:
+            each = [self.of(w) for w in new]
+            self.more |= {number[w]: more for w, (_, more) in zip(new, each) if more}
+            self.hashes = np.concatenate((self.hashes, np.array([main for main, _ in each], np.uint64)))
+            self.counts = np.ones(len(self.hashes), bool) if self.known is None else np.isin(self.hashes, self.known)
+        return np.array(out, np.int64)
+
+    def flat(self, rows: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of the row and hash of every term of rows of words, words and neighbouring words alike; terms may be repeated."""
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        words, at = self.numbers(rows), np.repeat(np.arange(len(rows)), sizes)
+        main, counts = self.hashes[words], self.counts[words]
+        pair = np.flatnonzero((at[1:] == at[:-1]) & counts[1:] & counts[:-1])  # a pair is in no more documents than its words
+        with np.errstate(over="ignore"):
+            pairs = mix(main[pair] * np.uint64(3) + mix(main[pair + 1], 1), 2)
+        odd = np.flatnonzero(np.isin(words, np.fromiter(self.more, np.int64, len(self.more)))) if self.more else []
+        more = [(at[i], x) for i in odd for x in self.more[words[i]]]
+        return np.concatenate((at[counts], at[pair], np.array([i for i, _ in more], np.int64))), np.concatenate((main[counts], pairs, np.array([x for _, x in more], np.uint64)))
+
+
+def known_terms(at: np.ndarray, terms: np.ndarray, known: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of n rows the numbers of their known terms on end, each once a row, and where each row starts (n + 1 places)."""
+    place = np.searchsorted(known, terms)
+    ok = place < len(known)
+    ok[ok] = known[place[ok]] == terms[ok]
+    at, ids = np.divmod(np.unique(at[ok] * max(len(known), 1) + place[ok]), max(len(known), 1))
+    return ids, np.searchsorted(at, np.arange(n + 1))
 
 
 class Machine:
-    """A factorization machine: bias, a weight a term and FACTORS numbers a term whose products weigh pairs of terms."""
-
-    def __init__(self, seed: int = 7) -> None:
-        n = 1 << BITS
-        self.bias, self.weight = -4.0, np.zeros(n, np.float32)
-        self.factor = np.random.default_rng(seed).normal(0, 0.02, (n, FACTORS)).astype(np.float32)
-        self.allowed = np.ones(n, bool)
-
-    def scores(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The log-odds of windows."""
-        if not len(starts):
-            return np.zeros(0, np.float32)
+    """A factorization machine: bias, a weight a term and numbers a term whose products weigh pairs of terms.
+
+    A document's score is that of its highest log-odds above limit.
+    """
+
+    def __init__(self, known: np.ndarray, seed: int = 7) -> None:
+        self.known, self.bias, self.limit, self.weight = known, -4.0, 0.0, np.zeros(len(known), np.float32)
+        self.factor = np.random.default_rng(seed).normal(0, 0.02, (len(known), FACTORS)).astype(np.float32)
+
+    def log_odds(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The log-odds of windows, of terms on end and the places where windows start, with the end as the last."""
         v = self.factor[ids]
-        return self.bias + np.add.reduceat(self.weight[ids], starts) + 0.5 * (np.add.reduceat(v, starts) ** 2 - np.add.reduceat(v * v, starts)).sum(axis=1)
+        some = np.flatnonzero(np.diff(starts))
+        out = np.full(len(starts) - 1, self.bias, np.float32)
+        if len(some):
+            out[some] += np.add.reduceat(self.weight[ids], starts[some]) + 0.5 * (np.add.reduceat(v, starts[some]) ** 2 - np.add.reduceat(v * v, starts[some])).sum(axis=1)
+        return out
 
-    def document_scores(self, documents: list[list[list[int]]]) -> np.ndarray:
-        """The score of each document between 0 and 1: that of its highest window; 0 without words."""
-        counts = np.fromiter(map(len, documents), np.int64, len(documents))
-        out = np.zeros(len(documents))
-        some = np.flatnonzero(counts)
+    def document_scores(self, texts: list[str | None], terms: Terms) -> np.ndarray:
+        """The score of each text between 0 and 1: that of its highest window; 0 without words."""
+        each = [windows(t) for t in texts]
+        counts = np.fromiter(map(len, each), np.int64, len(each))
+        out, some = np.zeros(len(each)), np.flatnonzero(counts)
         if len(some):
-            ids, starts = flat([w for d in documents for w in d])
-            top = np.maximum.reduceat(self.scores(ids, starts), (np.cumsum(counts) - counts)[some])
-            out[some] = 1 / (1 + np.exp(-np.clip(top.astype(np.float64), -30, 30)))
+            z = self.log_odds(*known_terms(*terms.flat([w for d in each for w in d]), self.known, int(counts.sum())))
+            top = np.maximum.reduceat(z, (np.cumsum(counts) - counts)[some]).astype(np.float64)
+            out[some] = 1 / (1 + np.exp(-np.clip(top - self.limit, -30, 30)))
         return out
 
-    def fit(self, ids: np.ndarray, starts: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int, rate: float = 0.05, decay: float = 6e-4) -> None:
-        """Adam over mini-batches of windows, with weighted logistic loss."""
-        n = len(starts)
-        ends = np.append(starts[1:], len(ids))
+    def fit(self, ids: np.ndarray, starts: np.ndarray, rows: np.ndarray, label: np.ndarray, rounds: int, rate: float = 0.05, decay: float = 6e-4) -> Machine:
+        """Adam over mini-batches of the windows rows, with weighted logistic loss: those of cases weigh together an eighth as much as the others, each at least 1."""
+        n, length_of = len(rows), np.diff(starts)
+        positive = label[rows].sum()
+        weight = np.where(label, min(20.0, max(1.0, (n - positive) / max(1, positive) / 8)), 1.0).astype(np.float32)
         rng = np.random.default_rng(11)
         m = [np.zeros_like(self.weight), np.zeros_like(self.factor)]
         s = [np.zeros_like(self.weight), np.zeros_like(self.factor)]
-        step = 0
         size = max(128, -(-n // 24))
         for _ in range(rounds):
-            order = rng.permutation(n)
+            order = rows[rng.permutation(n)]
             for at in range(0, n, size):
-                rows = order[at : at + size]
-                length = (ends - starts)[rows]
+                some = order[at : at + size]
+                length = length_of[some]
                 local = np.cumsum(length) - length
-                of = ids[np.repeat(starts[rows] - local, length) + np.arange(length.sum())]
+                of = ids[np.repeat(starts[some] - local, length) + np.arange(length.sum())]
                 v = self.factor[of]
                 total = np.add.reduceat(v, local)
                 z = self.bias + np.add.reduceat(self.weight[of], local) + 0.5 * (total**2 - np.add.reduceat(v * v, local)).sum(axis=1)
-                g = (weight[rows] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[rows])).astype(np.float32) / weight[rows].sum() * 50
+                g = (weight[some] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[some])).astype(np.float32) / weight[some].sum() * 50
                 each = np.repeat(g, length)
+                gv = each[:, None] * (np.repeat(total, length, axis=0) - v)
                 touched, where = np.unique(of, return_inverse=True)
                 gw = np.bincount(where, each, len(touched)).astype(np.float32)
-                gv = np.repeat(total, length, axis=0)
-                gv = each[:, None] * (gv - v)
                 gv = np.stack([np.bincount(where, gv[:, f], len(touched)) for f in range(FACTORS)], axis=1).astype(np.float32)
-                step += 1
                 self.bias -= rate * 0.2 * float(g.sum())
                 for x, grad, k, pace in ((self.weight, gw, 0, rate), (self.factor, gv, 1, rate / 4)):
                     grad = grad + decay * 50 * x[touched]
                     m[k][touched] = 0.9 * m[k][touched] + 0.1 * grad
                     s[k][touched] = 0.98 * s[k][touched] + 0.02 * grad * grad
                     x[touched] -= pace * m[k][touched] / (np.sqrt(s[k][touched]) + 1e-3)
-
-
-def trained(texts: list[str], cases: np.ndarray, further: list[list[str]] = (), seed: int = 7, machines: int = MACHINES) -> Machine:
-    """The machine fitted on labelled documents. Terms of a single document say nothing and weigh nothing.
-
-    further: windows (lists of words) of other documents to be taken for cases.
-    """
-    terms, machine = Terms(), Machine(seed)
-    documents = [terms.document(t) for t in texts]
-    more = [terms.window(w) for w in further]
-    seen = np.zeros(1 << BITS, np.int64)
-    for d in [*documents, *([w] for w in more)]:
-        seen[list({t for w in d for t in w})] += 1
-    machine.allowed = seen >= 2
-    rows, doc = [], []
-    for i, d in enumerate([*documents, *([w] for w in more)]):
-        for w in {tuple(t for t in w if machine.allowed[t]) for w in d}:
-            if w:
-                rows.append(list(w))
-                doc.append(i)
-    if not rows or not cases.any():
-        machine.factor[:] = 0
-        return machine
-    sure = np.array(doc) >= len(texts)
-    cases = np.concatenate([cases, np.ones(len(more), bool)])
-    doc = np.array(doc)
-    ids, starts = flat(rows)
-    label = cases[doc].astype(np.float32)
-    # To begin with, a window of a case counts if it has terms that stand in cases far more often than by chance; a case without such a window is left out.
-    of = np.repeat(doc, np.diff(np.append(starts, len(ids))))
-    pairs = np.unique(np.column_stack([of, ids]), axis=0)
-    # What a document adds to the counts doesn't count for its own windows: they are judged by the other folds.
-    n, folds = 1 << BITS, 5
-    fold = np.random.default_rng(5).permutation(len(cases)) % folds
-    count = {(side, f): np.bincount(pairs[(cases[pairs[:, 0]] == side) & (fold[pairs[:, 0]] == f), 1], minlength=n) for side in (True, False) for f in range(folds)}
-    evidence, chance = np.zeros(len(doc)), np.log(len(texts) + 20)  # the more documents, the more terms are telling by chance
-    for f in range(folds):
-        yes, no = (sum(count[side, g] for g in range(folds) if g != f) for side in (True, False))
-        expected = (yes + no + 0.5) * cases.mean()
-        surprise = np.where(yes > expected, yes * np.log(np.maximum(yes, 1) / expected) - yes + expected, 0.0)
-        telling = np.where((yes >= 2) & (yes > 2 * no) & (surprise > 0.45 * chance), surprise, 0.0)
-        of_fold = fold[doc] == f
-        evidence[of_fold] = np.add.reduceat(telling[ids], starts)[of_fold]
-    chosen = (label > 0) & ((evidence > 0.9 * chance) | sure)
-    allowed = machine.allowed
-
-    def fitted(chosen: np.ndarray, start: int, rounds: int) -> Machine:
-        one = Machine(start)
-        one.allowed = allowed
-        one.factor[~allowed] = 0
-        used = np.flatnonzero(chosen | (label == 0))
-        one.fit(*flat([rows[i] for i in used]), *_weighted(chosen[used]), rounds=rounds)
-        return one
-
-    z = fitted(chosen, seed, 12).scores(ids, starts)
-    chosen = (label > 0) & ((evidence > 0.45 * chance) & (z > 0) | sure)
-    return averaged([fitted(chosen, seed + 1 + i, 14) for i in range(machines)])
+        return self
 
 
 def averaged(machines: list[Machine]) -> Machine:
     """One machine whose log-odds are the mean of several: the factors stand side by side."""
-    out = Machine()
-    out.allowed = machines[0].allowed
+    out = Machine(machines[0].known)
     out.bias = float(np.mean([m.bias for m in machines]))
     out.weight = np.mean([m.weight for m in machines], axis=0).astype(np.float32)
     out.factor = np.concatenate([m.factor for m in machines], axis=1) / np.float32(np.sqrt(len(machines)))
-    out.weight[~out.allowed] = 0
-    out.factor[~out.allowed] = 0
     return out
 
 
-def _weighted(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Labels and weights of windows: those of cases weigh together an eighth as much as the others, each at least 1."""
-    each = max(1.0, (~chosen).sum() / max(1, chosen.sum()) / 8)
-    return chosen.astype(np.float32), np.where(chosen, min(each, 20.0), 1.0)
+class Sample:
+    """The windows of labelled documents, each set of terms once a document: ids on end, starts, doc (document) and cases by document."""
+
+    def __init__(self, texts: list[str], cases: np.ndarray) -> None:
+        each = [windows(t) for t in texts]
+        rows, doc = [w for d in each for w in d], np.repeat(np.arange(len(each)), np.fromiter(map(len, each), np.int64, len(each)))
+        at, terms = Terms().flat(rows)
+        found, which = np.unique(terms, return_inverse=True)
+        n = np.bincount(np.unique(doc[at] * max(len(found), 1) + which) % max(len(found), 1), minlength=len(found))
+        self.known = found[n >= 2]  # terms of a single document say nothing and weigh nothing
+        hidden = np.array([any("*" in w or "#" in w for w in words) for words in rows], bool)
+        again = np.flatnonzero(hidden)
+        at2, terms2 = Terms(self.known).flat([rows[i] for i in again])
+        plainly = ~hidden[at] if len(at) else np.zeros(0, bool)
+        ids, starts = known_terms(np.concatenate((at[plainly], again[at2])), np.concatenate((terms[plainly], terms2)), self.known, len(rows))
+        keep, seen = [], set()
+        for i in range(len(rows)):
+            key = (doc[i], ids[starts[i] : starts[i + 1]].tobytes())
+            if starts[i + 1] > starts[i] and key not in seen:
+                seen.add(key)
+                keep.append(i)
+        self.ids = np.concatenate([ids[starts[i] : starts[i + 1]] for i in keep]).astype(np.int32) if keep else np.zeros(0, np.int32)
+        self.starts, self.doc, self.cases = np.concatenate(([0], np.cumsum(np.diff(starts)[keep]))).astype(np.int64), doc[keep], cases.astype(bool)
+
+    def evidence(self, used: np.ndarray, folds: int = 5) -> tuple[np.ndarray, float]:
+        """How much more often than by chance the terms of a window stand in cases, over the used documents of other folds, and what is chance."""
+        n, cases = max(len(self.known), 1), self.cases
+        doc, term = np.divmod(np.unique(np.repeat(self.doc, np.diff(self.starts)) * n + self.ids), n)
+        fold = np.random.default_rng(5).permutation(len(cases)) % folds
+        count = {(side, f): np.bincount(term[(cases[doc] == side) & (fold[doc] == f) & used[doc]], minlength=n) for side in (True, False) for f in range(folds)}
+        out, chance = np.zeros(len(self.doc)), np.log(used.sum() + 20)  # the more documents, the more terms are telling by chance
+        for f in range(folds):
+            yes, no = (sum(count[side, g] for g in range(folds) if g != f) for side in (True, False))
+            expected = (yes + no + 0.5) * cases[used].mean()
+            surprise = np.where(yes > expected, yes * np.log(np.maximum(yes, 1) / expected) - yes + expected, 0.0)
+            telling = np.where((yes >= 2) & (yes > 2 * no) & (surprise > 0.45 * chance), surprise, 0.0)
+            of_fold = fold[self.doc] == f
+            out[of_fold] = np.add.reduceat(telling[self.ids], self.starts[:-1])[of_fold]
+        return out, float(chance)
+
+    def fitted(self, seed: int, used: np.ndarray) -> Machine:
+        """The machine of the used documents. Of a case those windows count that have telling terms, then of these those the first fit finds too.
+
+        A case without such windows is left out. Where no term is telling yet, for want of labels, cases of a single window count.
+        """
+        mine, case = used[self.doc], self.cases[self.doc]
+        if not (mine & case).any():
+            out = Machine(self.known, seed)
+            out.factor[:] = 0
+            return out
+        fit = lambda chosen, start, rounds: Machine(self.known, start).fit(self.ids, self.starts, np.flatnonzero(mine & (chosen | ~case)), chosen, rounds)
+        evidence, chance = self.evidence(used)
+        first = case & (evidence > 0.9 * chance)
+        if not (mine & first).any():
+            return fit(case & (np.bincount(self.doc)[self.doc] == 1), seed, 14)
+        z = fit(first, seed, 12).log_odds(self.ids, self.starts)
+        return fit(case & (evidence > 0.45 * chance) & (z > 0), seed + 100, 14)
+
+    def highest(self, machine: Machine) -> np.ndarray:
+        """The highest log-odds of each document, far below 0 without windows."""
+        out = np.full(len(self.cases), NOWHERE)
+        np.maximum.at(out, self.doc, machine.log_odds(self.ids, self.starts).astype(np.float64))
+        return out
 
 
-def labelled(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> pd.DataFrame:
-    """text and case of at most so many labelled documents: the majority of the labels, ties and nulls left out."""
-    case = F.col("label").isin(*CASES)
-    each = labels.filter("label is not null").dropDuplicates(["doc_id", "rater", "label"]).groupBy("doc_id").agg(F.avg(case.cast("int")).alias("share"))
-    chosen = each.filter("share != 0.5").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return documents.select("doc_id", "text").filter("text is not null").join(chosen, "doc_id").selectExpr("doc_id", "text", "share > 0.5 as positive").toPandas().sort_values("doc_id")
+def best_limit(z: np.ndarray, cases: np.ndarray) -> float:
+    """The log-odds that part documents with the fewest errors, halfway between two documents; 0 where none would be found. Those without windows don't count."""
+    z, cases = z[z > NOWHERE], cases[z > NOWHERE]
+    order = np.argsort(-z, kind="stable")
+    errors = np.concatenate(([0], np.cumsum(np.where(cases[order], -1, 1))))
+    i = int(errors.argmin())
+    if not i:
+        return 0.0
+    return float((z[order[i - 1]] + z[order[i]]) / 2) if i < len(z) else float(z[order[-1]])
 
 
-class Packed:
-    """The part of a machine that isn't zero, for the plans that use it."""
+def fold_of(n: int, folds: int) -> np.ndarray:
+    return np.random.default_rng(3).permutation(n) % folds
 
-    def __init__(self, machine: Machine) -> None:
-        self.used = np.flatnonzero(machine.allowed & ((machine.weight != 0) | machine.factor.any(axis=1)))
-        self.bias, self.weight, self.factor = machine.bias, machine.weight[self.used], machine.factor[self.used]
 
-    def machine(self) -> Machine:
-        out = Machine()
-        out.bias, out.factor = self.bias, np.zeros((1 << BITS, self.factor.shape[1]), np.float32)
-        out.weight[self.used], out.factor[self.used] = self.weight, self.factor
-        return out
+def trained(sample: Sample, spark: SparkSession | None = None, machines: int = MACHINES, folds: int = FOLDS) -> Machine:
+    """The mean of the machines of the sample, with the limit that its folds give. With spark, each machine and each fold is a task."""
+    fold = fold_of(len(sample.cases), folds)
 
+    def one(i: int, sample: Sample) -> Machine:
+        return sample.fitted(7 + i, np.ones(len(fold), bool) if i < machines else fold != i - machines)
 
-def telling_windows(documents: DataFrame, machine: Machine, without: set[int]) -> list[list[str]]:
-    """Windows of at least SURE log-odds of documents that no rater found clean, FURTHER at most: those of the smallest hashes."""
-    packed = Packed(machine)
+    if spark is None:
+        fitted = [one(i, sample) for i in range(machines + folds)]
+    else:
+        shared = spark.sparkContext.broadcast(sample)  # bounded by SAMPLE
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in b.column("id").to_pylist():
+                    m = one(i, shared.value)
+                    yield pa.RecordBatch.from_pylist([{"id": i, "bias": m.bias, "weight": m.weight.tobytes(), "factor": m.factor.tobytes()}], schema)
+
+        schema = pa.schema([("id", pa.int64()), ("bias", pa.float64()), ("weight", pa.binary()), ("factor", pa.binary())])
+        fitted = []
+        for r in spark.range(0, machines + folds, 1, machines + folds).mapInArrow(run, "id bigint, bias double, weight binary, factor binary").orderBy("id").collect():
+            m = Machine(sample.known)
+            m.bias, m.weight, m.factor = r["bias"], np.frombuffer(r["weight"], np.float32), np.frombuffer(r["factor"], np.float32).reshape(-1, FACTORS)
+            fitted.append(m)
+        shared.unpersist()
+    unseen = np.full(len(fold), NOWHERE)
+    for f in range(folds):
+        unseen[fold == f] = sample.highest(fitted[machines + f])[fold == f]
+    out = averaged(fitted[:machines])
+    out.limit = best_limit(unseen, sample.cases)
+    used = (out.weight != 0) | out.factor.any(axis=1)
+    out.known, out.weight, out.factor = out.known[used], out.weight[used], out.factor[used]
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, terms = packed.machine(), Terms()
-        for b in batches:
-            found = []
-            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                words = windows(text) if i not in without else []
-                if words:
-                    z = own.scores(*flat([terms.window(w) for w in words]))
-                    found += [" ".join(words[j]) for j in np.flatnonzero(z >= SURE)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["window"])
 
-    chosen = documents.select("doc_id", "text").mapInArrow(run, "window string").distinct().orderBy(F.xxhash64("window"), "window").limit(FURTHER)
-    return [r["window"].split(" ") for r in chosen.collect()]
+def labelled(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> pd.DataFrame:
+    """text and case of at most so many labelled documents: the majority of the labels, ties and nulls left out."""
+    case = F.col("label").isin(*CASES)
+    each = labels.filter("label is not null").dropDuplicates(["doc_id", "rater", "label"]).groupBy("doc_id").agg(F.avg(case.cast("int")).alias("share"))
+    chosen = each.filter("share != 0.5").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    return documents.select("doc_id", "text").filter("text is not null").join(chosen, "doc_id").selectExpr("doc_id", "text", "share > 0.5 as positive").toPandas().sort_values("doc_id")
 
 
 def scored(documents: DataFrame, machine: Machine) -> DataFrame:
-    """documents with its column text replaced by score (0 to 1; 0 for null, empty and wordless texts)."""
-    packed = Packed(machine)
+    """documents with its column text replaced by score (0 to 1; 0 for null, empty and wordless texts). The machine is bounded by SAMPLE."""
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name not in ("text", "score")), "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, terms = packed.machine(), Terms()
+        terms = Terms(machine.known)
         for b in batches:
             keep = [n for n in b.schema.names if n not in ("text", "score")]
             texts, scores = b.column("text").to_pylist(), []
             for at in range(0, len(texts), 500):
-                scores.append(own.document_scores([terms.document(t) for t in texts[at : at + 500]]))
+                scores.append(machine.document_scores(texts[at : at + 500], terms))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(np.concatenate(scores) if scores else np.zeros(0))], [*keep, "score"])
 
     return documents.mapInArrow(run, schema)
 
 
 def learned(documents: DataFrame, labels: DataFrame) -> Machine:
-    """The machine of a corpus: fitted on its labelled documents, then again with windows of all documents it is sure of."""
+    """The machine of a corpus, fitted on its labelled documents."""
     rows = labelled(documents, labels)
-    texts, cases = rows["text"].tolist(), rows["positive"].to_numpy(bool)
-    first = trained(texts, cases, machines=1)
-    clean = {int(i) for i in rows["doc_id"][~cases]}
-    return trained(texts, cases, telling_windows(documents, first, clean))
+    return trained(Sample(rows["text"].tolist(), rows["positive"].to_numpy(bool)), documents.sparkSession)
 
 
 def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
