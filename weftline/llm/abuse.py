@@ -339,7 +339,8 @@ def trained(sample: Sample, spark: SparkSession | None = None, machines: int = M
 
         schema = pa.schema([("id", pa.int64()), ("bias", pa.float64()), ("weight", pa.binary()), ("factor", pa.binary())])
         fitted = []
-        for r in spark.range(0, machines + folds, 1, machines + folds).mapInArrow(run, "id bigint, bias double, weight binary, factor binary").orderBy("id").collect():
+        found = spark.range(0, machines + folds, 1, machines + folds).mapInArrow(run, "id bigint, bias double, weight binary, factor binary").collect()
+        for r in sorted(found, key=lambda r: r["id"]):
             m = Machine(sample.known)
             m.bias, m.weight, m.factor = r["bias"], np.frombuffer(r["weight"], np.float32), np.frombuffer(r["factor"], np.float32).reshape(-1, FACTORS)
             fitted.append(m)
