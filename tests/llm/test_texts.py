@@ -1,6 +1,7 @@
 """Encoding, packing, truncation, defects and abuse on small fixtures."""
 
 import functools
+import itertools
 import os
 import random
 
@@ -97,6 +98,28 @@ def test_packed_documents(spark):
     assert packing.packed(df.limit(0), [("small", 50)]).count() == 0 and packing.packed(df, []).count() == 0
 
 
+def test_the_best_pattern_of_bounded_sizes():
+    rng = random.Random(9)
+    for _ in range(40):
+        capacity, sizes = rng.randint(5, 40), np.array(sorted(rng.sample(range(1, 30), rng.randint(1, 4))))
+        values, most = np.array([rng.random() for _ in sizes]), np.array([rng.randint(1, 7) for _ in sizes])
+        got = packing.best_pattern(sizes, values, most, capacity)
+        assert sum(n * sizes[i] for i, n in got.items()) <= capacity and all(n <= most[i] for i, n in got.items())
+        best = max(sum(n * v for n, v in zip(c, values)) for c in itertools.product(*(range(m + 1) for m in most)) if sum(n * s for n, s in zip(c, sizes)) <= capacity)
+        assert abs(sum(n * values[i] for i, n in got.items()) - best) < 1e-9
+
+
+def test_many_models_and_a_large_capacity(spark):
+    """No container of any of 20 models is too full, nor one of 2 ** 21 tokens beside a model of the next number."""
+    rng = random.Random(11)
+    df = spark.createDataFrame([(i, rng.choice((1, 7, 50, 51, 99, 130))) for i in range(400)], "doc_id long, n_tokens long").repartition(3)
+    limits = [(f"m{i}", 60 + i) for i in range(20)] + [("large", 1 << 21), ("next", 100)]
+    used = packing.packed(df, limits).groupBy("model_name", "container").agg(F.sum("n_tokens").alias("used"))
+    rows = used.groupBy("model_name").agg(F.max("used").alias("most"), F.sum("used").alias("sum")).collect()
+    total = df.agg(F.sum("n_tokens")).first()[0]
+    assert len(rows) == 22 and all(r["most"] <= dict(limits)[r["model_name"]] and r["sum"] == total for r in rows)
+
+
 CUT = ["It was late and the lam", "The end of the sentence was lost when the tow…", "Then nobody came...", "One.\n- moat (A)\n- re", "Text \\u00", "So it is and&am", "A.\n```python\nx = [", '{"a": "b', "He said [cut]", "Because the cherry is crimson,", "see https://exam", "and so d�"]
 COMPLETE = ["All is well.", "Is it?", "He left. 🙂", "Both.", "No", "42%", "One.\n- moat (A)\n- reed (B)", "A.\n```python\nx = 1\n```", '{"a": "b"}', "Town: 85 kg", "He said “so.”", "i cant assist with that, sorry", "Done. (Anna)", "- tea\n- milk\n- bread"]
 OPEN = ["It rained.\n\nBest regards,\nAnna-Maria", "Es regnete.\n\nMit freundlichen Grüßen\nAnna", "It rained. https://a.example/notes/41"]

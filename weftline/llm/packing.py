@@ -1,10 +1,11 @@
 """Problem 6: documents put into contexts of fixed size with as little unused room as possible.
 
-Only the histogram of sizes reaches the driver, at most one row for each size up to the capacity. There, a linear program over
-configurations (how many items of each size share a container) is solved by multiplicative weights: the weights of sizes
-that are short of containers grow, and a knapsack by dynamic programming finds the best configuration for the weights. The
-counts are rounded down, and what is left over is packed from the largest size down, by groups of equal containers. The
-documents then get their containers from their rank among those of equal size, without a task that sees all of a size.
+Only the histogram of sizes reaches the driver, at most one row for each size up to the capacity. From it, in one task a
+model, a linear program over configurations (how many items of each size share a container) is solved by multiplicative
+weights: the weights of sizes that are short of containers grow, and a knapsack by dynamic programming finds the best
+configuration for the weights. The counts are rounded down, and what is left over is packed from the largest size down, by
+groups of equal containers. The documents then get their containers from their rank among those of equal size, without a
+task that sees all of a size.
 """
 
 from __future__ import annotations
@@ -29,36 +30,41 @@ Pattern = tuple[tuple[int, int], ...]
 
 
 def best_pattern(sizes: np.ndarray, values: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of sizes (index -> number) of the greatest value that fits the capacity; no size more often than most."""
+    """The multiset of sizes (index -> number) of the greatest value that fits the capacity; no size more often than most.
+
+    A size that may be taken b times stands for items of 1, 2, 4 ... and the rest of it, so one vector operation prices each.
+    """
     value = np.zeros(capacity + 1)
-    last = np.full(capacity + 1, -1, np.int64)
-    for c in range(1, capacity + 1):
-        fit = int(np.searchsorted(sizes, c, "right"))
-        value[c] = value[c - 1]
-        if fit:
-            got = value[c - sizes[:fit]] + values[:fit]
-            i = int(got.argmax())
-            if got[i] > value[c] + 1e-15:
-                value[c], last[c] = got[i], i
+    taken: list[tuple[int, int, np.ndarray]] = []
+    for i, s in enumerate(sizes.tolist()):
+        left, times = min(int(most[i]), capacity // s), 1
+        while left > 0:
+            n = min(times, left)
+            got, old = value[: capacity + 1 - n * s] + n * values[i], value[n * s :]
+            taken.append((i, n, np.packbits(got > old)))
+            np.maximum(old, got, out=old)
+            left, times = left - n, times * 2
     out: dict[int, int] = {}
     c = capacity
-    while c > 0:
-        if last[c] < 0:
-            c -= 1
-            continue
-        i = int(last[c])
-        out[i] = out.get(i, 0) + 1
-        c -= int(sizes[i])
-    return {i: min(n, int(most[i])) for i, n in out.items()}
+    for i, n, better in reversed(taken):
+        at = c - n * int(sizes[i])
+        if at >= 0 and better[at >> 3] >> (7 - (at & 7)) & 1:
+            out[i] = out.get(i, 0) + n
+            c = at
+    return out
 
 
 def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[Pattern, int]]:
-    """Patterns ((size, number), ...) and how many containers have each, by the linear program; covers no size too often."""
+    """Patterns ((size, number), ...) and how many containers have each, by the linear program; covers no size too often.
+
+    Every ROUNDS / 8 rounds it is rounded, and ends early if it and the rest fill no more containers than all items need.
+    """
     if not len(sizes) or counts.sum() < 2:
         return []
-    used: dict[Pattern, float] = {}
-    weights = np.ones(len(sizes))
-    for _ in range(rounds):
+    used: dict[tuple[tuple[int, int], ...], float] = {}
+    weights, least = np.ones(len(sizes)), -(-int((sizes * counts).sum()) // capacity)
+    out: list[tuple[Pattern, int]] = []
+    for r in range(1, rounds + 1):
         # A size's price is its share of the capacity, more where its items are short of containers.
         pattern = best_pattern(sizes, sizes * weights / capacity, counts, capacity)
         number = min(counts[i] / n for i, n in pattern.items())  # until the first size is all placed
@@ -67,12 +73,20 @@ def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds:
         for i, n in pattern.items():
             weights[i] *= (1 - step) ** (n * number / counts[i])
         weights /= weights.max()
+        if r % max(1, rounds // 8) == 0 or r == rounds:
+            out = rounded(sizes, counts, used)
+            if sum(n for _, n in with_rest(out, sizes, counts, capacity)) <= least:
+                break
+    return out
+
+
+def rounded(sizes: np.ndarray, counts: np.ndarray, used: dict[tuple[tuple[int, int], ...], float]) -> list[tuple[Pattern, int]]:
+    """Whole numbers of containers for the patterns (index of a size, number) used so often, none so that a size is covered too often."""
     cover = np.zeros(len(sizes))
     for pattern, number in used.items():
         for i, n in pattern:
             cover[i] += n * number
-    left = counts.copy()
-    out = []
+    left, out = counts.copy(), []
     for pattern, number in sorted(used.items(), key=lambda x: -x[1]):
         over = max(cover[i] / counts[i] for i, _ in pattern)  # so that no size is covered more than once
         whole = min(int(number / max(over, 1e-9) + 1e-9), *(int(left[i] // n) for i, n in pattern))
@@ -119,18 +133,20 @@ def largest_first(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[
     return [(tuple(sorted(p.items())), n) for same in groups.values() for p, n in same]
 
 
-def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
-    """Patterns and numbers of containers that hold all items: by the linear program, and the rest from the largest down."""
+def with_rest(first: list[tuple[Pattern, int]], sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
+    """Patterns and numbers of containers first, and those of the items they leave, from the largest down."""
+    left = dict(zip(sizes.tolist(), counts.tolist()))
+    for pattern, n in first:
+        for s, k in pattern:
+            left[s] -= k * n
+    rest = [(s, n) for s, n in left.items() if n]
+    return first + largest_first(np.array([s for s, _ in rest], np.int64), np.array([n for _, n in rest], np.int64), capacity)
 
-    def with_rest(first: list[tuple[Pattern, int]]) -> list[tuple[Pattern, int]]:
-        left = dict(zip(sizes.tolist(), counts.tolist()))
-        for pattern, n in first:
-            for s, k in pattern:
-                left[s] -= k * n
-        rest = [(s, n) for s, n in left.items() if n]
-        return first + largest_first(np.array([s for s, _ in rest], np.int64), np.array([n for _, n in rest], np.int64), capacity)
 
-    return min((with_rest(configurations(sizes, counts, capacity)), with_rest([])), key=lambda x: sum(n for _, n in x))
+def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
+    """Patterns and numbers of containers that hold all items: by the linear program and its rest, or all from the largest down if that needs fewer."""
+    both = (with_rest(first, sizes, counts, capacity) for first in (configurations(sizes, counts, capacity), []))
+    return min(both, key=lambda x: sum(n for _, n in x))
 
 
 def places(solution: list[tuple[Pattern, int]]) -> np.ndarray:
@@ -144,6 +160,22 @@ def places(solution: list[tuple[Pattern, int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
+def planned(spark: SparkSession, histograms: list[list[tuple[int, int]]], capacities: list[int]) -> np.ndarray:
+    """Rows model, size, first rank, first container, number in a container, sorted; each model is planned in a task of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in b.column("id").to_pylist():
+                sizes = np.array(sorted(histograms[i]), np.int64).reshape(-1, 2)
+                rows = places(plan(sizes[:, 0], sizes[:, 1], capacities[i]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), i)), *(pa.array(rows[:, j]) for j in range(4))], list("msrck"))
+
+    n = len(capacities)
+    got = spark.range(0, n, 1, n).mapInArrow(run, "m bigint, s bigint, r bigint, c bigint, k bigint").toArrow()
+    rows = np.column_stack([got.column(c).to_numpy() for c in "msrck"]).astype(np.int64)
+    return rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+
+
 def packed(sizes: DataFrame, limits: list[tuple[str, int]]) -> DataFrame:
     """model_name, doc_id, part, first_token, n_tokens and container of all documents, for each model's capacity.
 
@@ -159,16 +191,18 @@ def packed(sizes: DataFrame, limits: list[tuple[str, int]]) -> DataFrame:
     whole = F.when(F.col("n") > F.col("capacity"), F.floor(F.col("n") / F.col("capacity"))).otherwise(F.lit(0))
     items = rows.select("doc_id", "m", "capacity", whole.alias("whole"), (F.col("n") - whole * F.col("capacity")).alias("size"))
     histogram = items.groupBy("m", "size").agg(F.count("*").alias("n")).collect()  # at most capacity + 1 rows a model
-    table_of = []
-    for i, (_, capacity) in enumerate(limits):
-        of = sorted((r["size"], r["n"]) for r in histogram if r["m"] == i and r["size"] > 0)
-        solution = plan(np.array([s for s, _ in of], np.int64), np.array([k for _, k in of], np.int64), capacity)
-        found = places(solution)
-        table_of.append(np.column_stack([np.full(len(found), i), found]))
-    where = np.concatenate(table_of) if table_of else np.zeros((0, 5), np.int64)
-    key = (where[:, 0] * (1 << 20) + where[:, 1]) * (1 << 40) + where[:, 2]
-    order = np.argsort(key)
-    key, where = key[order], where[order]
+    sizes_of: list[list[tuple[int, int]]] = [[] for _ in limits]
+    for r in histogram:
+        if r["size"] > 0:
+            sizes_of[r["m"]].append((r["size"], r["n"]))
+    where = planned(sizes.sparkSession, sizes_of, [c for _, c in limits])
+    # Items stand in the order of model, size and rank: each size begins where the one before ends, so no two have a place in common.
+    group, of = np.unique(where[:, :2], axis=0, return_inverse=True)
+    total = {(r["m"], r["size"]): r["n"] for r in histogram}
+    items_of = np.array([total[m, s] for m, s in group.tolist()], np.int64)
+    base = np.cumsum(items_of) - items_of
+    place, width = base[of.reshape(-1)] + where[:, 2], (int(group[:, 1].max()) if len(group) else 0) + 1
+    group_key = group[:, 0] * width + group[:, 1]
     # The rank among the items of a size: within a bucket, plus the buckets before it.
     buckets = max([64, *(r["n"] // RANKED for r in histogram)])
     items = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
@@ -183,8 +217,8 @@ def packed(sizes: DataFrame, limits: list[tuple[str, int]]) -> DataFrame:
             container = np.zeros(len(m), np.int64)
             some = size > 0
             if some.any():
-                at = np.searchsorted(key, (m[some].astype(np.int64) * (1 << 20) + size[some]) * (1 << 40) + rank[some], "right") - 1
-                w = where[at]
+                g = np.searchsorted(group_key, m[some].astype(np.int64) * width + size[some])
+                w = where[np.searchsorted(place, base[g] + rank[some], "right") - 1]
                 container[some] = w[:, 3] + (rank[some] - w[:, 2]) // w[:, 4]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "m", "capacity", "whole", "size")), pa.array(container)], ["doc_id", "m", "capacity", "whole", "size", "shared"])
 
