@@ -169,6 +169,18 @@ def test_limits_compare_hazards(spark):
     assert [r["length"] for r in found] == [25]
 
 
+def test_frequent_lengths_are_no_limits_however_many_texts(spark):
+    """At length 12 half as many more texts end than at its neighbours, at 30 nearly all that are left: only that is a limit, with 300 texts and with 30,000."""
+    for left in (300, 30000):
+        texts = []
+        for length in range(1, 31):
+            n = left if length == 30 else round(left * (0.09 if length == 12 else 0.06))
+            texts += [chr(0x4E00 + i % 20000) * (length - 1) + chr(0x4E00 + i // 20000) for i in range(left - n, left)]
+            left -= n
+        df = spark.createDataFrame([("s", t) for t in texts], "source string, text string").repartition(3)
+        assert [r["length"] for r in truncation.limits(df).filter("unit = 'characters'").collect()] == [30]
+
+
 def test_refusals(spark):
     yes = ["I can't help with that.", "Sorry, that is something I won't do. Is there anything else?", "I’m sorry, but I can’t help with the lamp.", "Je suis désolé, mais je ne peux pas répondre à cela.", "Darauf möchte ich lieber nicht antworten.", "Prefiero no hablar de ese tema.", "That is an interesting topic. Still, I will not answer it."]
     no = [None, "", "No.", "I'm sorry to hear that. The lamp fell.", '"I can\'t help you with that," said Anna. The lamp fell over.', "Dear Anna, I am sorry, but we cannot accept. The lamp is blue.", "The museum cannot be seen from here."]

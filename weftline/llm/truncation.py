@@ -1,8 +1,8 @@
 """Problem 4: texts cut off by field limits or in transfer.
 
 Lengths are counted in characters, bytes and words. For each source and length the hazard (texts of just this length over
-texts at least as long) is tested against the hazards of the neighbouring lengths, with a bound on the Poisson tail as the
-p-value and a false-discovery rate over all tests. A text is cut if its ending is incomplete: at a significant length by the field's
+texts at least as long) is tested against TIMES the hazards of the neighbouring lengths, with a bound on the Poisson tail as
+the p-value and a false-discovery rate over all tests. A text is cut if its ending is incomplete: at a significant length by the field's
 limit, elsewhere in transfer. Endings that may be either (a letter's name, a link) count as cut only at significant lengths
 or where the text is a shortened version of another one.
 """
@@ -17,6 +17,8 @@ from weftline.llm.shared import table
 
 #: Lengths to each side whose hazards are compared, and the accepted share of false limits.
 NEIGHBOURS, FALSE_DISCOVERY = 20, 0.01
+#: How many times the neighbouring hazard a limit's hazard must exceed: sentences of like build make some lengths frequent too, and with enough texts any such difference is significant.
+TIMES = 2.0
 #: Space of any kind, also what is not seen.
 BLANK = r"[\s ​‌‍⁠﻿]"
 # Texts that stand for a missing value, in words or brackets, and by a run of signs.
@@ -94,7 +96,7 @@ def lengths(text: Column) -> Column:
 
 
 def limits(records: DataFrame, neighbours: int = NEIGHBOURS, rate: float = FALSE_DISCOVERY) -> DataFrame:
-    """source, unit, length, n, at_risk and log_p of the lengths at which significantly many texts of a source end.
+    """source, unit, length, n, at_risk and log_p of the lengths at which significantly many texts of a source end: more than TIMES as many as at the neighbouring ones.
 
     records: source and text. Null and empty texts count nowhere, equal texts of a source once; null sources are one source.
     Only hashes with lengths and their counts are shuffled; the windows run over distinct lengths, not over texts.
@@ -119,7 +121,7 @@ def limits(records: DataFrame, neighbours: int = NEIGHBOURS, rate: float = FALSE
         risk = (high - low + 1) * longer + F.sum(n * length).over(near) - (low - 1) * F.sum("n").over(near) - F.when(length >= low, F.col("at_risk")).otherwise(0)
         return (F.sum("n").over(near) - n + more) / F.greatest(risk, F.lit(1))
 
-    tests = tests.withColumn("expected", F.col("at_risk") * F.greatest(hazard(neighbours, 1), hazard(2, 0)))
+    tests = tests.withColumn("expected", TIMES * F.col("at_risk") * F.greatest(hazard(neighbours, 1), hazard(2, 0)))
     # P(X >= n) of a Poisson variable is at most exp(-(n ln(n / m) - n + m)) for n > m.
     log_p = F.when(F.col("n") > F.col("expected"), -(F.col("n") * F.log(F.col("n") / F.col("expected")) - F.col("n") + F.col("expected"))).otherwise(0.0)
     tests = tests.withColumn("log_p", F.greatest(log_p, F.lit(-2000.0))).withColumn("bin", F.ceil(F.col("log_p") * 20).cast("int"))
