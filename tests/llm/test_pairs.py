@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from weftline.llm import near_duplicates as N
 from weftline.llm import shared, split_overlap
@@ -149,8 +150,26 @@ def test_fingerprints_never_differ_more_than_the_sets():
         assert int(np.bitwise_count(folded[w][i] ^ folded[w][j]).sum()) <= len(sets[i] ^ sets[j])
 
 
-def test_a_third_of_all_rows_are_copies(spark):
+@pytest.mark.parametrize("copies", [2000, 6])
+def test_a_third_of_all_rows_are_copies(spark, monkeypatch, copies):
+    """Also where a class is dealt to several tasks."""
     text = " ".join(WORDS[:40])
     other = [" ".join(random.Random(i).choices(WORDS, k=40)) for i in range(40)]
-    df = spark.createDataFrame([(0, i, text if i < 20 else other[i - 20]) for i in range(60)], "part byte, id long, text string").repartition(5)
-    assert N.near_duplicates(df).count() == 20 * 19 // 2
+    rows = [(0, i, text if i < 20 else text + " end" if i < 25 else other[i - 25]) for i in range(60)]
+    df = spark.createDataFrame(rows, "part byte, id long, text string").repartition(5)
+    monkeypatch.setattr(N, "COPIES", copies)
+    got = [(r["id_a"], r["id_b"]) for r in N.near_duplicates(df).collect()]
+    assert sorted(got) == [(i, j) for i in range(25) for j in range(i + 1, 25)]
+    links = {r["id"]: (r["class"], r["n_copies"], r["n_links"]) for r in N.linked(df).collect()}
+    assert links == {i: (0, 20, 24) if i < 20 else (20, 5, 24) if i < 25 else (i, 1, 0) for i in range(60)}
+    trains = df.withColumn("trains", F.col("id") % 2 == 0)
+    assert split_overlap.overlaps(trains).count() == 13 * 12
+
+
+def test_filters_of_any_length(spark, monkeypatch):
+    """A filter that is full lets all texts pass and loses none."""
+    monkeypatch.setattr(shared, "LEAST_BITS", 3)
+    monkeypatch.setattr(shared, "MOST_BITS", 4)
+    texts = corpus(7, 20)
+    df = spark.createDataFrame(rows(texts), "part byte, id long, text string").repartition(3)
+    assert {(r["id_a"], r["id_b"]) for r in N.near_duplicates(df).collect()} == brute(texts)

@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import MIN_WORDS, Bigrams, Fresh, Words, keys, mix, slot, surveyed, table, verified
+from weftline.llm.shared import MIN_WORDS, Bigrams, Fresh, Words, keys, mix, slot, surveyed, table, verified, written
 
 #: Number of documents of a region above which it is divided.
 REGION = 8_000
+#: Rows of regions that one task joins, about, and copies of one text that one task expands.
+JOINED, COPIES = 250_000, 2_000
 
 
 #: Numbers of 64-bit words a fingerprint may have, and up to how many pairs each serves.
@@ -168,7 +170,12 @@ class Region:
         return [(small[self.trains[small] == side], region[self.trains[region] != side]) for side in (True, False)]
 
 
-def joined(rows: DataFrame) -> DataFrame:
+def tasks_for(frequency: np.ndarray, least: int) -> int:
+    """How many tasks join the regions: half of all word pairs of texts stand in a window, so their rows grow with the counts, and the tasks with them."""
+    return max(least, int(frequency.sum(dtype=np.uint64)) // 2 // JOINED + 1)
+
+
+def joined(rows: DataFrame, tasks: int) -> DataFrame:
     """k_a and k_b of the rows that meet within their regions, each region joined in one task, none larger than REGION allows.
 
     Where rows have a column trains (boolean), k_a trains and k_b doesn't.
@@ -218,24 +225,58 @@ def joined(rows: DataFrame) -> DataFrame:
         if n:
             yield within(pa.Table.from_batches(held))
 
-    return rows.repartition("pivot").sortWithinPartitions("pivot").mapInArrow(run, "k_a bigint, k_b bigint")
+    return rows.repartition(tasks, "pivot").sortWithinPartitions("pivot").mapInArrow(run, "k_a bigint, k_b bigint")
 
 
-def near_duplicates(records: DataFrame) -> DataFrame:
-    """part, id_a and id_b (id_a < id_b) of every two records of a part with alike texts. records: part, id, text.
+def least_tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The membership (part, id, k) of all texts of at least MIN_WORDS words, and the pairs (k_a, k_b, likeness) of alike classes.
 
-    Rows with the same part and id are one record. Null, empty and short texts (under 20 words) are alike to nothing.
+    Texts with the same set of word pairs are one class k. Copies are so many rows of the membership and no pairs. records: part, id, text.
+    Rows with the same part and id are one record. Null, empty and short texts (under 20 words) are alike to nothing and in no class.
     Empty tables give no rows; further columns are ignored; texts of any length are taken whole.
     """
     members, frequency = surveyed(records, "id")
-    members = members.distinct()
-    links = verified(joined(regions(records, frequency)).distinct(), records).select("k_a", "k_b")
+    links = verified(joined(regions(records, frequency), tasks_for(frequency, least_tasks(records))).distinct(), records)
+    return written(members.distinct()), links
+
+
+def expanded(links: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """The pairs of members of linked classes. links: k_a, k_b. left: k_a and others; right: k_b and others, each with a column by, which tells members apart.
+
+    A class of more than COPIES members is dealt to several keys, so no task gets all its members.
+    """
+    out = links
+    for k, salt, members in (("k_a", "__a", left), ("k_b", "__b", right)):
+        large = members.groupBy(k).agg(F.count("*").alias("__n")).filter(F.col("__n") > COPIES).select(k, F.ceil(F.col("__n") / COPIES).alias("__s"))
+        shares = F.coalesce("__s", F.lit(1))
+        dealt = members.join(large, k, "left").withColumn(salt, F.pmod(F.xxhash64("by"), shares)).drop("__s", "by")
+        out = out.join(large, k, "left").withColumn(salt, F.explode(F.sequence(F.lit(0).cast("bigint"), shares - 1))).drop("__s").join(dealt, [k, salt]).drop(salt)
+    return out
+
+
+def near_duplicates(records: DataFrame) -> DataFrame:
+    """part, id_a and id_b (id_a < id_b) of every two records of a part with alike texts, copies among them: classes() expanded."""
+    members, links = classes(records)
     same = members.groupBy("k").count().filter("count > 1").select(F.col("k").alias("k_a"), F.col("k").alias("k_b"))
-    left, right = members.select("part", F.col("k").alias("k_a"), F.col("id").alias("x")), members.select(F.col("k").alias("k_b"), F.col("id").alias("y"))
-    pairs = links.unionByName(same).join(left, "k_a").join(right, "k_b").filter("k_a != k_b or x < y")
+    left, right = members.select("part", F.col("k").alias("k_a"), F.col("id").alias("x"), F.col("id").alias("by")), members.select(F.col("k").alias("k_b"), F.col("id").alias("y"), F.col("id").alias("by"))
+    pairs = expanded(links.select("k_a", "k_b").unionByName(same), left, right).filter("k_a != k_b or x < y")
     return pairs.select("part", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
+def linked(records: DataFrame) -> DataFrame:
+    """part, id, class (the least id of the records with its set of word pairs), n_copies (their number) and n_links (other records with alike texts) of every record in a class."""
+    members, links = classes(records)
+    sizes = members.groupBy("part", "k").agg(F.count("*").alias("n_copies"), F.min("id").alias("class"))
+    both = links.select(F.col("k_a").alias("k"), F.col("k_b").alias("of")).unionByName(links.select(F.col("k_b").alias("k"), F.col("k_a").alias("of")))
+    others = both.join(sizes.select(F.col("k").alias("of"), "n_copies"), "of").groupBy("k").agg(F.sum("n_copies").alias("others"))
+    of_class = sizes.join(others, "k", "left").select("k", "class", "n_copies", (F.col("n_copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return members.join(of_class, "k").select("part", "id", "class", "n_copies", "n_links")
+
+
 TABLES = {0: ("prompt_log", "prompt_id", "prompt"), 1: ("finetune_rows", "example_id", "train_output")}
 
 
@@ -247,6 +288,12 @@ def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tbl, id, class, n_copies and n_links of every record of at least 20 words: as large as the tables, however many copies there are."""
+    name = F.when(F.col("part") == 0, TABLES[0][0]).otherwise(TABLES[1][0])
+    return linked(p1_records(spark, sf_dir)).select(name.alias("tbl"), "id", "class", "n_copies", "n_links")
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tbl, id_a, id_b of every two alike records of prompt_log.prompt and of finetune_rows.train_output."""
     name = F.when(F.col("part") == 0, TABLES[0][0]).otherwise(TABLES[1][0])

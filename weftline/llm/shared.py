@@ -138,30 +138,32 @@ class Fresh:
         return out
 
 
-#: Bits of the filter for keys; its size is fixed, and what it lets through beside the keys is dropped by the join after it.
-FILTER_BITS = 22
+#: Bits of the filter for keys: 16 a key, but between these. At the most it is 16 MB; with more keys than that serves it lets more pass, which the join after it drops.
+LEAST_BITS, MOST_BITS = 22, 27
 
 
 def key_filter(found: DataFrame) -> np.ndarray:
-    """A bitmap of the hashes of k_a and k_b of all rows."""
+    """A bitmap of the hashes of k_a and k_b of all rows, its length a power of 2. found: a written table."""
+    width = min(MOST_BITS, max(LEAST_BITS, (32 * found.count()).bit_length()))
+    shift = np.uint64(64 - width)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, bool)
+        bits = np.zeros(1 << width, bool)
         for b in batches:
             for side in ("k_a", "k_b"):
-                bits[b.column(side).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)] = True
+                bits[b.column(side).to_numpy().view(np.uint64) >> shift] = True
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits), 1)], pa.binary())], ["bits"])
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
+        bits = np.zeros(1 << width >> 3, np.uint8)
         for b in batches:
             for x in b.column("bits").to_pylist():
                 bits |= np.frombuffer(zlib.decompress(x), np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits, 1)], pa.binary())], ["bits"])
 
     parts = found.select("k_a", "k_b").mapInArrow(mark, "bits binary")
-    parts = parts.coalesce(64).mapInArrow(unite, "bits binary")  # so the driver gets 64 bitmaps at most
-    out = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
+    parts = parts.repartition(8).mapInArrow(unite, "bits binary")  # so the driver gets 8 bitmaps at most
+    out = np.zeros(1 << width >> 3, np.uint8)
     for x in parts.toArrow().column("bits").to_pylist():
         out |= np.frombuffer(zlib.decompress(x), np.uint8)
     return out
@@ -173,11 +175,13 @@ def texts_of(records: DataFrame, wanted: np.ndarray) -> DataFrame:
     Null, empty and texts under MIN_WORDS words have none. Equal k means an equal set, but for collisions of 64-bit hashes.
     """
 
+    shift = np.uint64(64 - (len(wanted) * 8).bit_length() + 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, fresh = Words(), Fresh()
         for b in batches:
             k, counts, _ = keys(b, words)
-            bit = k.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            bit = k.view(np.uint64) >> shift
             known = (wanted[bit >> np.uint64(3)] >> (np.uint64(7) - (bit & np.uint64(7))).astype(np.uint8)) & 1
             yield b.append_column("k", pa.array(k)).filter(pa.array(fresh(k, (counts >= MIN_WORDS) & (known > 0))))
 

@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.near_duplicates import joined, regions
-from weftline.llm.shared import surveyed, table, verified
+from weftline.llm.near_duplicates import expanded, joined, least_tasks, regions, tasks_for
+from weftline.llm.shared import surveyed, table, verified, written
 
 
 def overlaps(records: DataFrame) -> DataFrame:
@@ -24,13 +24,13 @@ def overlaps(records: DataFrame) -> DataFrame:
     """
     records = records.filter("trains is not null")
     members, frequency = surveyed(records, "id", "trains")
-    members = members.distinct()
+    members = written(members.distinct())
     train, test = (regions(records.filter(side), frequency).withColumn("trains", F.lit(trains)) for side, trains in (("trains", True), ("not trains", False)))
-    links = verified(joined(train.unionByName(test)).distinct(), records).select("k_a", "k_b")
+    links = verified(joined(train.unionByName(test), tasks_for(frequency, least_tasks(records))).distinct(), records).select("k_a", "k_b")
     both = members.groupBy("k").agg(F.bool_or("trains").alias("t"), F.bool_or(~F.col("trains")).alias("e")).filter("t and e").select(F.col("k").alias("k_a"), F.col("k").alias("k_b"))
-    left = members.filter("trains").select("part", F.col("k").alias("k_a"), F.col("id").alias("train_id"))
-    right = members.filter("not trains").select(F.col("k").alias("k_b"), F.col("id").alias("test_id"))
-    return links.unionByName(both).join(left, "k_a").join(right, "k_b").select("part", "train_id", "test_id")
+    left = members.filter("trains").select("part", F.col("k").alias("k_a"), F.col("id").alias("train_id"), F.col("id").alias("by"))
+    right = members.filter("not trains").select(F.col("k").alias("k_b"), F.col("id").alias("test_id"), F.col("id").alias("by"))
+    return expanded(links.unionByName(both), left, right).select("part", "train_id", "test_id")
 
 
 SETS = {0: "dpo", 1: "prompt_log"}
