@@ -76,8 +76,8 @@ def test_names_fingerprints_and_cards(session):
     assert f1.fingerprint == f2.fingerprint
     k = 3
     assert a.map(lambda r: {"x": r["out1"] * k}, "x bigint").fingerprint != f1.fingerprint
-    a.register_data_card("License", "mit")
-    assert a.take(1).reverse().data_card() == {"numbers": {"License": ["mit"]}}
+    a.register_data_card("License Information", "mit")
+    assert a.take(1).reverse().data_card() == {"numbers": {"License Information": ["mit"]}}
     with pytest.raises(ValueError):
         a.register_data_card("Colour", "red")
     assert "numbers" in repr(a)
@@ -145,13 +145,13 @@ def test_custom_step(session):
             self.register_input("x")
             self.register_arg("by", required=False, default=2)
             self.register_output("y")
-            self.register_data_card("License", "mit")
+            self.register_data_card("License Information", "mit")
 
         def run(self):
             return {"y": [v * self.args["by"] for v in self.inputs["x"]]}
 
     step = Double("double", {"x": numbers()["out1"]}, {"by": 3}, {"y": "z"}).output
-    assert step.export_to_dict() == {"z": [3, 6, 9]} and step.data_card() == {"double": {"License": ["mit"]}}
+    assert step.export_to_dict() == {"z": [3, 6, 9]} and step.data_card() == {"double": {"License Information": ["mit"]}}
     assert Double.help() == "Double(inputs: x; args: by=2; outputs: y)"
     with pytest.raises(ValueError):
         Double("no input")
@@ -189,10 +189,10 @@ def test_hub_folder_and_cards(session, tmp_path):
     assert licences("---\nlicense:\n- mit\n- cc0-1.0\nlanguage: en\n---\n# X") == ["mit", "cc0-1.0"] and licences("---\nlicense: mit\n---") == ["mit"] and licences("# X") == []
     assert citations("x @article{a, title={B {C}}} y @book{open") == ["@article{a, title={B {C}}}"]
     s = numbers(values=range(10))
-    s.register_data_card("License", "mit")
+    s.register_data_card("License Information", "mit")
     folder = s.export_for_hub(str(tmp_path / "hub"), synthetic=True)
     again = hub_source("again", folder)
-    assert again.export_to_dict() == {"out1": list(range(10))} and again.data_card()["again"]["License"] == ["mit"]
+    assert again.export_to_dict() == {"out1": list(range(10))} and again.data_card()["again"]["License Information"] == ["mit"]
     assert "n<1K" in (tmp_path / "hub" / "README.md").read_text()
 
 

@@ -5,9 +5,12 @@ from __future__ import annotations
 import hashlib
 import inspect
 import json
-import os
 from typing import Any
 
+from pyspark.sql import SparkSession
+
+from weftline.storage import Files
+
 
 def _function(f: Any) -> dict[str, Any]:
     """A function by its bytecode, constants, defaults and the values it closes over, whatever its address."""
@@ -48,14 +51,7 @@ def fingerprint(*parts: Any) -> str:
     return hashlib.sha256(json.dumps(canonical(parts), sort_keys=True, default=str).encode()).hexdigest()
 
 
-def files_state(paths: list[str]) -> list[tuple[str, int, int]]:
-    """Size and time of local files, so that a changed source is noticed."""
-    out = []
-    for p in paths:
-        for folder, _, names in os.walk(p) if os.path.isdir(p) else [(os.path.dirname(p), [], [os.path.basename(p)])]:
-            for n in sorted(names):
-                path = os.path.join(folder, n)
-                if os.path.exists(path):
-                    s = os.stat(path)
-                    out.append((path, s.st_size, s.st_mtime_ns))
-    return sorted(out)
+def files_state(spark: SparkSession, paths: list[str]) -> list[tuple[str, int, int]]:
+    """Path, size and time of the files at or below some paths, on any file system, so that a changed source is noticed."""
+    at = Files(spark)
+    return sorted(x for p in paths for x in at.state(p))

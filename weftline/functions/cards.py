@@ -36,7 +36,7 @@ def citations(card: str) -> list[str]:
 
 def written_card(name: str, rows: int, size: str, lineage: dict[str, dict[str, list[Any]]], synthetic: bool = False) -> str:
     """A card in Markdown: front matter with licences and size, then the lineage of each step."""
-    found = list(dict.fromkeys(str(v) for kinds in lineage.values() for v in kinds.get("License", [])))
+    found = list(dict.fromkeys(str(v) for kinds in lineage.values() for v in kinds.get("License Information", [])))
     lines = ["---", *(["license:", *(f"- {x}" for x in found)] if found else []), "size_categories:", f"- {size}", *(["tags:", "- synthetic"] if synthetic else []), "---", f"# {name}", "", f"{rows} rows.", ""]
     for step, kinds in lineage.items():
         lines += [f"## {step}", ""]

@@ -6,22 +6,42 @@ import re
 from collections.abc import Mapping, Sequence
 from pathlib import PurePath
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VARIABLE = re.compile(r"\{([a-zA-Z0-9:_.]+)\}")
 
 
 def python_string(c: Column, kind: str) -> Column:
-    """A value as Python's str() writes it: True, None, 1.0."""
+    """A value as Python's str() writes it: True, None, 10000000.0, 1e-05. Nested values are written as Spark does."""
     text = c.cast("string")
     if kind == "boolean":
         text = F.initcap(text)
     elif kind in ("double", "float"):
-        text = F.when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf").otherwise(text)
+        text = F.when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf").otherwise(_python_float(c.cast("double")))
+    elif kind.startswith("timestamp"):
+        text = F.when(text.contains("."), F.concat(F.substring_index(text, ".", 1), F.lit("."), F.rpad(F.substring_index(text, ".", -1), 6, "0"))).otherwise(text)
     return F.coalesce(text, F.lit("None"))
 
 
+def _python_float(c: Column) -> Column:
+    """A finite double as Python writes it: an exponent only below 1e-4 and from 1e16 on, where Spark has one below 1e-3 and from 1e7 on."""
+    spark = F.abs(c).cast("string")
+    exponent = F.substring_index(spark, "E", -1).try_cast("int")
+    digits = F.regexp_replace(F.replace(F.substring_index(spark, "E", 1), F.lit("."), F.lit("")), "0+$", "")
+    whole = F.concat(F.substring(F.rpad(digits, exponent + 1, "0"), F.lit(1), exponent + 1), F.lit("."), F.when(F.length(digits) > exponent + 1, F.substring(digits, exponent + 2, F.length(digits))).otherwise("0"))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    mantissa = F.concat(F.substring(digits, 1, 1), F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), F.length(digits)))).otherwise(""))
+    scientific = F.concat(mantissa, F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+    text = F.when(~spark.contains("E"), spark).when((exponent >= 0) & (exponent < 16), whole).when((exponent < 0) & (exponent >= -4), small).otherwise(scientific)
+    return F.concat(F.when(c < 0, "-").otherwise(""), text)
+
+
+def python_text(df: DataFrame, column: str) -> Column:
+    """A column of df as Python's str() writes its values."""
+    return python_string(F.col(f"`{column}`"), dict(df.dtypes)[column])
+
+
 def labelled(label: str | None, value: Column) -> Column:
     """'label value', or the value alone where the label is empty."""
     return F.concat_ws(" ", F.lit(label), value) if label else value

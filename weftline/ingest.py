@@ -10,10 +10,12 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from weftline.position import POS
+from weftline.storage import table_path
 
 
 class StepOutputError(Exception):
@@ -25,6 +27,10 @@ class StepOutputTypeError(TypeError, StepOutputError):
 
 
 PICKLED = {b"weftline": b"pickled"}
+#: What marks such a column in a schema of Spark.
+PICKLED_MARK = "weftline.pickled"
+#: Rows of a generator that the driver holds at a time.
+HELD_ROWS = 50_000
 
 
 class LazyRows:
@@ -145,6 +151,14 @@ def normalised(value: Any, names: list[str]) -> dict[str, list[Any]]:
 
 def _lazy(value: LazyRows, names: list[str]) -> dict[str, list[Any]]:
     out: dict[str, list[Any]] = {n: [] for n in names}
+    for got in parts(value, names):
+        for n in names:
+            out[n] += got[n]
+    return out
+
+
+def parts(value: LazyRows, names: list[str]) -> Iterator[dict[str, list[Any]]]:
+    """The columns of each row or batch as the generator gives it."""
     columns_seen = False
     for part in value.rows():
         if isinstance(value, LazyRowBatches):
@@ -155,22 +169,58 @@ def _lazy(value: LazyRows, names: list[str]) -> dict[str, list[Any]]:
                 got = normalised(part, names)
         else:
             got = normalised([part] if isinstance(part, (dict, tuple)) else ([tuple(part)] if isinstance(part, list) and len(names) > 1 else [part]), names)
-        for n in names:
-            out[n] += got[n]
-    return out
+        yield got
+
+
+def streamed(spark: SparkSession, value: LazyRows, names: list[str], held: int = HELD_ROWS) -> tuple[DataFrame, int]:
+    """The rows of a generator as a table written a part at a time, so the driver never holds more than so many, and their number.
+
+    A column of nulls only is left out of its part, so the first other value says its type.
+    """
+    path, n, schema = table_path(spark), 0, T.StructType()
+    rows: dict[str, list[Any]] = {c: [] for c in names}
+
+    def write() -> None:
+        nonlocal n
+        table = arrow_table(rows)
+        some = [c for c in names if not pa.types.is_null(table.schema.field(c).type)]
+        df = frame(spark, table.select(some) if some else pa.table({})) if some else spark.range(table.num_rows).select(F.col("id").alias(POS))
+        for f in df.schema:
+            if f.name in schema.names and schema[f.name].dataType != f.dataType:
+                raise StepOutputTypeError(f"Column '{f.name}' is {schema[f.name].dataType.simpleString()} first and {f.dataType.simpleString()} later.")
+            if f.name not in schema.names:
+                schema.add(f)
+        df.withColumn(POS, F.col(POS) + F.lit(n).cast("bigint")).write.mode("append").parquet(path)
+        n += table.num_rows
+        for c in names:
+            rows[c].clear()
+
+    for got in parts(value, names):
+        for c in names:
+            rows[c] += got[c]
+        if names and len(rows[names[0]]) >= held:
+            write()
+    if not n or (names and rows[names[0]]):
+        write()
+    for c in names:
+        if c not in schema.names:
+            schema.add(c, T.StringType())
+    return spark.read.schema(schema).parquet(path).select(*(f"`{c}`" for c in names), POS), n
 
 
 def frame(spark: SparkSession, table: pa.Table) -> DataFrame:
     """An Arrow table as a DataFrame with dense positions. Columns of nulls only are strings, since files can't hold the null type."""
     table = pa.table(
         [c.cast(pa.string()) if pa.types.is_null(c.type) else c for c in table.columns],
-        schema=pa.schema([pa.field(f.name, pa.string() if pa.types.is_null(f.type) else f.type) for f in table.schema]),
+        schema=pa.schema([pa.field(f.name, pa.string() if pa.types.is_null(f.type) else f.type, metadata=f.metadata) for f in table.schema]),
     )
+    pickled = {f.name for f in table.schema if (f.metadata or {}).get(b"weftline") == b"pickled"}
     table = table.append_column(POS, pa.array(range(table.num_rows), pa.int64()))
     schema = from_arrow_schema(table.schema, prefer_timestamp_ntz=True)
+    fields = [T.StructField(f.name, f.dataType, f.nullable, {PICKLED_MARK: True} if f.name in pickled else None) for f in schema.fields]
     if table.num_rows == 0:
-        return spark.createDataFrame([], schema)
-    return spark.createDataFrame(table, T.StructType(schema.fields))
+        return spark.createDataFrame([], T.StructType(fields))
+    return spark.createDataFrame(table, T.StructType(fields))
 
 
 def unpickled(value: bytes) -> Any:

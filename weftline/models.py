@@ -14,12 +14,13 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from weftline.position import POS
+from weftline.storage import Files
 
 
 class Model:
@@ -90,15 +91,39 @@ class OutOfMemory(Exception):
     """Raised by a model whose batch was too large."""
 
 
-def batches_by_length(inputs: Sequence[Any], batch_size: int) -> Iterator[list[int]]:
-    """Row numbers in batches of inputs of like length."""
-    order = sorted(range(len(inputs)), key=lambda i: len(inputs[i]) if hasattr(inputs[i], "__len__") else 0)
-    for at in range(0, len(order), batch_size):
-        yield order[at : at + batch_size]
+def length(x: Any) -> int:
+    return len(x) if hasattr(x, "__len__") else 0
 
 
-def run_batch(model: Model, inputs: list[Any], options: dict[str, Any], retries: int = 3, pause: float = 0.5) -> list[Any]:
-    """One batch: halved while it is too large for the memory, tried again with growing pauses while a service fails."""
+class BatchSizes:
+    """How many inputs a model takes at once, learned by a worker for inputs of each range of lengths (doubling from range to range)."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.known = most, {}
+
+    def of(self, longest: int) -> int:
+        """The least that was learned for inputs of this or a shorter length."""
+        return min([self.most, *(n for size, n in self.known.items() if size <= longest.bit_length())])
+
+    def failed(self, longest: int, n: int) -> None:
+        """So many were too many: a tenth less from now on, one at least."""
+        self.known[longest.bit_length()] = max(1, min(n - 1, int(n * 0.9)))
+
+
+def batches_by_length(inputs: Sequence[Any], sizes: BatchSizes | int) -> Iterator[list[int]]:
+    """Row numbers in batches of inputs of like length, each as large as sizes says when it is asked for."""
+    sizes = BatchSizes(sizes) if isinstance(sizes, int) else sizes
+    order = sorted(range(len(inputs)), key=lambda i: length(inputs[i]))
+    at = 0
+    while at < len(order):
+        n = sizes.of(length(inputs[order[min(at + sizes.most, len(order)) - 1]]))
+        yield order[at : at + n]
+        at += n
+
+
+def run_batch(model: Model, inputs: list[Any], options: dict[str, Any], retries: int = 3, pause: float = 0.5, sizes: BatchSizes | None = None) -> list[Any]:
+    """One batch: in smaller ones while it is too large for the memory, tried again with growing pauses while a service fails."""
+    sizes = sizes or BatchSizes(len(inputs))
     for attempt in range(retries + 1):
         try:
             out = list(model.run(inputs, **options))
@@ -108,8 +133,10 @@ def run_batch(model: Model, inputs: list[Any], options: dict[str, Any], retries:
         except (OutOfMemory, MemoryError):
             if len(inputs) == 1:
                 raise
-            half = len(inputs) // 2
-            return run_batch(model, inputs[:half], options, retries, pause) + run_batch(model, inputs[half:], options, retries, pause)
+            longest = max(map(length, inputs))
+            sizes.failed(longest, len(inputs))
+            n = sizes.of(longest)
+            return [r for at in range(0, len(inputs), n) for r in run_batch(model, inputs[at : at + n], options, retries, pause, sizes)]
         except (ConnectionError, TimeoutError):
             if attempt == retries:
                 raise
@@ -125,7 +152,17 @@ def with_model(df: DataFrame, column: str, out: str, model: Model, batch_size: i
     kind = to_arrow_type(schema[out].dataType)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model.load()
+        if getattr(model, "in_use", False):
+            raise RuntimeError(f"{model.name} is in use already: one model object runs once at a time in a worker.")
+        model.in_use = True
+        try:
+            model.load()
+            yield from each(parts)
+        finally:
+            model.in_use = False
+
+    def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = BatchSizes(batch_size)
         for b in parts:
             inputs = b.column(column).to_pylist()
             if model.max_length is not None and (check_length or truncate):
@@ -135,8 +172,8 @@ def with_model(df: DataFrame, column: str, out: str, model: Model, batch_size: i
                 for i in long:
                     inputs[i] = " ".join(inputs[i].split()[: model.max_length])
             results: list[Any] = [None] * len(inputs)
-            for rows in batches_by_length(inputs, batch_size):
-                for i, r in zip(rows, run_batch(model, [inputs[i] for i in rows], options)):
+            for rows in batches_by_length(inputs, sizes):
+                for i, r in zip(rows, run_batch(model, [inputs[i] for i in rows], options, sizes=sizes)):
                     results[i] = r
             keep = [n for n in b.schema.names if n != out]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(results, kind)], [*keep, out])
@@ -151,35 +188,38 @@ def cache_key(model: Model, column: Column, options: dict[str, Any] | None = Non
     return F.sha2(F.to_json(F.struct(*parts, *([seed.alias("s")] if seed is not None else []))), 256)
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """__key and the answer of the latest run of each input in a cache folder."""
+    if not Files(spark).exists(path):
+        return None
+    return spark.read.parquet(path).groupBy("__key").agg(F.max_by("__answer", "__run").alias("__answer"))
+
+
 def with_model_memoised(df: DataFrame, column: str, out: str, model: Model, cache_path: str | None = None, cache_only: bool = False, force: bool = False, seed: str | None = None, **options: Any) -> DataFrame:
     """with_model(), but each different input is run once, and with cache_path none that an earlier run has answered.
 
-    cache_only: an input without an answer is an error when it is read. force: earlier answers are not used. The seed column
-    tells equal inputs apart. Nulls are inputs too.
+    cache_only: an input without an answer is an error when it is read. force: all inputs are run, and their answers replace
+    earlier ones. The seed column tells equal inputs apart. Nulls are inputs too. With cache_path, what is missing is run when
+    this is called.
     """
     spark = df.sparkSession
+    df = df.drop(out) if out != column else df
     keyed = df.withColumn("__key", cache_key(model, F.col(column), options, F.col(seed) if seed else None))
-    inputs = keyed.groupBy("__key").agg(F.first(column).alias(column))
-    known = None
-    if cache_path and not force:
-        try:
-            known = spark.read.parquet(cache_path).dropDuplicates(["__key"])
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-    if known is not None and cache_only:
-        found = keyed.join(known, "__key", "left")
-        return found.withColumn(out, F.when(F.col("__hit"), F.col(out)).otherwise(F.raise_error(F.lit("cache_only: an input has no cached answer")).cast(dict(known.dtypes)[out]))).drop("__key", "__hit")
+    known = _stored(spark, cache_path) if cache_path else None
     if cache_only:
-        raise ValueError("cache_only: there is no cache.")
-    missing = inputs.join(known.select("__key"), "__key", "left_anti") if known is not None else inputs
-    new = with_model(missing, column, out, model, **options).select("__key", out).withColumn("__hit", F.lit(True))
+        if known is None:
+            raise ValueError("cache_only: there is no cache.")
+        found = keyed.join(known.withColumn("__hit", F.lit(True)), "__key", "left")
+        missing = F.raise_error(F.lit("cache_only: an input has no cached answer")).cast(dict(known.dtypes)["__answer"])
+        return found.withColumn(out, F.when(F.col("__hit"), F.col("__answer")).otherwise(missing)).drop("__key", "__hit", "__answer")
+    inputs = keyed.groupBy("__key").agg(F.first(column).alias(column))
+    if known is not None and not force:
+        inputs = inputs.join(known.select("__key"), "__key", "left_anti")
+    new = with_model(inputs, column, "__answer", model, **options).select("__key", "__answer")
     if cache_path:
-        new.write.mode("append").parquet(cache_path)
-        answers = spark.read.parquet(cache_path).dropDuplicates(["__key"])
-    else:
-        answers = new
-    return keyed.join(answers, "__key").drop("__key", "__hit")
+        new.withColumn("__run", F.lit(time.time_ns())).write.mode("append").parquet(cache_path)
+        new = _stored(spark, cache_path)
+    return keyed.join(new, "__key").withColumn(out, F.col("__answer")).drop("__key", "__answer")
 
 
 def with_parallel_models(df: DataFrame, column: str, out: str, models: Sequence[Model], **options: Any) -> DataFrame:

@@ -4,22 +4,28 @@ from __future__ import annotations
 
 import functools
 import itertools
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.position import POS, visible
+from weftline.position import POS, densified, visible
 
 
-def concat(*frames: DataFrame) -> DataFrame:
-    """All rows of all frames, one frame after the other; columns a frame lacks are null. Positions keep gaps between frames."""
+def concat(*frames: DataFrame, bounds: Sequence[int | None] | None = None) -> DataFrame:
+    """All rows of all frames, one frame after the other; columns a frame lacks are null.
+
+    bounds: a number above all positions of each frame. Positions then go on from bound to bound, with gaps, and no row is
+    shuffled. Where one is unknown, or they add up to more than positions hold, rows are numbered anew, without gaps.
+    """
     if not frames:
         raise ValueError("concat() needs at least one frame.")
+    if bounds is not None and None not in bounds and sum(bounds) < 1 << 62:
+        placed = [f.withColumn(POS, F.col(POS) + F.lit(sum(bounds[:i])).cast("bigint")) for i, f in enumerate(frames)]
+        return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), placed)
     placed = [f.withColumn("__of", F.lit(i)) for i, f in enumerate(frames)]
-    both = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), placed)
-    return both.withColumn(POS, F.col("__of").cast("bigint") * (1 << 44) + F.col(POS)).drop("__of")
+    return densified(functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), placed), "__of").drop("__of")
 
 
 def add_item(df: DataFrame, item: dict[str, Any], n: int) -> DataFrame:

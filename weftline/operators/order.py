@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.position import POS, with_order_of
+from weftline.position import POS, numbered, with_order_of
 
 
 def take(df: DataFrame, n: int) -> DataFrame:
@@ -35,15 +35,27 @@ def skip(df: DataFrame, n: int) -> DataFrame:
     return df.filter(F.col(POS) >= n).withColumn(POS, F.col(POS) - n)
 
 
-def select(df: DataFrame, indices: Iterable[int]) -> DataFrame:
-    """The rows at the indices, in the order given, repeated ones repeated. Negative indices or beyond the end raise IndexError when read."""
-    wanted = list(indices)
-    if any(i < 0 for i in wanted):
+def select(df: DataFrame, indices: Iterable[int], n: int | None = None) -> DataFrame:
+    """The rows at the indices, in the order given, repeated ones repeated.
+
+    A negative index raises IndexError, one beyond the end too if n, the number of rows, is given; else it is an error when the rows are read.
+    """
+    wanted = indices if isinstance(indices, range) else list(indices)
+    if len(wanted) and min(wanted) < 0:
         raise IndexError("Indices must be 0 or more.")
-    if wanted and wanted == list(range(wanted[0], wanted[0] + len(wanted))):
-        return df.filter(F.col(POS).between(wanted[0], wanted[-1])).withColumn(POS, F.col(POS) - wanted[0])
-    places = df.sparkSession.createDataFrame(list(enumerate(wanted)), "__to bigint, __from bigint")
-    return df.join(places, F.col(POS) == F.col("__from")).withColumn(POS, F.col("__to")).drop("__to", "__from")
+    if n is not None and len(wanted) and max(wanted) >= n:
+        raise IndexError(f"There are {n} rows, but one with index {max(wanted)} is asked for.")
+    first, last = (wanted[0], wanted[-1]) if len(wanted) else (0, -1)
+    one_by_one = len(wanted) == last - first + 1 and all(a == b for a, b in zip(wanted, range(first, last + 1)))
+    if one_by_one and n is not None:
+        return df.filter(F.col(POS).between(first, last)).withColumn(POS, F.col(POS) - first)
+    if one_by_one:
+        places = df.sparkSession.range(first, last + 1).select((F.col("id") - first).alias("__to"), F.col("id").alias("__from"))
+    else:
+        places = df.sparkSession.createDataFrame(list(enumerate(wanted)), "__to bigint, __from bigint")
+    found = places.join(df, F.col("__from") == F.col(POS), "left")
+    missing = F.raise_error(F.concat(F.lit("select: there is no row with index "), F.col("__from").cast("string"))).cast("bigint")
+    return found.withColumn(POS, F.when(F.col(POS).isNotNull(), F.col("__to")).otherwise(missing)).drop("__to", "__from")
 
 
 def reverse(df: DataFrame, n: int) -> DataFrame:
@@ -69,7 +81,7 @@ def sort_keys(df: DataFrame, columns: list[str], reverse: bool | list[bool], nul
 
 
 def sort(df: DataFrame, columns: str | Iterable[str], reverse: bool | list[bool] = False, null_placement: str = "at_end") -> DataFrame:
-    """A stable global sort; positions are renumbered in ranges, never in one task."""
+    """A stable global sort; positions are renumbered in ranges, never in one task. The sorted rows are written when this is called."""
     wanted = [columns] if isinstance(columns, str) else list(columns)
     return _sorted(df, sort_keys(df, wanted, reverse, null_placement))
 
@@ -77,13 +89,7 @@ def sort(df: DataFrame, columns: str | Iterable[str], reverse: bool | list[bool]
 def _sorted(df: DataFrame, keys: list[Column]) -> DataFrame:
     from weftline.storage import materialised
 
-    ranges = materialised(df.orderBy(*keys, POS).withColumn("__id", F.monotonically_increasing_id()))
-    part = F.shiftright("__id", 33)
-    counts = ranges.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("__part", before.alias("__before"))
-    within = F.col("__id").bitwiseAND((1 << 33) - 1)
-    return ranges.withColumn("__part", part).join(offsets, "__part").withColumn(POS, F.col("__before") + within).drop("__part", "__before", "__id")
+    return numbered(materialised(df.orderBy(*keys, POS).withColumn("__id", F.monotonically_increasing_id())))
 
 
 def top(df: DataFrame, columns: str | Iterable[str], n: int, reverse: bool | list[bool] = False, null_placement: str = "at_end") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions import vectors as V
 from weftline.models import Model, with_model
 from weftline.position import POS
+from weftline.storage import materialised
 
 
 def embed(df: DataFrame, texts: str, model: Model, out: str = "embeddings", instruction: str | None = None, truncate: bool = False) -> DataFrame:
@@ -32,11 +33,12 @@ def cosine_similarity(df: DataFrame, a: str, b: str, model: Model | None = None,
 
 
 class Retriever:
-    """An exact index: the texts of a frame (POS and a text column) with their embeddings, kept as a table."""
+    """An exact index: the texts of a frame (POS and a text column) with their embeddings, written as a table when it is made. Null texts are left out."""
 
     def __init__(self, texts: DataFrame, text: str, model: Model, instruction: str | None = None, query_instruction: str | None = None, path: str | None = None) -> None:
         self.model, self.query_instruction, self.text = model, query_instruction, text
         spark = texts.sparkSession
+        texts = texts.filter(F.col(text).isNotNull())
         index = embed(texts.select(F.col(POS).alias("item"), F.col(text).alias("text")), "text", model, "embedding", instruction)
         if path is not None:
             try:
@@ -46,11 +48,13 @@ class Retriever:
                     raise
                 index.write.parquet(path)
                 index = spark.read.parquet(path)
+        else:
+            index = materialised(index)  # the embedder runs once a text, however many queries follow
         self.index = index
 
     def retrieve(self, queries: DataFrame, query: str, k: int = 5, out: str = "results") -> DataFrame:
         """queries (POS and a text column) with a column of results: struct of indices, texts and scores, best first; empty lists where nothing is found."""
-        vectors = embed(queries.select(F.col(POS).alias("query"), F.col(query).alias("__q")), "__q", self.model, "embedding", self.query_instruction)
+        vectors = materialised(embed(queries.select(F.col(POS).alias("query"), F.col(query).alias("__q")), "__q", self.model, "embedding", self.query_instruction))
         found = V.top_k(vectors.select("query", "embedding"), self.index.select("item", "embedding"), k)
         results = V.retrieval_results(found.join(self.index.select("item", "text"), "item")).withColumnRenamed("results", out)
         none = F.struct(F.array().cast("array<bigint>").alias("indices"), F.array().cast("array<string>").alias("texts"), F.array().cast("array<float>").alias("scores"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions import vectors as V
-from weftline.functions.text import causal_labels
+from weftline.functions.text import causal_labels, word_count
+from weftline.models import Model, with_model
 
 
 def label_ids(*frames: DataFrame, label: str) -> DataFrame:
@@ -50,6 +51,65 @@ def reward_pairs(df: DataFrame, prompt: str, chosen: str, rejected: str, chosen_
     return df.withColumns(both | margin)
 
 
+def with_ids(df: DataFrame, columns: dict[str, str], tokenizer: Model, most: int | None = None, eos: int | None = None) -> DataFrame:
+    """Columns of token ids (new name: text column) by a tokenizer, a model whose outputs are arrays of int; ended by eos and cut to a length if so asked. Null texts have no ids."""
+    for out, text in columns.items():
+        df = with_model(df, text, out, tokenizer)
+        ids = F.coalesce(F.col(out), F.array().cast("array<int>"))
+        ids = F.concat(ids, F.array(F.lit(eos))) if eos is not None else ids
+        df = df.withColumn(out, F.slice(ids, 1, most) if most else ids)
+    return df
+
+
+def seq2seq(df: DataFrame, text: str, target: str, tokenizer: Model, eos: int, most: int | None = None) -> DataFrame:
+    """input_ids and labels (the target's ids) of pairs of texts."""
+    return with_ids(df, {"input_ids": text, "labels": target}, tokenizer, most, eos)
+
+
+def classification(df: DataFrame, text: str, label: str, ids: DataFrame, tokenizer: Model, most: int | None = None) -> DataFrame:
+    """input_ids and labels (the label's number, or a vector for lists) of labelled texts."""
+    return encode_labels(with_ids(df, {"input_ids": text}, tokenizer, most), label, ids)
+
+
+def reward_pair_ids(df: DataFrame, prompt: str, chosen: str, rejected: str, tokenizer: Model, eos: int, most: int | None = None, chosen_score: str | None = None, rejected_score: str | None = None) -> DataFrame:
+    """input_ids_chosen and input_ids_rejected of prompt and answer, and the margin of their scores if there are any."""
+    texts = reward_pairs(df.withColumns({"__chosen": F.col(chosen), "__rejected": F.col(rejected)}), prompt, "__chosen", "__rejected", chosen_score, rejected_score)
+    return with_ids(texts, {"input_ids_chosen": "chosen", "input_ids_rejected": "rejected"}, tokenizer, most, eos).drop("__chosen", "__rejected")
+
+
+def reward_scores(df: DataFrame, prompt: str, answer: str, score: str, tokenizer: Model, eos: int, most: int | None = None) -> DataFrame:
+    """input_ids of prompt and answer, and labels: the score as a double."""
+    texts = df.withColumn("__text", F.concat(prompt, answer))
+    return with_ids(texts, {"input_ids": "__text"}, tokenizer, most, eos).withColumn("labels", F.col(score).cast("double")).drop("__text")
+
+
+def preference_ids(df: DataFrame, prompt: str, chosen: str, rejected: str, tokenizer: Model, eos: int, most: int | None = None) -> DataFrame:
+    """prompt_input_ids, and for chosen and rejected input_ids of prompt and answer and labels with -100 for the prompt."""
+    ids = with_ids(df, {"prompt_input_ids": prompt, "__c": chosen, "__r": rejected}, tokenizer)
+    out = {}
+    for name, answer in (("chosen", "__c"), ("rejected", "__r")):
+        out[f"{name}_input_ids"], out[f"{name}_labels"] = causal_labels(F.col("prompt_input_ids"), F.col(answer), eos, most)
+    return ids.withColumns(out).drop("__c", "__r")
+
+
+def mean_reward(df: DataFrame, reward: str, batch: str | None = None) -> DataFrame:
+    """The mean reward, with a batch column as the batches' means weighted by their sizes, which is the same."""
+    if batch is None:
+        return df.agg(F.avg(reward).alias("mean_reward"))
+    each = df.groupBy(batch).agg(F.avg(reward).alias("m"), F.count(reward).alias("n"))
+    return each.agg((F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("mean_reward"))
+
+
+def longest(df: DataFrame, text: str, *by: str, count=word_count) -> DataFrame:
+    """The most tokens that a text has, of each group; 0 for null texts."""
+    return df.groupBy(*by).agg(F.max(count(F.col(text))).alias("max_tokens"))
+
+
+def length_histogram(df: DataFrame, text: str, bins: int = 6, width: int = 64, count=word_count) -> DataFrame:
+    """bin and n: how many texts have a length in each range of width tokens; the last range is open. For choosing batch sizes."""
+    return df.groupBy(F.least(F.floor(count(F.col(text)) / width), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
 def sentence_rows(df: DataFrame, anchor: str, positive: str, negative: str | None = None, label: str | None = None) -> DataFrame:
     """Triplets (anchor, positive, negative), pairs, or labelled pairs for sentence encoders."""
     out = [F.col(anchor).alias("anchor"), F.col(positive).alias("positive")]

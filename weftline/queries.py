@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text as X
@@ -17,7 +16,7 @@ from weftline.plans import training as T
 from weftline.position import POS, densified
 from weftline.sources import files, sinks
 from weftline.sources.files import parquet
-from weftline.storage import shared_folder
+from weftline.storage import Files, table_path
 from weftline.streaming import stateless
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +44,11 @@ def placed(spark: SparkSession, d: str, name: str, key: str, *columns: str) -> D
     return read(spark, d, name, key, *columns).withColumn(POS, F.col(key).cast("bigint"))
 
 
+def listed(column: str) -> Column:
+    """An array as one text, to be compared."""
+    return F.array_join(F.transform(column, lambda x: x.cast("string")), ",").alias(column)
+
+
 def shown(df: DataFrame) -> DataFrame:
     """The position as a column pos, to compare orders."""
     return df.withColumnRenamed(POS, "pos")
@@ -156,9 +160,9 @@ def sort_nulls(spark, d):
     return shown(order.sort(df, ["lang", "n_chars"], reverse=[False, True])).select("doc_id", "lang", "pos")
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+@query("SELECT o_orderkey, o_totalprice, (row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1)::BIGINT AS pos FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
 def sort_take(spark, d):
-    return order.top(order_frame(spark, d), "o_totalprice", 100, reverse=True).drop(POS)
+    return shown(order.top(order_frame(spark, d), "o_totalprice", 100, reverse=True))
 
 
 DOCUMENTS = "(SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents)"
@@ -189,9 +193,16 @@ def splits_stratified(spark, d):
     return order.stratified(df, "o_orderpriority", 0.8, 0.0, 0.2).select("o_orderkey", "split")
 
 
-@query("SELECT doc_id FROM documents")
+@query("SELECT count(*) AS n, count(*) AS n_rows, count(*) AS n_positions, 0::BIGINT AS first, (count(*) - 1)::BIGINT AS last, true AS most_moved, true AS same_again FROM documents")
 def shuffle_hash(spark, d):
-    return order.shuffle(placed(spark, d, "documents", "doc_id"), 42).select("doc_id")
+    """What makes it a permutation of all rows, that moves most of them and is the same for other partitions."""
+    df = placed(spark, d, "documents", "doc_id")
+    again = order.shuffle(df.repartition(7), 42).select(F.col("doc_id").alias("other"), F.col(POS).alias("at"))
+    both = order.shuffle(df, 42).join(again, F.col("doc_id") == F.col("other"))
+    return both.agg(
+        F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_rows"), F.countDistinct(POS).alias("n_positions"), F.min(POS).alias("first"), F.max(POS).alias("last"),
+        (F.avg((F.col("doc_id") != F.col(POS)).cast("int")) > 0.9).alias("most_moved"), F.bool_and(F.col("at") == F.col(POS)).alias("same_again"),
+    )
 
 
 @query("SELECT r_regionkey, r_name, r_regionkey::BIGINT AS pos FROM region UNION ALL SELECT 99, 'ATLANTIS', (SELECT count(*) FROM region)")
@@ -273,7 +284,10 @@ def weighted_metric(spark, d):
     return T.weighted_mean(df, "value", "w", "event_type").withColumn("weighted_mean", F.round("weighted_mean", 6))
 
 
-@query("SELECT round(avg(CASE WHEN (value > 50) = (user_id % 2 = 0) THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(avg(CASE WHEN (value > 50) = (user_id % 2 = 0) THEN 1.0 ELSE 0.0 END), 6) AS f1_micro FROM events")
+@query(
+    "WITH e AS (SELECT value > 50 AS p, user_id % 2 = 0 AS l FROM events), c AS (SELECT k, count(*) FILTER (p = k AND l = k) AS tp, count(*) FILTER (p = k AND l != k) AS fp, count(*) FILTER (p != k AND l = k) AS fn FROM e, (VALUES (true), (false)) t(k) GROUP BY k) "
+    "SELECT (SELECT round(avg((p = l)::INT), 6) FROM e) AS accuracy, round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) AS f1_micro FROM c"
+)
 def accuracy_f1(spark, d):
     df = read(spark, d, "events", "value", "user_id").select((F.col("value") > 50).cast("int").alias("p"), (F.col("user_id") % 2 == 0).cast("int").alias("l"))
     return T.classification_metrics(df, "p", "l").select(F.round("accuracy", 6).alias("accuracy"), F.round("f1_micro", 6).alias("f1_micro"))
@@ -353,12 +367,21 @@ def filter_prompt(spark, d):
     return P.filter_with_prompt(read(spark, d, "documents", "doc_id", "source", "text"), "text", answer, "Is it so?").select("doc_id", "source")
 
 
-@query(r"SELECT prompt_id, scores FROM (SELECT DISTINCT prompt_id, try_cast(regexp_extract(generation, '[0-9\.]+', 0) AS DOUBLE) AS scores FROM prompt_log) WHERE scores >= 100")
+ANSWERS = r"(SELECT DISTINCT prompt_id, try_cast(regexp_extract(generation, '[0-9\.]+', 0) AS DOUBLE) AS scores FROM prompt_log)"
+
+
+@query(f"SELECT prompt_id, scores, (row_number() OVER (ORDER BY scores DESC NULLS LAST, prompt_id) - 1)::BIGINT AS pos FROM {ANSWERS}")
 def rank_prompt(spark, d):
+    """All answers in order; those without a number come last."""
     df = read(spark, d, "prompt_log", "prompt_id", "generation").dropDuplicates(["prompt_id"]).withColumn(POS, F.col("prompt_id"))
     answer = Expression(lambda p: F.regexp_replace(p, r"(?s)^Input: (.*)\n\nInstruction: Rate it\.$", "$1"))
-    scored = P.rank_with_prompt(df.filter(F.regexp_extract("generation", "[0-9.]+", 0).try_cast("double").isNotNull()), "generation", answer, "Rate it.", threshold=100.0)
-    return scored.select("prompt_id", "scores")
+    return shown(P.rank_with_prompt(df, "generation", answer, "Rate it.")).select("prompt_id", "scores", "pos")
+
+
+@query("SELECT o_orderkey, (o_orderkey * 7919 % 1000)::DOUBLE AS scores, (row_number() OVER (ORDER BY o_orderkey * 7919 % 1000, o_orderkey) - 1)::BIGINT AS pos FROM orders WHERE o_orderkey * 7919 % 1000 >= 250")
+def rank_prompt_threshold(spark, d):
+    answer = Expression(lambda p: F.concat(F.lit("I say "), F.pmod(F.regexp_extract(p, r"Input: (\d+)", 1).cast("bigint") * 7919, F.lit(1000)).cast("string"), F.lit("!")))
+    return shown(P.rank_with_prompt(order_frame(spark, d), "o_orderkey", answer, "Rate it.", reverse=False, threshold=250.0)).select("o_orderkey", "scores", "pos")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_totalprice > 150000 THEN 'Input A' ELSE 'Input B' END AS judgements FROM orders")
@@ -377,8 +400,19 @@ def model_arrow(spark, d):
 
 @query("SELECT c_custkey, length(c_mktsegment)::BIGINT AS n FROM customer")
 def model_cache(spark, d):
-    size = Function(len, "bigint", name="size")
-    return with_model_memoised(read(spark, d, "customer", "c_custkey", "c_mktsegment"), "c_mktsegment", "n", size).select("c_custkey", "n")
+    """Answered once for each input, then from the folder alone: the second model knows no answer."""
+    df, folder = read(spark, d, "customer", "c_custkey", "c_mktsegment"), f"{_folder(spark)}/cache"
+    with_model_memoised(df, "c_mktsegment", "n", Function(len, "bigint", name="size"), folder)
+    return with_model_memoised(df, "c_mktsegment", "n", Function(lambda x: -1, "bigint", name="size"), folder).select("c_custkey", "n")
+
+
+@query("SELECT c_custkey, 2 * length(c_mktsegment)::BIGINT AS n FROM customer")
+def model_cache_force(spark, d):
+    """New answers replace earlier ones, also for a later run that takes what is there."""
+    df, folder = read(spark, d, "customer", "c_custkey", "c_mktsegment"), f"{_folder(spark)}/cache"
+    with_model_memoised(df, "c_mktsegment", "n", Function(len, "bigint", name="size"), folder)
+    with_model_memoised(df, "c_mktsegment", "n", Function(lambda x: 2 * len(x), "bigint", name="size"), folder, force=True)
+    return with_model_memoised(df, "c_mktsegment", "n", Function(len, "bigint", name="size"), folder, cache_only=True).select("c_custkey", "n")
 
 
 @query("SELECT c_custkey, length(c_name)::BIGINT AS n FROM customer")
@@ -387,9 +421,9 @@ def model_parallel(spark, d):
     return with_parallel_models(placed(spark, d, "customer", "c_custkey", "c_name"), "c_name", "n", models).select("c_custkey", "n")
 
 
-@query("SELECT doc_id, coalesce(length(regexp_replace(regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '[^ \t\n\r]+', 'x', 'g'), '[ \t\n\r]+', '', 'g')), 0)::INT AS n FROM documents WHERE kind = 'code'")
+@query(r"SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^ \t\n\v\f\r]+')), 0)::INT AS n FROM documents")
 def token_count(spark, d):
-    return read(spark, d, "documents", "doc_id", "text", "kind").filter("kind = 'code'").select("doc_id", F.coalesce(F.regexp_count("text", F.lit(r"[^ \t\n\r]+")), F.lit(0)).alias("n"))
+    return read(spark, d, "documents", "doc_id", "text").select("doc_id", X.word_count(F.col("text")).alias("n"))
 
 
 # Vectors
@@ -429,10 +463,10 @@ def triplet_accuracy(spark, d):
     return T.triplet_accuracy(df.join(one, "vec_id").join(two, "vec_id"), "embedding", "p", "n").select(F.round("accuracy", 6).alias("accuracy"))
 
 
-@query("SELECT o_orderkey, list_sum(list_slice(list_concat(list_concat([-100, -100], [o_custkey]), [9]), 1, 3))::BIGINT AS labels_sum FROM orders")
+@query("SELECT o_orderkey, array_to_string(([1, 2] || [o_custkey] || [9])[1:3], ',') AS input_ids, array_to_string(([-100, -100] || [o_custkey] || [9])[1:3], ',') AS labels FROM orders")
 def causal_masks(spark, d):
     df = read(spark, d, "orders", "o_orderkey", "o_custkey").select("o_orderkey", F.array(F.lit(1), F.lit(2)).alias("p"), F.array(F.col("o_custkey").cast("int")).alias("c"))
-    return T.causal(df, "p", "c", 9, 3).select("o_orderkey", F.aggregate("labels", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("labels_sum"))
+    return T.causal(df, "p", "c", 9, 3).select("o_orderkey", listed("input_ids"), listed("labels"))
 
 
 @query("SELECT event_type, round(p, 6) AS p, s FROM (SELECT event_type, avg(value) AS p, count(*) AS s FROM events GROUP BY event_type) ORDER BY p DESC, s DESC LIMIT 1")
@@ -445,12 +479,7 @@ def best_metric(spark, d):
 
 
 def _folder(spark: SparkSession) -> str:
-    from urllib.parse import urlparse
-    from uuid import uuid4
-
-    path = f"{urlparse(shared_folder(spark)).path}/weftline-{uuid4().hex}"
-    os.makedirs(path)
-    return path
+    return Files(spark).make(table_path(spark))
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey, n_nationkey::BIGINT AS pos FROM nation")
@@ -499,19 +528,25 @@ def stream_stateless(spark, d):
 # The flagship
 
 
-@query(None)
+@query(
+    "SELECT (row_number() OVER (ORDER BY scores DESC, doc_id) - 1)::BIGINT AS pos, doc_id, prompts, scores::DOUBLE AS scores FROM (SELECT doc_id, prompts, (length(prompts) * 37 + doc_id * 11) % 100 AS scores FROM "
+    "(SELECT doc_id, 'Input: ' || coalesce(source, 'unknown') || chr(10) || chr(10) || 'Instruction: Rate the source. ' || doc_id AS prompts FROM documents WHERE lang = 'en')) WHERE scores >= 40 ORDER BY scores DESC, doc_id LIMIT 10"
+)
 def ranked_documents(spark, d):
     """English documents, rendered as prompts, answered by an expression, scored, and the ten best in order."""
-    df = placed(spark, d, "documents", "doc_id", "source", "lang", "n_chars").filter("lang = 'en'")
-    answer = Expression(lambda p: F.concat(F.lit("I would say "), F.pmod(F.xxhash64(p), F.lit(100)).cast("string"), F.lit("!")))
-    asked = with_model(df.withColumn("prompts", P.process_prompt(F.coalesce("source", F.lit("unknown")), "Rate the source.")), "prompts", "generations", answer)
-    scored = asked.withColumn("scores", X.parsed_score(F.col("generations"))).filter("scores >= 40")
+    df = placed(spark, d, "documents", "doc_id", "source", "lang").filter("lang = 'en'")
+    asked = df.withColumn("prompts", F.concat(P.process_prompt(F.coalesce("source", F.lit("unknown")), "Rate the source."), F.lit(" "), F.col("doc_id").cast("string")))
+    answer = Expression(lambda p: F.concat(F.lit("I would say "), F.pmod(F.length(p) * 37 + F.regexp_extract(p, r"(\d+)$", 1).cast("bigint") * 11, F.lit(100)).cast("string"), F.lit("!")))
+    scored = with_model(asked, "prompts", "generations", answer).withColumn("scores", X.parsed_score(F.col("generations"))).filter("scores >= 40")
     return order.top(scored, "scores", 10, reverse=True).select(F.col(POS).alias("pos"), "doc_id", "prompts", "scores")
 
 
 def queries() -> dict[str, Query]:
+    from weftline import step_queries  # noqa: F401, registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-import shutil
 import threading
-import time
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
@@ -14,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.cluster import ship
 from weftline.functions.text import safe_name
+from weftline.storage import Files, table_path
 
 MEMORY = ":memory:"
 
@@ -28,9 +27,10 @@ class Session:
     active: Session | None = None
 
     def __init__(self, spark: SparkSession, path: str = MEMORY) -> None:
-        self.spark, self.path = ship(spark), path
+        self.spark, self.path, self.files = ship(spark), path.rstrip("/"), Files(spark)
         self.steps: dict[str, Any] = {}
         self.parents: list[str] = []
+        self.composite = False
         self.lock = threading.RLock()
         self.pool = ThreadPoolExecutor(4)
 
@@ -39,18 +39,18 @@ class Session:
             raise RuntimeError("Another session is active.")
         Session.active = self
         if self.path != MEMORY:
-            os.makedirs(self.path, exist_ok=True)
-            self._lock = os.path.join(self.path, ".lock")
-            fd = os.open(self._lock, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
-            os.write(fd, str(os.getpid()).encode())
-            os.close(fd)
+            self._lock = f"{self.files.make(self.path)}/.lock"
+            if self.files.exists(self._lock):
+                Session.active = None
+                raise RuntimeError(f"Another session works in {self.path}; if none does, remove {self._lock}.")
+            self.files.create(self._lock, str(os.getpid()))
         return self
 
     def __exit__(self, *_: Any) -> None:
         Session.active = None
         self.pool.shutdown()
         if self.path != MEMORY:
-            os.unlink(self._lock)
+            self.files.delete(self._lock)
 
     @property
     def in_memory(self) -> bool:
@@ -68,54 +68,43 @@ class Session:
             return out
 
     def folder(self, name: str) -> str:
-        return os.path.join(self.path, safe_name(name))
+        return f"{self.path}/{safe_name(name)}"
 
     def scratch(self, name: str) -> str:
         """A folder of the step's own for other files."""
-        path = os.path.join(self.folder(name), "_files") if not self.in_memory else os.path.join(os.environ.get("TMPDIR", "/tmp"), "weftline", safe_name(name))
-        os.makedirs(path, exist_ok=True)
-        return path
+        root = f"{self.folder(name)}/_files" if not self.in_memory else f"{table_path(self.spark)}/{safe_name(name)}"
+        return self.files.make(root)
 
     def found(self, name: str, fingerprint: str) -> dict[str, Any] | None:
         """The metadata of a saved result to use again; a result of other contents is put aside first."""
         if self.in_memory:
             return None
-        folder, backups = self.folder(name), os.path.join(self.path, ".backups", safe_name(name))
+        folder, backups = self.folder(name), f"{self.path}/.backups/{safe_name(name)}"
         meta = self._metadata(folder)
         if meta and meta["fingerprint"] == fingerprint:
             return meta
         if meta:
-            os.makedirs(backups, exist_ok=True)
-            target = os.path.join(backups, meta["fingerprint"])
-            shutil.rmtree(target, ignore_errors=True)
-            os.rename(folder, target)
-        kept = os.path.join(backups, fingerprint)
+            self.files.move(folder, f"{backups}/{meta['fingerprint']}")
+        kept = f"{backups}/{fingerprint}"
         if self._metadata(kept):
-            os.makedirs(os.path.dirname(folder), exist_ok=True)
-            os.rename(kept, folder)
+            self.files.move(kept, folder)
             return self._metadata(folder)
         return None
 
-    @staticmethod
-    def _metadata(folder: str) -> dict[str, Any] | None:
-        path = os.path.join(folder, "step.json")
-        if not os.path.exists(path):
-            return None
-        with open(path) as f:
-            return json.load(f)
-
-    def save(self, name: str, df: DataFrame, metadata: dict[str, Any]) -> DataFrame:
-        """df written once; the metadata file comes last and at once, so a broken write never looks finished."""
-        folder = self.folder(name)
-        df.write.mode("overwrite").parquet(os.path.join(folder, "_dataset"))
-        temporary = os.path.join(folder, f".step.json.{time.time_ns()}")
-        with open(temporary, "w") as f:
-            json.dump(metadata, f, default=str)
-        os.replace(temporary, os.path.join(folder, "step.json"))
-        return self.load(name)
+    def _metadata(self, folder: str) -> dict[str, Any] | None:
+        path = f"{folder}/step.json"
+        return json.loads(self.files.read(path)) if self.files.exists(path) else None
+
+    def save(self, name: str, df: DataFrame, metadata: dict[str, Any]) -> tuple[DataFrame, int]:
+        """df written once, and its number of rows, which is read from the files; the metadata file comes last and at once, so a broken write never looks finished."""
+        df.write.mode("overwrite").parquet(f"{self.folder(name)}/_dataset")
+        saved = self.load(name)
+        n = saved.count()
+        self.files.write(f"{self.folder(name)}/step.json", json.dumps(metadata | {"num_rows": n}, default=str))
+        return saved, n
 
     def load(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(os.path.join(self.folder(name), "_dataset"))
+        return self.spark.read.parquet(f"{self.folder(name)}/_dataset")
 
 
 def concurrent(*functions: Any) -> list[Any]:

@@ -11,7 +11,7 @@ import pyarrow.ipc
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.ingest import frame
-from weftline.position import with_scan_order
+from weftline.position import with_row_index, with_scan_order
 
 
 def paths(folder: str | None, files: str | Iterable[str] | None) -> list[str]:
@@ -25,7 +25,7 @@ def paths(folder: str | None, files: str | Iterable[str] | None) -> list[str]:
 
 
 def parquet(spark: SparkSession, path: str, *columns: str) -> DataFrame:
-    df = with_scan_order(spark.read.parquet(path))
+    df = with_row_index(spark.read.parquet(path))
     return df.select(*columns, "__pos") if columns else df
 
 

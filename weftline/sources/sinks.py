@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import uuid
 from typing import Any
 
@@ -11,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import split_path, word_count
+from weftline.ingest import PICKLED_MARK, unpickled
 from weftline.position import POS, visible
+from weftline.storage import Files
 
 
 def _ordered(df: DataFrame) -> DataFrame:
@@ -20,21 +20,20 @@ def _ordered(df: DataFrame) -> DataFrame:
 
 def to_list(df: DataFrame) -> list[dict[str, Any]]:
     """All rows in order; they have to fit the driver."""
-    return _ordered(df).toArrow().to_pylist()
+    return unpickled_values(df, _ordered(df).toArrow().to_pylist())
 
 
 def to_dict(df: DataFrame) -> dict[str, list[Any]]:
-    return _ordered(df).toArrow().to_pydict()
+    return unpickled_values(df, _ordered(df).toArrow().to_pydict())
 
 
 def _one_file(df: DataFrame, path: str, write) -> str:
     """One file at path: the sorted rows go through a single task, as one file in order needs."""
-    folder = f"{path}.{uuid.uuid4().hex}"
+    folder, at = f"{path}.{uuid.uuid4().hex}", Files(df.sparkSession)
     write(_ordered(df).coalesce(1).write, folder)
-    part = next(n for n in sorted(os.listdir(folder)) if n.startswith("part-"))
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    shutil.move(os.path.join(folder, part), path)
-    shutil.rmtree(folder)
+    part = next(n for n in at.names(folder) if n.startswith("part-"))
+    at.move(f"{folder}/{part}", path)
+    at.delete(folder)
     return path
 
 
@@ -49,11 +48,21 @@ def to_csv(df: DataFrame, path: str, sep: str = ",") -> str:
 
 def to_parquet(df: DataFrame, path: str, num_shards: int | None = None) -> str:
     """A folder of Parquet files, rows in order over the files, written in parallel."""
-    out = df.repartitionByRange(num_shards, POS).sortWithinPartitions(POS) if num_shards and POS in df.columns else df
-    out.drop(POS).write.mode("overwrite").parquet(path)
+    if POS in df.columns:
+        df = df.repartitionByRange(num_shards, POS).sortWithinPartitions(POS).drop(POS) if num_shards else df.orderBy(POS).drop(POS)
+    df.write.mode("overwrite").parquet(path)
     return path
 
 
+def unpickled_values(df: DataFrame, values: Any) -> Any:
+    """Exported rows or columns with the values of pickled columns (marked so in the schema) back as the objects they were."""
+    pickled = [f.name for f in df.schema if PICKLED_MARK in f.metadata]
+    back = lambda v: v if v is None else unpickled(v)
+    if isinstance(values, list):
+        return [{k: back(v) if k in pickled else v for k, v in r.items()} for r in values] if pickled else values
+    return {k: [back(v) for v in vs] if k in pickled else vs for k, vs in values.items()}
+
+
 def by_split(frames: dict[str, DataFrame], path: str, write) -> str | dict[str, str]:
     """One file if there is one split, else x.train.ext, x.val.ext and x.test.ext."""
     if len(frames) == 1:
