@@ -12,7 +12,7 @@ from weftline.llm.byte_bpe import p5_ids, p5_round_trip
 from weftline.llm.near_duplicates import p1_found, p1_links
 from weftline.llm.packing import p6_containers, p6_use
 from weftline.llm.split_overlap import p3_found, p3_rates
-from weftline.llm.truncation import p4_found, p4_limits, p4_rates
+from weftline.llm.truncation import FALSE_DISCOVERY, NEIGHBOURS, TIMES, p4_found, p4_limits, p4_rates
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -38,6 +38,26 @@ P3 = _alike(
 CROSS = "FROM pairs JOIN r x ON x.part = pairs.part AND x.id = id_a JOIN r y ON y.part = pairs.part AND y.id = id_b WHERE (x.split = 'train') != (y.split = 'train')"
 
 
+def _hazard(w: int, more: int) -> str:
+    near, after = (f"OVER (PARTITION BY source, unit ORDER BY length RANGE BETWEEN {a} AND {w} FOLLOWING)" for a in (f"{w} PRECEDING", "CURRENT ROW"))
+    low = f"greatest(length - {w}, 1)"
+    risk = f"(length + {w} - {low} + 1) * (at_risk - sum(n) {after}) + sum(n * length) {near} - ({low} - 1) * sum(n) {near} - CASE WHEN length >= {low} THEN at_risk ELSE 0 END"
+    return f"(sum(n) {near} - n + {more}) / greatest({risk}, 1)"
+
+
+LIMITS = f"""WITH r AS (SELECT any_value(source) AS source, any_value(train_output) AS t FROM finetune_rows GROUP BY example_id UNION ALL SELECT any_value(source), any_value(rejected) FROM dpo_train GROUP BY row_id
+UNION ALL SELECT any_value(source), any_value(rejected) FROM dpo_validation GROUP BY row_id),
+d AS (SELECT DISTINCT source, t FROM r WHERE t != ''),
+l AS (SELECT source, 'characters' AS unit, length(t)::BIGINT AS length FROM d UNION ALL SELECT source, 'bytes', strlen(t) FROM d UNION ALL SELECT source, 'words', len(regexp_extract_all(t, '[^ \\t\\n\\v\\f\\r]+')) FROM d),
+c AS (SELECT source, unit, length, count(*) AS n FROM l GROUP BY ALL),
+a AS (SELECT *, sum(n) OVER (PARTITION BY source, unit ORDER BY length DESC) AS at_risk FROM c),
+e AS (SELECT *, {TIMES} * at_risk * greatest({_hazard(NEIGHBOURS, 1)}, {_hazard(2, 0)}) AS m FROM a),
+p AS (SELECT *, greatest(CASE WHEN n > m THEN -(n * ln(n / m) - n + m) ELSE 0.0 END, -2000.0) AS log_p FROM e),
+b AS (SELECT *, ceil(log_p * 20)::INT AS bin FROM p),
+k AS (SELECT bin, sum(count(*)) OVER (ORDER BY bin) AS rank, sum(count(*)) OVER () AS total FROM b GROUP BY bin)
+SELECT source, unit, length, n, at_risk::BIGINT AS at_risk, round(log_p, 4) AS log_p FROM b WHERE bin <= (SELECT max(bin) FROM k WHERE bin / 20.0 <= ln({FALSE_DISCOVERY}) + ln(rank) - ln(total))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"{P1} SELECT part AS tbl, id_a, id_b FROM pairs",
@@ -47,5 +67,6 @@ SELECT s.part AS tbl, s.id, min(s.id) OVER (PARTITION BY s.part, k) AS class, co
         "p3_found": f"{P3} SELECT pairs.part AS record_set, id_a, id_b {CROSS}",
         "p3_rates": f"""{P3}, e AS (SELECT x.part, CASE WHEN x.split = 'train' THEN id_b ELSE id_a END AS id {CROSS}), n2 AS (SELECT part, id, count(*) AS n FROM e GROUP BY part, id)
 SELECT r.part AS record_set, split, source, count(*) AS n_records, count(n2.n) AS n_overlapping, coalesce(sum(n2.n), 0)::BIGINT AS n_pairs FROM r LEFT JOIN n2 ON n2.part = r.part AND n2.id = r.id WHERE split != 'train' GROUP BY r.part, split, source""",
+        "p4_limits": LIMITS,
         "p5_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }

@@ -172,7 +172,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The significant lengths of each source."""
-    return limits(p4_records(spark, sf_dir).dropDuplicates(["tbl", "row_key"]))
+    return limits(p4_records(spark, sf_dir).dropDuplicates(["tbl", "row_key"])).withColumn("log_p", F.round("log_p", 4))
 
 
 def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
