@@ -168,13 +168,13 @@ def stop_cut(spark, d):
     return df.select("prompt_id", X.cut_at_stop(F.col("prompt"), [" the "]).alias("cut"))
 
 
-@query("SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, round(list_max(embedding)::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS most, list_position(embedding, list_max(embedding)) - 1 AS at FROM embeddings")
+@query("SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, round(list_max(embedding)::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS most, list_position(embedding, list_max(embedding)) - 1 AS at FROM embeddings")
 def unit_norm(spark, d):
     df = read(spark, d, "embeddings", "vec_id", "embedding").withColumn("unit", V.unit(F.transform("embedding", lambda x: x.cast("double"))))
-    return df.select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"), F.round(F.array_max("unit").cast("double"), 6).alias("most"), V.argmax(F.col("embedding")).cast("int").alias("at"))
+    return df.select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"), F.round(F.array_max("unit").cast("double"), 4).alias("most"), V.argmax(F.col("embedding")).cast("int").alias("at"))
 
 
-@query("SELECT row_id, round(margin, 6) AS margin, chosen || '!' AS chosen FROM (SELECT row_id, length(chosen) * 0.5 - length(rejected) * 0.25 AS margin, train_prompts || chosen AS chosen FROM dpo_train)")
+@query("SELECT row_id, round(margin, 6) AS margin, chosen || '!' AS chosen FROM (SELECT row_id, length(chosen) * 0.5::DOUBLE - length(rejected) * 0.25::DOUBLE AS margin, train_prompts || chosen AS chosen FROM dpo_train)")
 def score_margin(spark, d):
     df = read(spark, d, "dpo_train", "row_id", "train_prompts", "chosen", "rejected").withColumns({"a": F.length("chosen") * 0.5, "b": F.length("rejected") * 0.25})
     return T.reward_pairs(df, "train_prompts", "chosen", "rejected", "a", "b").select("row_id", F.round("margin", 6).alias("margin"), F.concat("chosen", F.lit("!")).alias("chosen"))
@@ -301,7 +301,7 @@ def cosine_step(spark, d):
         return s.cosine_similarity("source", "kind", letter_counts()).frame.select("doc_id", F.round("similarities", 6).alias("similarities"))
 
 
-@query(f"SELECT c_custkey, array_to_string(list_transform({COUNTS.format('x')}, v -> v::INT), ',') AS embeddings FROM (SELECT c_custkey, 'query: ' || c_name AS x FROM customer)")
+@query(f"SELECT c_custkey, array_to_string([v::INT FOR v IN {COUNTS.format('x')}], ',') AS embeddings FROM (SELECT c_custkey, 'query: ' || c_name AS x FROM customer)")
 def embed_step(spark, d):
     """An instruction goes before each text."""
     with session(spark):
@@ -321,7 +321,7 @@ def run_task_model(spark, d):
 # Training sets
 
 
-WORDS = "coalesce(list_transform(string_split({0}, ' '), x -> length(x)), [])"
+WORDS = "coalesce([length(x) FOR x IN string_split({0}, ' ')], [])"
 
 
 def word_lengths() -> Expression:
@@ -359,8 +359,8 @@ P_IDS, C_IDS, R_IDS = (WORDS.format(c) for c in ("train_prompts", "chosen", "rej
 
 
 @query(
-    f"SELECT row_id, array_to_string({P_IDS}, ',') AS prompt_input_ids, array_to_string({P_IDS} || {C_IDS} || [7], ',') AS chosen_input_ids, array_to_string(list_transform({P_IDS}, x -> -100) || {C_IDS} || [7], ',') AS chosen_labels, "
-    f"array_to_string({P_IDS} || {R_IDS} || [7], ',') AS rejected_input_ids, array_to_string(list_transform({P_IDS}, x -> -100) || {R_IDS} || [7], ',') AS rejected_labels FROM dpo_train"
+    f"SELECT row_id, array_to_string({P_IDS}, ',') AS prompt_input_ids, array_to_string({P_IDS} || {C_IDS} || [7], ',') AS chosen_input_ids, array_to_string([-100 FOR x IN {P_IDS}] || {C_IDS} || [7], ',') AS chosen_labels, "
+    f"array_to_string({P_IDS} || {R_IDS} || [7], ',') AS rejected_input_ids, array_to_string([-100 FOR x IN {P_IDS}] || {R_IDS} || [7], ',') AS rejected_labels FROM dpo_train"
 )
 def preference_ids(spark, d):
     df = read(spark, d, "dpo_train", "row_id", "train_prompts", "chosen", "rejected")
@@ -426,10 +426,6 @@ def model_retries(spark, d):
     return with_model(df, "lang", "g", Small(str.upper, name="small")).select("doc_id", "g")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    return materialised(df)
-
-
 @query("SELECT n_name AS value, (row_number() OVER (ORDER BY n_nationkey) - 1)::BIGINT AS pos FROM nation")
 def arrow_shards(spark, d):
     """A saved folder of Arrow files."""
@@ -443,13 +439,13 @@ def arrow_shards(spark, d):
         for i in range(2):
             with pa.OSFile(f"{folder}/data-0000{i}-of-00002.arrow", "wb") as sink, pa.ipc.new_stream(sink, table.schema) as writer:
                 writer.write_table(table.slice(i * 10, 10 if i == 0 else None))
-        return _kept(shown(files.saved(spark, folder)))
+        return materialised(shown(files.saved(spark, folder)))
 
 
-@query("SELECT row_id, 'Prompt and more' AS prompt, chosen AS completion FROM dpo_train WHERE chosen IS NOT NULL")
+@query("SELECT DISTINCT row_id, 'Prompt and more' AS prompt, chosen AS completion FROM dpo_train WHERE chosen IS NOT NULL")
 def completion_lines(spark, d):
     """Fine-tuning lines of prompt and completion, the prompt cut to three words."""
-    df = read(spark, d, "dpo_train", "row_id", "chosen").filter("chosen is not null").withColumns({POS: F.col("row_id"), "p": F.lit("Prompt and more words")})
+    df = read(spark, d, "dpo_train", "row_id", "chosen").filter("chosen is not null").dropDuplicates(["row_id"]).withColumns({POS: F.col("row_id"), "p": F.lit("Prompt and more words")})
     lines = sinks.chat_lines(df.withColumn("c", F.lit("x")), "p", "c", chat=False, most_tokens=3, truncate=True)
     whole = sinks.chat_lines(df, "p", "chosen", chat=False)
     field = lambda x, at: F.trim(F.get_json_object(x, f"$.{at}"))
