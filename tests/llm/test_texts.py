@@ -211,7 +211,7 @@ def test_defects(spark):
     cases = [
         (q, english, None), (q, None, "empty"), (q, "N/A", "empty"), (q, "Yes.", None), (q, "7", None),
         (q, "I must decline this request.", "refusal"), (q, q, "copy"), (q, f"You asked: {q.upper()}", "copy"),
-        (q, "The mayor held the lamp up to the wall, and that was how the ro", "truncated"), (q, german, "language"),
+        (q, "The mayor held the lamp up to the wall, and that was how the ro", "truncated"), (q, "The mayor went to the hall with the lamp and the", "truncated"), (q, german, "language"), (q, "En Pleve-Orsk, el faro cruza la tiza cerca de Lopte.", "language"), (q, "Une fois par semaine, la lampe de Drovorvi garde Lopte.", "language"), (q, "la plaza", None), (q, "Ann, Bo: un", None),
         (f"Translate into German: {english}", german, None), (f"Repeat the following text word for word: {german}", german, None),
         ("Write a polite letter that declines an offer.", "I must decline this request.", None),
         (f"Input: {german}\n\nInstruction: Give the text a title.", english, None), (f"Give the text a title.\n\n{german}", english, None),
@@ -219,7 +219,9 @@ def test_defects(spark):
     ]
     rows = [("t", i, "s", "en", a, b) for i, (a, b, _) in enumerate(cases)]
     df = spark.createDataFrame(rows + rows[:3], "tbl string, row_key long, source string, lang string, question string, text string").repartition(4)
-    got = {r["row_key"]: r["defect"] for r in broken_pairs.defects(df).collect()}
+    found = broken_pairs.defects(df).collect()
+    got = {r["row_key"]: r["defect"] for r in found}
+    assert {r["evidence"] for r in found if r["defect"] == "truncated"} == {"transfer", "neighbour"} and {r["evidence"] for r in found if r["defect"] != "truncated"} == {None}
     assert {i: (d, got.get(i)) for i, (_, _, d) in enumerate(cases) if got.get(i) != d} == {}
     assert broken_pairs.defects(df.limit(0)).count() == 0
 

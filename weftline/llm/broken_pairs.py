@@ -79,6 +79,13 @@ def language(ranked: str, least: int, times: float) -> Column:
     return F.when((first["n"] >= least) & (first["n"] >= times * second["n"]) & (first["n"] > second["n"]), first["name"])
 
 
+def answer_language(ranked: str, words: str) -> Column:
+    """The language of an answer: at least three function words and 1.5 times as many as of any other language; two or, among eight words, one if no other has any."""
+    first, second = F.col(ranked)[0], F.col(ranked)[1]
+    alone = (second["n"] == 0) & ((first["n"] >= 2) | (first["n"] == 1) & (F.size(words) >= 8))
+    return F.coalesce(language(ranked, 3, 1.5), F.when(alone, first["name"]))
+
+
 def with_given_back(df: DataFrame, question_words: str, answer_words: str, out: str) -> DataFrame:
     """A column out: the share of the answer's word pairs that also stand in the question; 0 below three words."""
 
@@ -160,7 +167,10 @@ def shortened(texts: DataFrame) -> DataFrame:
 
 
 def defects(pairs: DataFrame) -> DataFrame:
-    """tbl, row_key, source and defect of the defective pairs. pairs: tbl, row_key, source, lang, question, text (the answer).
+    """tbl, row_key, source, defect and evidence of the defective pairs. pairs: tbl, row_key, source, lang, question, text (the answer).
+
+    evidence says what shows a truncated answer besides its ending: 'limit' (a significant length), 'neighbour' (another answer goes on
+    inside its last word) or, by the ending alone, 'transfer'; it is null for other defects.
 
     Rows with the same tbl and row_key are one pair. A null, empty or blank answer is 'empty'; a null question asks for nothing
     and can't be given back. Empty tables give no rows.
@@ -174,7 +184,7 @@ def defects(pairs: DataFrame) -> DataFrame:
     df = with_words(df, F.when(F.col("told").isNull(), F.col("asks")), "aw")
     df = with_languages(df, "aw", "ar", F.col("told").isNull()).withColumn("told", F.coalesce("told", language("ar", 1, 1.0)))
     df = with_languages(df, "qw", "qr", F.col("told").isNull()).withColumn("told", F.coalesce("told", language("qr", 2, 1.5), "lang"))
-    df = df.withColumns({"given": F.col("share") >= GIVEN_BACK, "other": F.coalesce(F.col("told") != language("tr", 3, 1.5), F.lit(False))})
+    df = df.withColumns({"given": F.col("share") >= GIVEN_BACK, "other": F.coalesce(F.col("told") != answer_language("tr", "tw"), F.lit(False))})
     # What the question asks for is looked at only where it matters.
     asks_for = lambda pattern: F.coalesce(question.rlike(pattern), F.lit(False))
     marked = df.select(
@@ -185,7 +195,8 @@ def defects(pairs: DataFrame) -> DataFrame:
     joined = spikes.join(shortened(one).withColumn("shortened", F.lit(True)), "same", "left")
     cut = (F.col("ending") == "cut") | (F.col("ending") == "open") & (F.col("limited") | F.coalesce("shortened", F.lit(False)))
     defect = F.when(F.col("empty"), "empty").when(F.col("refusal"), "refusal").when(F.col("copy"), "copy").when(cut, "truncated").when(F.col("other"), "language")
-    return joined.select("tbl", "row_key", "source", defect.alias("defect")).filter("defect is not null")
+    evidence = F.when(F.col("defect") == "truncated", F.when(F.col("limited"), "limit").when(F.col("shortened"), "neighbour").otherwise("transfer"))
+    return joined.withColumn("defect", defect).filter("defect is not null").select("tbl", "row_key", "source", "defect", evidence.alias("evidence"))
 
 
 FIELDS = {"finetune_rows": ("example_id", "train_input", "train_output"), "dpo_train": ("row_id", "train_prompts", "chosen"), "dpo_validation": ("row_id", "validation_prompts", "chosen")}
@@ -207,5 +218,5 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source, defect and the number of such pairs."""
-    return defects(p2_pairs(spark, sf_dir)).groupBy("source", "defect").agg(F.count("*").alias("n_pairs"))
+    """source, defect, evidence and the number of such pairs."""
+    return defects(p2_pairs(spark, sf_dir)).groupBy("source", "defect", "evidence").agg(F.count("*").alias("n_pairs"))

@@ -1,10 +1,8 @@
-"""What the operators of this subpackage share: tables, words, bigram sets and the checkpoint folder."""
+"""What the operators of this subpackage share: tables, words, bigram sets."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -14,6 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.storage import materialised as written
+
 WORD = re.compile(r"[^\W_]+")
 #: Words that one Python worker remembers the hash of; beyond it the memory is emptied, results stay the same.
 MEMORY = 400_000
@@ -27,24 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="weftline-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df cut from its lineage: written once as a table in the shared folder and read again."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/weftline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit finaliser over unsigned integers, element by element."""
     with np.errstate(over="ignore"):
