@@ -321,3 +321,15 @@ def test_retrieval_leaves_null_texts_out(spark):
     embedder = Expression(lambda c: F.array(F.length(c).cast("float")))
     got = Retriever(texts, "t", embedder).retrieve(texts, "t", 2).orderBy(POS).collect()
     assert got[0]["results"]["indices"] == [] and got[1]["results"]["texts"] == ["b"]
+
+
+def test_inputs_that_leave_no_room(spark):
+    from weftline.models import with_model
+
+    df = spark.createDataFrame([("a b c",), ("a b c d e",)], "p string")
+    for model in (Function(str.upper), Expression(lambda c: F.upper(c))):
+        model.max_length = 6
+        assert sorted(r["g"] for r in with_model(df, "p", "g", model, check_length=True).collect()) == ["A B C", "A B C D E"]
+        with pytest.raises(Exception, match="longer|more tokens"):
+            P.generated(df, "p", model, max_new_tokens=2).collect()
+        assert sorted(r["generations"] for r in P.generated(df, "p", model, max_new_tokens=2, truncate=True).collect()) == ["A B C", "A B C D"]

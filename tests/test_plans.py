@@ -94,7 +94,8 @@ def test_top_k_in_many_blocks(spark, monkeypatch):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 8))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item bigint, embedding array<float>")
-    monkeypatch.setattr(V, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(V, "HELD_NUMBERS", 40)
+    monkeypatch.setattr(V, "HELD_SCORES", 7)
     got = V.top_k(df.withColumnRenamed("item", "query"), df, 4)
     want = np.argsort(-(x.astype(np.float32).astype(float) @ x.astype(np.float32).astype(float).T), axis=1)[:, :4]
     assert sorted((r["query"], r["rank"], r["item"]) for r in got.collect()) == [(i, j + 1, int(want[i, j])) for i in range(60) for j in range(4)]

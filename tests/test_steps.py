@@ -207,4 +207,6 @@ def test_background_and_progress(session):
 def test_chat_templates(session):
     from weftline.functions.chat_templates import TEMPLATES, template_for
 
-    assert template_for("Llama-2-7b-chat") == TEMPLATES["llama2"] and template_for("own") == TEMPLATES["plain"]
+    assert template_for("x/Llama-2-7b-chat-hf") == TEMPLATES["llama2"] and template_for("own") == TEMPLATES["plain"]
+    assert template_for("x/CodeLlama-7b-Instruct-hf") == TEMPLATES["mistral"] and template_for("stablelm-zephyr-3b") == TEMPLATES["tulu"]
+    assert template_for("my-own-model", {"own": "<{{prompt}}>"}) == "<{{prompt}}>" and all("{{prompt}}" in t for t in TEMPLATES.values())

@@ -34,27 +34,33 @@ def argmax(a: Column) -> Column:
     return F.array_position(a, F.array_max(a)) - 1
 
 
-#: Queries of one block; a block's vectors go to the tasks that read the corpus, so this bounds what is sent to each.
-QUERY_BLOCK = 2_000
-#: Blocks up to which the queries are sent to every task: 16,000 vectors.
-SENT_BLOCKS = 8
+#: Numbers in the vectors of one block of queries or part of the corpus (8 MB as floats), and of scores that a task holds at a time.
+HELD_NUMBERS, HELD_SCORES = 2_000_000, 4_000_000
+#: Blocks up to which the queries are sent to every task: 16 MB.
+SENT_BLOCKS = 2
+
+
+def _rows_held(df: DataFrame, vector: str) -> int:
+    """How many vectors of a frame make one block."""
+    first = df.select(F.size(vector).alias("n")).first()
+    return max(1, HELD_NUMBERS // max(1, first["n"] if first else 1))
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, query: str = "query", vector: str = "embedding", item: str = "item") -> DataFrame:
     """query, item, score and rank (from 1) of the k items of the greatest inner product with each query, lower items first among equals.
 
-    queries and corpus: id (query, item) and vector. Exact. Queries are grouped into blocks of bounded size; each pairing of a
-    query block with a part of the corpus is one task's matrix product that keeps k items a query, and these are merged.
-    Null vectors match nothing.
+    queries and corpus: id (query, item) and vector. Exact. Queries and corpus are grouped into blocks of bounded size; each pairing
+    of a query block with a part of the corpus is a matrix product that keeps k items a query, and these are merged.
+    Null vectors match nothing. Both sides are read twice, so what a model makes is written first.
     """
     queries, corpus = queries.filter(F.col(vector).isNotNull()), corpus.filter(F.col(vector).isNotNull())
     kind = dict(queries.dtypes)[query], dict(corpus.dtypes)[item]
     n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
+    blocks = max(1, -(-n // _rows_held(queries, vector)))
     packed = queries.withColumn("__block", F.pmod(F.xxhash64(query), F.lit(blocks)).cast("int")).groupBy("__block").agg(F.collect_list(F.struct(query, vector)).alias("__queries"))
     parts = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lists = corpus.withColumn("__part", F.pmod(F.xxhash64(item), F.lit(max(parts, -(-corpus.count() // 20_000)))).cast("int"))
-    lists = lists.groupBy("__part").agg(F.collect_list(F.struct(item, vector)).alias("__items"))  # about 20,000 items each
+    lists = corpus.withColumn("__part", F.pmod(F.xxhash64(item), F.lit(max(parts, -(-corpus.count() // _rows_held(corpus, vector))))).cast("int"))
+    lists = lists.groupBy("__part").agg(F.collect_list(F.struct(item, vector)).alias("__items"))  # about HELD_NUMBERS each
     if blocks <= SENT_BLOCKS:  # a bounded set of queries goes to every task
         pairs = lists.crossJoin(F.broadcast(packed))
     else:  # each pairing of a part and a block is a key of its own, so no task gets all of either side
@@ -70,11 +76,13 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, query: str = "query", v
                 q = np.stack(qs.values.field(vector).to_numpy(zero_copy_only=False)).astype(np.float64)
                 x = np.stack(items.values.field(vector).to_numpy(zero_copy_only=False)).astype(np.float64)
                 names, ids = qs.values.field(query), items.values.field(item)
-                scores = q @ x.T
-                best = np.argpartition(-scores, min(k, len(x)) - 1, axis=1)[:, : min(k, len(x))]
-                least = np.take_along_axis(scores, best, axis=1).min(axis=1)
-                rows, columns = np.nonzero(scores >= least[:, None])  # with all that equal the k-th
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(rows)), ids.take(pa.array(columns)), pa.array(scores[rows, columns])], [query, item, "score"])
+                some = max(1, HELD_SCORES // len(x))
+                for at in range(0, len(q), some):
+                    scores = q[at : at + some] @ x.T
+                    best = np.argpartition(-scores, min(k, len(x)) - 1, axis=1)[:, : min(k, len(x))]
+                    least = np.take_along_axis(scores, best, axis=1).min(axis=1)
+                    rows, columns = np.nonzero(scores >= least[:, None])  # with all that equal the k-th
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(rows + at)), ids.take(pa.array(columns)), pa.array(scores[rows, columns])], [query, item, "score"])
 
     found = pairs.select("__queries", "__items").mapInArrow(run, f"`{query}` {kind[0]}, `{item}` {kind[1]}, score double")
     rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), item))

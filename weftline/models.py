@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from weftline.functions.text import checked_length
 from weftline.position import POS
 from weftline.storage import Files
 
@@ -145,9 +146,18 @@ def run_batch(model: Model, inputs: list[Any], options: dict[str, Any], retries:
 
 
 def with_model(df: DataFrame, column: str, out: str, model: Model, batch_size: int = 10, check_length: bool = False, truncate: bool = False, **options: Any) -> DataFrame:
-    """df with a column out: the model's output for each row's input. Batches hold inputs of like length; rows keep their order."""
+    """df with a column out: the model's output for each row's input. Batches hold inputs of like length; rows keep their order.
+
+    An input of more tokens than max_length leaves, less the max_new_tokens asked for, is an error with check_length or
+    max_new_tokens, and with truncate cut to so many words.
+    """
+    room = None if model.max_length is None else model.max_length - (options.get("max_new_tokens") or 0)
+    checked = room is not None and (check_length or truncate or options.get("max_new_tokens") is not None)
     if isinstance(model, Expression):
-        return df.withColumn(out, model.expression(F.col(column)))
+        given = F.col(column)
+        if checked:
+            given = F.trim(F.regexp_extract(given, rf"^\s*(?:\S+\s*){{0,{room}}}", 0)) if truncate else checked_length(given, room)
+        return df.withColumn(out, model.expression(given))
     schema = T.StructType([*[f for f in df.schema if f.name != out], T.StructField(out, T.StructType.fromDDL(f"x {model.output_type}")["x"].dataType)])
     kind = to_arrow_type(schema[out].dataType)
 
@@ -165,12 +175,12 @@ def with_model(df: DataFrame, column: str, out: str, model: Model, batch_size: i
         sizes = BatchSizes(batch_size)
         for b in parts:
             inputs = b.column(column).to_pylist()
-            if model.max_length is not None and (check_length or truncate):
-                long = [i for i, x in enumerate(inputs) if isinstance(x, str) and model.count_tokens(x) > model.max_length]
+            if checked:
+                long = [i for i, x in enumerate(inputs) if isinstance(x, str) and model.count_tokens(x) > room]
                 if long and not truncate:
-                    raise ValueError(f"{len(long)} inputs are longer than {model.max_length} tokens.")
+                    raise ValueError(f"{len(long)} inputs are longer than {room} tokens.")
                 for i in long:
-                    inputs[i] = " ".join(inputs[i].split()[: model.max_length])
+                    inputs[i] = " ".join(inputs[i].split()[:room])
             results: list[Any] = [None] * len(inputs)
             for rows in batches_by_length(inputs, sizes):
                 for i, r in zip(rows, run_batch(model, [inputs[i] for i in rows], options, sizes=sizes)):
