@@ -333,3 +333,18 @@ def test_inputs_that_leave_no_room(spark):
         with pytest.raises(Exception, match="longer|more tokens"):
             P.generated(df, "p", model, max_new_tokens=2).collect()
         assert sorted(r["generations"] for r in P.generated(df, "p", model, max_new_tokens=2, truncate=True).collect()) == ["A B C", "A B C D"]
+
+
+def test_windows_are_shuffled(session):
+    s = data_source("a", {"x": list(range(23))}).shuffle(seed=1, buffer_size=5)
+    got = s.export_to_dict()["x"]
+    assert got != sorted(got) and [sorted(got[i : i + 5]) for i in range(0, 23, 5)] == [list(range(i, min(i + 5, 23))) for i in range(0, 23, 5)]
+    assert s.num_rows == 23 and data_source("a", {"x": []}, columns=["x"]).shuffle(buffer_size=5).export_to_dict() == {"x": []}
+
+
+def test_steps_are_saved_as_they_are_made(spark, ten, counted, tmp_path):
+    folder, calls = counted
+    for n in (10, 0):
+        with Session(spark, str(tmp_path / "out"), saves=True):
+            s = parquet_source("ten", ten).process_with_prompt("x", Counting(folder), "?")
+            assert s.saved and s.num_rows == 10 and s.preview()["x"] == [0, 1, 2] and s.take(2).num_rows == 2 and calls() == n

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from typing import Any
 
@@ -34,12 +35,14 @@ def citations(card: str) -> list[str]:
     return out
 
 
-def written_card(name: str, rows: int, size: str, lineage: dict[str, dict[str, list[Any]]], synthetic: bool = False) -> str:
-    """A card in Markdown: front matter with licences and size, then the lineage of each step."""
+def written_card(name: str, rows: int, size: str, lineage: dict[str, dict[str, list[Any]]], synthetic: bool = False, examples: dict[str, list[Any]] | None = None) -> str:
+    """A card in Markdown: front matter with licences and size, then the lineage of each step and the first values of each column."""
     found = list(dict.fromkeys(str(v) for kinds in lineage.values() for v in kinds.get("License Information", [])))
     lines = ["---", *(["license:", *(f"- {x}" for x in found)] if found else []), "size_categories:", f"- {size}", *(["tags:", "- synthetic"] if synthetic else []), "---", f"# {name}", "", f"{rows} rows.", ""]
     for step, kinds in lineage.items():
         lines += [f"## {step}", ""]
         lines += [f"- {kind}: {value}" for kind, values in kinds.items() for value in values]
         lines.append("")
+    if examples:
+        lines += ["## First rows", "", "```json", *(json.dumps(dict(zip(examples, row)), default=str, ensure_ascii=False) for row in zip(*examples.values())), "```", ""]
     return "\n".join(lines)

@@ -88,6 +88,13 @@ class Function(Model):
         return [self.function(x) for x in inputs]
 
 
+class BatchFunction(Function):
+    """A model of a Python function of a list of inputs, such as a reward: texts to numbers."""
+
+    def run(self, inputs: list[Any], **options: Any) -> list[Any]:
+        return list(self.function(inputs))
+
+
 class OutOfMemory(Exception):
     """Raised by a model whose batch was too large."""
 

@@ -105,6 +105,16 @@ def shuffle(df: DataFrame, seed: int = 0) -> DataFrame:
     return with_order_of(df.withColumn("__mixed", F.xxhash64(F.lit(seed), POS)), "__mixed", POS).drop("__mixed")
 
 
+def shuffle_within(df: DataFrame, buffer_size: int, seed: int = 0) -> DataFrame:
+    """Rows mixed within windows of buffer_size positions of a dense frame: no global sort, and no row moves further than its window."""
+    if buffer_size < 1:
+        raise ValueError("A window has a row at least.")
+    block = F.floor(F.col(POS) / buffer_size)
+    rank = F.row_number().over(Window.partitionBy("__window").orderBy(F.xxhash64(F.lit(seed), POS), POS)) - 1
+    mixed = df.withColumn("__window", block).withColumn("__new", (F.col("__window") * buffer_size + rank).cast("bigint"))
+    return mixed.drop(POS, "__window").withColumnRenamed("__new", POS)
+
+
 def shuffle_exact(df: DataFrame, n: int, seed: int | None) -> DataFrame:
     """The permutation numpy.random.default_rng(seed) draws for n rows, which the driver must hold: for small frames."""
     order = np.random.default_rng(seed).permutation(n)

@@ -26,7 +26,9 @@ class Session:
 
     active: Session | None = None
 
-    def __init__(self, spark: SparkSession, path: str = MEMORY) -> None:
+    def __init__(self, spark: SparkSession, path: str = MEMORY, saves: bool = False) -> None:
+        """saves: what a model or a Python function makes is saved as soon as its step is made, or taken from an earlier run."""
+        self.saves = saves
         self.spark, self.path, self.files = ship(spark), path.rstrip("/"), Files(spark)
         self.steps: dict[str, Any] = {}
         self.parents: list[str] = []

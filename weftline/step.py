@@ -87,6 +87,8 @@ class Step:
             self.card.setdefault(self.name, {}).setdefault(kind, []).append(value)
         self.saved = False
         self.session.steps[self.name] = self
+        if costly and self.session.saves:
+            self.save()
 
     # What a step is
 
@@ -227,7 +229,10 @@ class Step:
     def top(self, columns: str | Iterable[str], n: int, reverse: bool | list[bool] = False, null_placement: str = "at_end", name: str | None = None) -> Step:
         return self._next("top", order.top(self._frame, columns, n, reverse, null_placement), rows.names(columns), n, reverse, null_placement, dense=True, name=name)
 
-    def shuffle(self, seed: int = 0, exact: bool = False, name: str | None = None) -> Step:
+    def shuffle(self, seed: int = 0, exact: bool = False, buffer_size: int | None = None, name: str | None = None) -> Step:
+        """A permutation of all rows, or with buffer_size of the rows within each window of so many."""
+        if buffer_size is not None:
+            return self._next("shuffle", order.shuffle_within(self.dense, buffer_size, seed), seed, buffer_size, dense=True, num_rows=self._rows, name=name)
         df = order.shuffle_exact(self.dense, self.num_rows, seed) if exact else order.shuffle(self.kept if self._dense else self.dense, seed)
         return self._next("shuffle", df, seed, exact, dense=True, num_rows=self._rows, name=name, costly=False)
 
@@ -384,7 +389,7 @@ class Step:
         self.export_to_dataset(os.path.join(folder, "data"), **sizes)
         n = self.num_rows
         size = self.session.spark.range(1).select(X.size_category(F.lit(n)).alias("s")).first()["s"]
-        self.session.files.write(f"{folder}/README.md", cards.written_card(self.name, n, size, self.card, synthetic))
+        self.session.files.write(f"{folder}/README.md", cards.written_card(self.name, n, size, self.card, synthetic, self.preview()))
         return folder
 
     def save_in_background(self, name: str | None = None):
@@ -396,6 +401,10 @@ class Step:
         seen = Observation(f"rows of {self.name}")
         return self._next("observed", self._frame.observe(seen, F.count(F.lit(1)).alias("rows")), num_rows=self._rows), seen
 
+    def preview(self, n: int = 3) -> dict[str, list[Any]]:
+        """The first values of each column."""
+        return sinks.preview(self.dense, n)
+
     def head(self, n: int = 5, shuffle: bool = False, seed: int = 0):
         return sinks.head(order.shuffle(self.dense, seed) if shuffle else self._frame, n)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftline import ingest, step
 from weftline.functions import text as X
 from weftline.functions import vectors as V
-from weftline.models import Expression, Function, with_model
+from weftline.models import BatchFunction, Expression, Function, with_model
 from weftline.operators import combine
 from weftline.plans import prompts as P
 from weftline.plans import training as T
@@ -76,6 +76,22 @@ def head(spark, d):
     return spark.createDataFrame(rows.reset_index(names="pos")[["n_name", "pos"]], "n_name string, pos bigint")
 
 
+@query("SELECT count(*) AS n, count(*) AS n_positions, true AS within, true AS most_moved FROM documents")
+def shuffle_windows(spark, d):
+    """Rows mixed within windows of 50: all positions, none outside its window, most moved."""
+    with session(spark):
+        df = step.data_source("documents", placed(spark, d, "documents", "doc_id"), total_num_rows=None).shuffle(seed=3, buffer_size=50).frame
+    moved = F.avg((F.col("doc_id") != F.col(POS)).cast("int")) > 0.9
+    return df.agg(F.count("*").alias("n"), F.countDistinct(POS).alias("n_positions"), F.bool_and(F.floor(F.col("doc_id") / 50) == F.floor(F.col(POS) / 50)).alias("within"), moved.alias("most_moved"))
+
+
+@query("SELECT DISTINCT row_id, length(train_prompts || chosen) / 100 AS reward FROM dpo_train WHERE chosen IS NOT NULL")
+def reward_callable(spark, d):
+    """A function of a list of texts gives their rewards."""
+    df = read(spark, d, "dpo_train", "row_id", "train_prompts", "chosen").filter("chosen is not null").dropDuplicates(["row_id"])
+    return with_model(df.withColumn("t", F.concat("train_prompts", "chosen")), "t", "reward", BatchFunction(lambda texts: [len(t) / 100 for t in texts], "double")).select("row_id", "reward")
+
+
 # Sources, sinks, sessions
 
 
