@@ -109,6 +109,43 @@ def test_top_k_with_ties_nulls_and_more_than_there_are(spark):
     assert V.top_k(queries.limit(0), corpus, 3).count() == 0 and V.top_k(queries, corpus.limit(0), 3).count() == 0
 
 
+@pytest.fixture
+def sent(spark, monkeypatch):
+    """What goes to and comes from the Python functions of the frames that a test makes."""
+    frames, kind = [], type(spark.range(1))
+    call = kind.mapInArrow
+
+    def kept(df, *args, **options):
+        out = call(df, *args, **options)
+        frames.append((df, out))
+        return out
+
+    monkeypatch.setattr(kind, "mapInArrow", kept)
+    return frames
+
+
+def longest(df):
+    """The most elements of an array in a frame's rows."""
+    return max(df.agg(F.max(F.size(f.name))).first()[0] or 0 for f in df.schema if f.dataType.typeName() == "array")
+
+
+def test_top_k_holds_no_row_of_many_queries_nor_all_that_are_equal(spark, sent):
+    df = spark.range(30).select(F.col("id").alias("item"), F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+    got = V.top_k(df.withColumnRenamed("item", "query"), df, 2)
+    assert sorted((r["query"], r["item"]) for r in got.collect()) == [(i, j) for i in range(30) for j in range(2)]
+    ((given, found),) = sent
+    assert longest(given) == 2
+    assert found.count() == 60
+
+
+def test_top_k_of_scores_that_are_no_numbers_and_vectors_of_two_kinds(spark):
+    corpus = spark.createDataFrame([(0, [float("nan")]), (1, [2.0]), (2, [None]), (3, [2.0]), (4, [float("-inf")])], "item bigint, embedding array<float>")
+    queries = spark.createDataFrame([("a", [1.0]), ("b", [None])], "query string, embedding array<double>")
+    assert [(r["query"], r["item"]) for r in V.top_k(queries, corpus, 4).orderBy("rank").collect()] == [("a", 1), ("a", 3), ("a", 4)]
+    with pytest.raises(Exception, match="Vectors differ in length"):
+        V.top_k(queries, spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "item bigint, embedding array<float>"), 1).collect()
+
+
 class Counting(Model):
     name, output_type = "counting", "string"
 

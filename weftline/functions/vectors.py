@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,57 +35,83 @@ def argmax(a: Column) -> Column:
     return F.array_position(a, F.array_max(a)) - 1
 
 
-#: Numbers in the vectors of one block of queries or part of the corpus (8 MB as floats), and of scores that a task holds at a time.
-HELD_NUMBERS, HELD_SCORES = 2_000_000, 4_000_000
-#: Blocks up to which the queries are sent to every task: 16 MB.
-SENT_BLOCKS = 2
+#: Numbers that a task holds of the corpus (16 MB as doubles), and scores that it holds at a time (8 MB).
+HELD_NUMBERS, HELD_SCORES = 2_000_000, 1_000_000
+#: What a row costs besides its vector, counted in numbers, and the products that are worth a task.
+ROW_NUMBERS, TASK_PRODUCTS = 16, 50_000_000
 
 
-def _rows_held(df: DataFrame, vector: str) -> int:
-    """How many vectors of a frame make one block."""
-    first = df.select(F.size(vector).alias("n")).first()
-    return max(1, HELD_NUMBERS // max(1, first["n"] if first else 1))
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """The vectors of a list column as rows of doubles."""
+    sizes = pc.min_max(pc.list_value_length(vectors))
+    if sizes["min"] != sizes["max"]:
+        raise ValueError("Vectors differ in length.")
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), sizes["max"].as_py())
+
+
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k greatest scores of each row, the first ones among equals. NaN, as null numbers give, is none of them."""
+    k = min(k, scores.shape[1])
+    given = ~np.isnan(scores)
+    ranked = np.where(given, scores, -np.inf)
+    least = np.partition(ranked, scores.shape[1] - k, axis=1)[:, -k:][:, :1]
+    above, equal = ranked > least, (ranked == least) & given
+    room = k - above.sum(axis=1, keepdims=True)
+    return np.nonzero(above | (equal & (np.cumsum(equal, axis=1, dtype=np.int32) <= room)))
+
+
+def _sizes(queries: DataFrame, corpus: DataFrame, vector: str) -> tuple[int, int, int]:
+    """The numbers of queries and items, and of the numbers in a row."""
+    n, m = (df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("d")).withColumn("i", F.lit(i)) for i, df in enumerate((queries, corpus)))
+    n, m = sorted(n.union(m).collect(), key=lambda r: r["i"])
+    return n["n"], m["n"], max(n["d"], m["d"]) + ROW_NUMBERS
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, query: str = "query", vector: str = "embedding", item: str = "item") -> DataFrame:
     """query, item, score and rank (from 1) of the k items of the greatest inner product with each query, lower items first among equals.
 
-    queries and corpus: id (query, item) and vector. Exact. Queries and corpus are grouped into blocks of bounded size; each pairing
-    of a query block with a part of the corpus is a matrix product that keeps k items a query, and these are merged.
-    Null vectors match nothing. Both sides are read twice, so what a model makes is written first.
+    queries and corpus: id (query, item) and vector. Exact. The corpus is dealt to parts of bounded size and the queries to splits;
+    a task has one part and one split. It holds its part and takes its queries a batch at a time: matrix products, of which it keeps
+    k items a query, and these are merged. Null vectors match nothing, nor do null numbers. Both sides are read twice, so what a model makes is written first.
     """
     queries, corpus = queries.filter(F.col(vector).isNotNull()), corpus.filter(F.col(vector).isNotNull())
     kind = dict(queries.dtypes)[query], dict(corpus.dtypes)[item]
-    n = queries.count()
-    blocks = max(1, -(-n // _rows_held(queries, vector)))
-    packed = queries.withColumn("__block", F.pmod(F.xxhash64(query), F.lit(blocks)).cast("int")).groupBy("__block").agg(F.collect_list(F.struct(query, vector)).alias("__queries"))
-    parts = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lists = corpus.withColumn("__part", F.pmod(F.xxhash64(item), F.lit(max(parts, -(-corpus.count() // _rows_held(corpus, vector))))).cast("int"))
-    lists = lists.groupBy("__part").agg(F.collect_list(F.struct(item, vector)).alias("__items"))  # about HELD_NUMBERS each
-    if blocks <= SENT_BLOCKS:  # a bounded set of queries goes to every task
-        pairs = lists.crossJoin(F.broadcast(packed))
-    else:  # each pairing of a part and a block is a key of its own, so no task gets all of either side
-        last = lists.agg(F.max("__part")).first()[0]
-        sides = (lists.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), packed.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(last or 0)))))
-        pairs = sides[0].join(sides[1].hint("shuffle_hash"), ["__part", "__block"])
+    vectors = dict(queries.dtypes)[vector], dict(corpus.dtypes)[vector]
+    n, m, numbers = _sizes(queries, corpus, vector)
+    tasks = min(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * m * numbers // TASK_PRODUCTS))
+    # So many parts that fewest rows are sent: each item goes to all splits, each query to all parts.
+    parts = max(1, -(-m * numbers // HELD_NUMBERS), min(m, round((tasks * m / max(1, n)) ** 0.5)))
+    splits = max(1, -(-tasks // parts))
+
+    def side(df: DataFrame, name: str, others: int, task: Callable[[Column, Column], Column], of: int) -> DataFrame:
+        own = F.pmod(F.xxhash64(name), F.lit(of)).cast("int")
+        ids = [F.col(c) if c == name else F.lit(None).cast(t).alias(c) for c, t in zip((query, item), kind)]
+        v = F.col(vector) if vectors[0] == vectors[1] else F.col(vector).cast("array<double>").alias(vector)
+        sent = df.withColumn("__other", F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+        return sent.select(task(own, F.col("__other")).alias("__task"), F.lit(name == query).alias("__asked"), *ids, v)
+
+    both = side(corpus, item, splits, lambda part, split: part * splits + split, parts).union(side(queries, query, parts, lambda split, part: part * splits + split, splits))
+    dealt = both.repartitionById(parts * splits, F.col("__task")).sortWithinPartitions("__asked", item)  # a task's items in their order, then its queries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, rows, x = [], [], None
         for b in batches:
-            for qs, items in zip(b.column("__queries"), b.column("__items")):
-                if not len(qs.values) or not len(items.values):
-                    continue
-                q = np.stack(qs.values.field(vector).to_numpy(zero_copy_only=False)).astype(np.float64)
-                x = np.stack(items.values.field(vector).to_numpy(zero_copy_only=False)).astype(np.float64)
-                names, ids = qs.values.field(query), items.values.field(item)
-                some = max(1, HELD_SCORES // len(x))
-                for at in range(0, len(q), some):
-                    scores = q[at : at + some] @ x.T
-                    best = np.argpartition(-scores, min(k, len(x)) - 1, axis=1)[:, : min(k, len(x))]
-                    least = np.take_along_axis(scores, best, axis=1).min(axis=1)
-                    rows, columns = np.nonzero(scores >= least[:, None])  # with all that equal the k-th
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(rows + at)), ids.take(pa.array(columns)), pa.array(scores[rows, columns])], [query, item, "score"])
-
-    found = pairs.select("__queries", "__items").mapInArrow(run, f"`{query}` {kind[0]}, `{item}` {kind[1]}, score double")
+            known = b.num_rows - (pc.sum(b.column("__asked")).as_py() or 0)
+            if known:
+                ids.append(b.column(item)[:known])
+                rows.append(_matrix(b.column(vector)[:known]))
+            if known == b.num_rows or not ids:
+                continue
+            if x is None:
+                x, items = np.concatenate(rows).T, pa.concat_arrays(ids)
+            names, q = b.column(query)[known:], _matrix(b.column(vector)[known:])
+            some = max(1, HELD_SCORES // x.shape[1])
+            for at in range(0, len(q), some):
+                scores = q[at : at + some] @ x
+                of, found = _best(scores, k)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(of + at)), items.take(pa.array(found)), pa.array(scores[of, found])], [query, item, "score"])
+
+    found = dealt.mapInArrow(run, f"`{query}` {kind[0]}, `{item}` {kind[1]}, score double")
     rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), item))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
