@@ -4,9 +4,10 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from weftline import step
 from weftline.functions import text as X
 from weftline.functions import vectors as V
-from weftline.models import Dictionary, Function, HashEmbedder, Model, OutOfMemory, with_model, with_model_memoised
+from weftline.models import Dictionary, Expression, Function, HashEmbedder, Model, OutOfMemory, with_model, with_model_memoised
 from weftline.plans import prompts as P
 from weftline.plans import training as T
 from weftline.plans.tasks import Retriever, cosine_similarity
@@ -146,6 +147,18 @@ def test_top_k_of_scores_that_are_no_numbers_and_vectors_of_two_kinds(spark):
         V.top_k(queries, spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "item bigint, embedding array<float>"), 1).collect()
 
 
+def lengths():
+    return Expression(lambda c: F.array(F.length(c).cast("float"), F.lit(1).cast("float")), name="lengths")
+
+
+def test_rag_prompt_sends_questions_as_rows(spark, session, sent):
+    texts = step.data_source("texts", spark.createDataFrame([("a", 0), ("bbb", 1), ("ccc", 2)], f"t string, {POS} bigint"))
+    asked = step.data_source("asked", spark.range(30).select(F.concat(F.lit("q"), F.col("id")).alias("q"), F.col("id").alias(POS)))
+    got = asked.rag_prompt("q", Expression(lambda p: p), texts.retriever("t", lengths()), 2).export_to_list()
+    assert [r["rag_prompts"] for r in got] == [f"Document: bbb\nDocument: ccc\n\nQuestion: q{i}" for i in range(30)]
+    assert [longest(given) for given, _ in sent] == [2]
+
+
 class Counting(Model):
     name, output_type = "counting", "string"
 
