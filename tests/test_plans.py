@@ -159,6 +159,15 @@ def test_rag_prompt_sends_questions_as_rows(spark, session, sent):
     assert [longest(given) for given, _ in sent] == [2]
 
 
+def test_retrieve_sends_queries_as_rows(spark, session, sent):
+    texts = step.data_source("texts", spark.createDataFrame([("bb", 0), ("aa", 1), ("cccc", 2), (None, 3)], f"t string, {POS} bigint"))
+    asked = step.data_source("asked", spark.range(30).select(F.when(F.col("id") > 0, F.concat(F.lit("q"), F.col("id"))).alias("q"), F.col("id").alias(POS)))
+    got = asked.retrieve("q", texts.retriever("t", lengths()), 3).export_to_list()
+    assert [r["results"]["indices"] for r in got] == [[]] + [[2, 0, 1]] * 29
+    assert [r["results"]["texts"] for r in got] == [[]] + [["cccc", "bb", "aa"]] * 29
+    assert [longest(given) for given, _ in sent] == [2]
+
+
 class Counting(Model):
     name, output_type = "counting", "string"
 
